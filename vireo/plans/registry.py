@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, ratings
+from . import evaluation, neighbors, ratings
 
-_MODULES = [evaluation, ratings]
+_MODULES = [evaluation, ratings, neighbors]
 
 
 def queries():
