@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, neighbors, ratings
+from . import evaluation, neighbors, ratings, responses
 
-_MODULES = [evaluation, ratings, neighbors]
+_MODULES = [evaluation, ratings, neighbors, responses]
 
 
 def queries():
