@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, neighbors, ratings, responses
+from . import evaluation, models, neighbors, ratings, responses, scans
 
-_MODULES = [evaluation, ratings, neighbors, responses]
+_MODULES = [evaluation, ratings, neighbors, responses, models, scans]
 
 
 def queries():
