@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import as_double, dot, softmax
+from ..functions.vectors import as_double, dot
 from .relational import broadcast_if_small
 
 MAX_MODEL_CELLS = 50_000_000
@@ -65,23 +65,51 @@ def error_rate(df: DataFrame, pred: str, label: str) -> DataFrame:
                   .alias("error_rate"))
 
 
+def with_probabilities(df: DataFrame, vec: str, w: np.ndarray, temperature: float = 1.0,
+                       out: str = "probs") -> DataFrame:
+    """Add the softmax class probabilities. Each intermediate array is its own
+    projected column so it is computed once per row (inside a lambda a shared
+    sub-expression would be re-evaluated for every element)."""
+    return (df.withColumn("_lg", logits_expr(vec, w, temperature))
+              .withColumn("_mx", F.array_max("_lg"))
+              .withColumn("_ex", F.transform("_lg", lambda x: F.exp(x - F.col("_mx"))))
+              .withColumn("_tot", F.aggregate("_ex", F.lit(0.0), lambda a, x: a + x))
+              .withColumn(out, F.transform("_ex", lambda x: x / F.col("_tot")))
+              .drop("_lg", "_mx", "_ex", "_tot"))
+
+
 def score_top_k(df: DataFrame, key: str, vec: str, classes: list[int], w: np.ndarray, k: int = 5,
-                temperature: float = 1.0, names: DataFrame | None = None, default_name: str = "") -> DataFrame:
-    """(key, rank, label, score[, name]) of the ``k`` most probable classes per row."""
-    probs = softmax(logits_expr(vec, w, temperature))
-    cls = F.array(*[F.lit(c) for c in classes])
-    pairs = F.transform(F.arrays_zip(probs.alias("p"), cls.alias("c")),
-                        lambda z: F.struct((-z["p"]).alias("neg"), z["c"].alias("label")))
-    top = F.slice(F.sort_array(pairs), 1, k)
-    out = df.select(F.col(key), F.posexplode(top).alias("pos", "t")) \
-        .select(key, (F.col("pos") + 1).alias("rank"), F.col("t.label").alias("label"),
-                (-F.col("t.neg")).alias("score"))
+                temperature: float = 1.0, names: DataFrame | None = None, default_name: str = "",
+                method: str = "batches") -> DataFrame:
+    """(key, rank, label, score[, name]) of the ``k`` most probable classes per row
+    (ties by class id); no shuffle. ``method="batches"`` scores Arrow batches with
+    numpy (fast: one matrix product per batch); ``method="expr"`` uses Spark
+    higher-order functions (no Python, but interpreted per element). Names come
+    from a (size-checked, broadcast) lookup table, unknown ids get
+    ``default_name``."""
+    if method == "batches":
+        out = score_top_k_batches(df, key, vec, classes, w, k, temperature).drop("name")
+    elif method == "expr":
+        out = _score_top_k_expr(df, key, vec, classes, w, k, temperature)
+    else:
+        raise ValueError(f"unknown method {method!r}")
     if names is not None:
         out = out.join(broadcast_if_small(names.select("label", "name")), "label", "left") \
             .withColumn("name", F.coalesce(F.col("name"), F.lit(default_name)))
     return out
 
 
+def _score_top_k_expr(df: DataFrame, key: str, vec: str, classes: list[int], w: np.ndarray, k: int,
+                      temperature: float) -> DataFrame:
+    cls = F.array(*[F.lit(c) for c in classes])
+    p = with_probabilities(df.select(key, vec), vec, w, temperature)
+    pairs = F.transform(F.arrays_zip(F.col("probs").alias("p"), cls.alias("c")),
+                        lambda z: F.struct((-z["p"]).alias("neg"), z["c"].alias("label")))
+    return p.select(F.col(key), F.posexplode(F.slice(F.sort_array(pairs), 1, k)).alias("pos", "t")) \
+        .select(key, (F.col("pos") + 1).cast("int").alias("rank"), F.col("t.label").alias("label"),
+                (-F.col("t.neg")).alias("score"))
+
+
 def score_top_k_batches(df: DataFrame, key: str, vec: str, classes: list[int], w: np.ndarray,
                         k: int = 5, temperature: float = 1.0, names: dict[int, str] | None = None,
                         default_name: str = "") -> DataFrame:

@@ -131,7 +131,9 @@ def q_synthetic_two_class(spark, sf_dir):
 def q_error_rate(spark, sf_dir):
     classes, w = model(spark, sf_dir)
     rows = classifier_rows(spark, sf_dir).filter(F.col("split") == "validation")
-    pred = rows.withColumn("pred", INF.predict_class("embedding", classes, w))
+    top1 = INF.score_top_k(rows, "vec_id", "embedding", classes, w, k=1) \
+        .select("vec_id", F.col("label").alias("pred"))
+    pred = rows.select("vec_id", "label").join(top1, "vec_id")
     return INF.error_rate(pred, "pred", "label").select(F.round("error_rate", 6).alias("error_rate"))
 
 
