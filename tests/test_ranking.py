@@ -112,7 +112,7 @@ def test_ordered_prefix_hot_group_equals_window(spark):
     df = spark.range(0, 3000).select(
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("g"),
         F.col("id").alias("o"), (F.col("id") % 7).cast("double").alias("x"))
-    a = ordered_prefix(df, ["g"], ["o"], sums={"cx": F.col("x")}, num_partitions=8)
+    a = ordered_prefix(df, ["g"], ["o"], sums={"cx": F.col("x")}, num_partitions=8, method="range")
     b = ordered_prefix(df, ["g"], ["o"], sums={"cx": F.col("x")}, method="window")
     assert sorted(map(tuple, a.select("g", "o", "pos", "cx").collect())) == \
         sorted(map(tuple, b.select("g", "o", "pos", "cx").collect()))
@@ -126,3 +126,12 @@ def test_ordered_prefix_global(spark):
     df = spark.range(0, 1000).select((999 - F.col("id")).alias("o"))
     out = ordered_prefix(df, [], ["o"]).select("o", "pos").collect()
     assert all(r["pos"] == r["o"] + 1 for r in out)
+
+
+def test_auto_detects_hot_group(spark):
+    from vireo.operators.relational import _has_hot_group
+    hot = spark.range(0, 60000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("g"))
+    flat = spark.range(0, 60000).select((F.col("id") % 1000).alias("g"))
+    assert _has_hot_group(hot, ["g"], 8)
+    assert not _has_hot_group(flat, ["g"], 8)

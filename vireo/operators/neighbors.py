@@ -133,8 +133,11 @@ def _key_type(df: DataFrame, key: str) -> str:
 
 
 def cosine_all_pairs(df: DataFrame, key: str, vec: str, method: str = "blocks",
-                     block_size: int = 2048) -> DataFrame:
-    """(query, ref, distance) for every pair with ``query < ref`` by key."""
+                     block_size: int = 1024) -> DataFrame:
+    """(query, ref, distance) for every pair with ``query < ref`` by key.
+
+    Every pair is output, so a block pair emits up to ``block_size**2`` rows;
+    the smaller default keeps one group's output around a million rows."""
     kt = _key_type(df, key)
     if method == "expr":
         a = df.select(F.col(key).alias("query"), F.col(vec).alias("qv"))

@@ -54,7 +54,7 @@ def discount(pos: Column, method: int = 0) -> Column:
 
 
 def rank_lists(df: DataFrame, query: str, order_cols: Sequence, rel: Column | str,
-               relevant: Column | None = None, method: str = "range") -> DataFrame:
+               relevant: Column | None = None, method: str = "auto") -> DataFrame:
     """(query, order..., rel) rows -> (query, pos, rel, bin, cum_bin).
 
     ``relevant`` is the binarisation (default: rel != 0); ``order_cols`` must be a
@@ -136,10 +136,18 @@ def ideal_dcg_at_k(df: DataFrame, query: str, rel: str, tie_cols: Sequence, k: i
         F.sum(F.col(rel) * discount(F.col("ipos"), method)).alias("idcg"))
 
 
-def ndcg_at_k(ranked: DataFrame, query: str, k: int = 5, method: int = 0) -> DataFrame:
-    """nDCG@k per query over a :func:`rank_lists` frame."""
+def ndcg_at_k(ranked: DataFrame, query: str, k: int = 5, method: int = 0,
+              source: DataFrame | None = None) -> DataFrame:
+    """nDCG@k per query over a :func:`rank_lists` frame.
+
+    ``source`` (query, rel) rows, e.g. the input of ``rank_lists``, lets the
+    ideal order be computed straight from the scan instead of a second pass
+    over the numbered frame (IDCG does not depend on the order of ties).
+    """
     dcg = dcg_at_k(ranked, query, k, method)
-    idcg = ideal_dcg_at_k(ranked.select(query, "rel", "pos"), query, "rel", ["pos"], k, method)
+    ideal_src = source.select(query, F.col("rel").cast("double").alias("rel")) if source is not None \
+        else ranked.select(query, "rel")
+    idcg = ideal_dcg_at_k(ideal_src, query, "rel", [], k, method)
     return dcg.join(idcg, query).select(
         query,
         F.when(F.col("idcg") == 0, F.lit(0.0)).otherwise(F.col("dcg") / F.col("idcg")).alias("ndcg"))
@@ -152,7 +160,7 @@ def _k_contrib(df: DataFrame, pos: str, max_k: int) -> DataFrame:
 
 
 def per_query_sweep(ranked: DataFrame, query: str, ks: Sequence[int] = (1, 2, 3, 4, 5),
-                    method: int = 0) -> DataFrame:
+                    method: int = 0, source: DataFrame | None = None) -> DataFrame:
     """nDCG@k and AP-prefix@k for every query and every k in ``ks`` in one grouped pass.
 
     Actual-order and ideal-order contributions are unioned and summed by
@@ -165,8 +173,9 @@ def per_query_sweep(ranked: DataFrame, query: str, ks: Sequence[int] = (1, 2, 3,
         (F.col("cum_bin") / F.col("pos")).alias("ap_c"),
         F.lit(0.0).alias("idcg_c"),
         F.lit(1).alias("m_c"))
-    ideal_top = top_k_per_group(ranked.select(query, "rel", "pos"), [query],
-                                [F.col("rel").desc(), F.col("pos")], max_k, rank_col="ipos")
+    ideal_src = source.select(query, F.col("rel").cast("double").alias("rel")) if source is not None \
+        else ranked.select(query, "rel")
+    ideal_top = top_k_per_group(ideal_src, [query], [F.col("rel").desc()], max_k, rank_col="ipos")
     ideal = _k_contrib(ideal_top, "ipos", max_k).select(
         query, "k",
         F.lit(0.0).alias("dcg_c"), F.lit(0.0).alias("ap_c"),
@@ -183,9 +192,9 @@ def per_query_sweep(ranked: DataFrame, query: str, ks: Sequence[int] = (1, 2, 3,
 
 
 def eval_sweep(ranked: DataFrame, query: str, ks: Sequence[int] = (1, 2, 3, 4, 5),
-               method: int = 0) -> DataFrame:
+               method: int = 0, source: DataFrame | None = None) -> DataFrame:
     """Mean nDCG@k and mean AP@k over queries: rows (metric, k, score), nDCG first."""
-    pq = per_query_sweep(ranked, query, ks, method)
+    pq = per_query_sweep(ranked, query, ks, method, source)
     means = pq.groupBy("k").agg(F.avg("ndcg").alias("ndcg"), F.avg("ap").alias("map"))
     return means.select(
         "k", F.expr("stack(2, 'ndcg', 0, ndcg, 'map', 1, map) as (metric, metric_order, score)")

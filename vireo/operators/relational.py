@@ -29,7 +29,7 @@ def _names(xs) -> list[str]:
 
 def ordered_prefix(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
                    sums: dict[str, Column] | None = None, pos_col: str = "pos",
-                   num_partitions: int | None = None, method: str = "range",
+                   num_partitions: int | None = None, method: str = "auto",
                    materialize: str = "persist") -> DataFrame:
     """Add ``pos_col`` (1-based row number within each group in ``order_cols``
     order) and, for each ``name -> expr`` of ``sums``, the running sum of ``expr``
@@ -38,13 +38,18 @@ def ordered_prefix(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
     ``order_cols`` must give a total order inside a group (add a unique
     tie-breaker), otherwise positions of tied rows are arbitrary.
 
-    ``method="range"`` (default) is skew-safe: two shuffles of the data, none of
-    them gathers a group in one task. ``materialize`` is ``"persist"`` (disk
-    blocks) or ``"checkpoint"`` (the shared ``spark.checkpoint.dir``). ``method="window"`` is the plain window,
-    one shuffle, for inputs whose groups are known to be small.
+    ``method="range"`` is skew-safe: two shuffles of the data, none of them
+    gathers a group in one task. ``materialize`` is ``"persist"`` (disk blocks)
+    or ``"checkpoint"`` (the shared ``spark.checkpoint.dir``). ``method="window"``
+    is the plain window, one shuffle, for inputs whose groups are known to be
+    small. ``method="auto"`` (default) measures the largest group with one
+    partial aggregate and takes the window only when no group is larger than
+    twice an average partition (and always the range plan without groups).
     """
     sums = dict(sums or {})
     order = _cols(order_cols)
+    if method == "auto":
+        method = "window" if group_cols and not _has_hot_group(df, group_cols, num_partitions) else "range"
     if method == "window":
         w = Window.partitionBy(*group_cols).orderBy(*order) if group_cols else Window.orderBy(*order)
         out = df.withColumn(pos_col, F.row_number().over(w))
@@ -103,6 +108,14 @@ def ordered_prefix(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
     return out.select(*keep)
 
 
+def _has_hot_group(df: DataFrame, group_cols: Sequence[str], num_partitions: int | None) -> bool:
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stats = df.groupBy(*group_cols).count().agg(F.sum("count").alias("total"), F.max("count").alias("top")).first()
+    if not stats or stats["total"] is None:
+        return False
+    return stats["top"] > max(2.0 * stats["total"] / n, 10_000)
+
+
 def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
                     k: int, rank_col: str | None = "rank") -> DataFrame:
     """Keep the first ``k`` rows of each group in ``order_cols`` order.

@@ -30,8 +30,12 @@ def q_rank_lists(spark, sf_dir):
     return ranked(spark, sf_dir).select(QUERY, "pos", "rel")
 
 
+def source(spark, sf_dir):
+    return evaluation_rows(spark, sf_dir).select(QUERY, F.col("relevance").alias("rel"))
+
+
 def q_ndcg_at_k(spark, sf_dir, k=5, method=0):
-    out = R.ndcg_at_k(ranked(spark, sf_dir), QUERY, k, method)
+    out = R.ndcg_at_k(ranked(spark, sf_dir), QUERY, k, method, source=source(spark, sf_dir))
     return out.select(QUERY, F.round("ndcg", 6).alias("ndcg"))
 
 
@@ -84,7 +88,8 @@ def q_prefix_precision(spark, sf_dir):
 
 
 def q_eval_sweep(spark, sf_dir):
-    out = R.eval_sweep(ranked(spark, sf_dir), QUERY, ks=(1, 2, 3, 4, 5), method=0)
+    out = R.eval_sweep(ranked(spark, sf_dir), QUERY, ks=(1, 2, 3, 4, 5), method=0,
+                       source=source(spark, sf_dir))
     return out.select("metric", "k", F.round("score", 6).alias("score"))
 
 
