@@ -88,3 +88,23 @@ def test_als_beats_mean_on_low_rank(spark):
     recs = RC.recommend_unseen(m, r.select("item"), r, 0, n=5).collect()
     rated = {x.item for x in r.filter(F.col("user") == 0).collect()}
     assert len(recs) == min(5, 40 - len(rated)) and not ({x.item for x in recs} & rated)
+
+
+def test_recommend_all_unseen_exact(spark):
+    rng = np.random.default_rng(1)
+    rows = [(u, i, float(rng.integers(1, 6)), 0) for u in range(30) for i in range(25)
+            if rng.random() < (0.95 if u == 0 else 0.3)]       # user 0 rated almost everything
+    r = spark.createDataFrame(rows, "user long, item int, rating double, fold int")
+    m = RC.train_als(r, rank=3, max_iter=5, reg=0.1)
+    got = RC.recommend_all_unseen(m, r, n=3, first_k=4)
+    # brute force: score every unseen pair, keep the best 3 per user
+    users = [x.user for x in r.select("user").distinct().collect()]
+    rated = {(x.user, x.item) for x in r.collect()}
+    cand = spark.createDataFrame([(u, i) for u in users for i in range(25) if (u, i) not in rated],
+                                 "user int, item int")
+    scored = RC.als_predict(m, cand).collect()
+    best = {}
+    for x in scored:
+        best.setdefault(x.user, []).append((-x.prediction, x.item))
+    expect = {(u, it) for u, lst in best.items() for _, it in sorted(lst)[:3]}
+    assert {(x.user, x.item) for x in got.collect()} == expect

@@ -143,7 +143,10 @@ def train_als(train: DataFrame, rank: int = 16, max_iter: int = 7, reg: float =
     ``checkpoint_interval`` iterations in the shared checkpoint folder."""
     from pyspark.ml.recommendation import ALS
 
+    from ..session import ensure_checkpoint_dir
+
     spark = train.sparkSession
+    ensure_checkpoint_dir(spark)
     blocks = num_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, implicitPrefs=implicit, alpha=alpha,
               userCol=user, itemCol=item, ratingCol=rating, seed=seed,
@@ -207,19 +210,47 @@ def recommend_unseen(model, items: DataFrame, rated: DataFrame, user_id: int, n:
     return scored.orderBy(F.col("prediction").desc(), F.col(item)).limit(n)
 
 
-def recommend_all_unseen(model, rated: DataFrame, n: int = 10) -> DataFrame:
-    """Top-``n`` unseen items for every user: over-fetch n + (max items rated by a
-    user) with ``recommendForAllUsers`` (per-user top-k heaps, no full product),
-    drop rated pairs, keep n."""
-    over = rated.groupBy("user").count().select(F.max("count")).first()[0] or 0
-    recs = model.recommendForAllUsers(n + int(over)) \
-        .select("user", F.posexplode("recommendations").alias("pos", "r")) \
-        .select("user", F.col("r.item").alias("item"), F.col("r.rating").alias("prediction"), "pos")
-    unseen = recs.join(rated.select(F.col("user").cast("int").alias("user"),
-                                    F.col("item").cast("int").alias("item")).distinct(),
-                       ["user", "item"], "left_anti")
+def recommend_all_unseen(model, rated: DataFrame, n: int = 10, first_k: int | None = None,
+                         max_rounds: int = 32) -> DataFrame:
+    """Exact top-``n`` unseen items of every user, (user, item, prediction, rank).
+
+    Round 1 asks every user for ``first_k`` (default ``2 n``) best items with
+    ``recommendForUserSubset`` (blocked factor products with per-user heaps, no
+    user x item table) and drops rated pairs. A user with fewer than ``n``
+    unseen items left, and more items to look at, goes to the next round with
+    twice the k; so a user who rated a large share of the catalogue costs more
+    only for that user. Each round's pending set is small and checkpointed.
+    """
+    from ..session import ensure_checkpoint_dir
     from .relational import top_k_per_group
-    return top_k_per_group(unseen, ["user"], [F.col("prediction").desc(), F.col("item")], n)
+
+    ensure_checkpoint_dir(rated.sparkSession)
+    pairs = rated.select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item")) \
+        .distinct()
+    n_items = model.itemFactors.count()
+    pending = model.userFactors.select(F.col("id").alias("user"))
+    k = max(n, first_k or 2 * n)
+    parts = []
+    for _ in range(max_rounds):
+        kk = min(k, n_items)
+        recs = model.recommendForUserSubset(pending, kk) \
+            .select("user", F.explode("recommendations").alias("r")) \
+            .select("user", F.col("r.item").alias("item"), F.col("r.rating").cast("double").alias("prediction"))
+        unseen = recs.join(pairs, ["user", "item"], "left_anti")
+        top = top_k_per_group(unseen, ["user"], [F.col("prediction").desc(), F.col("item")], n).checkpoint()
+        if kk >= n_items:
+            parts.append(top)
+            break
+        done = top.groupBy("user").count().filter(F.col("count") >= n).select("user")
+        parts.append(top.join(done, "user", "left_semi"))
+        pending = pending.join(done, "user", "left_anti").checkpoint()
+        if pending.isEmpty():
+            break
+        k *= 2
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
 
 
 def save_and_load(model):

@@ -77,6 +77,8 @@ def ordered_prefix(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
     ranged = (keyed.repartitionByRange(n, *_cols(gcols), *order)
               .withColumn(_PID, F.spark_partition_id()))
     if materialize == "checkpoint":
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
         ranged = ranged.checkpoint(eager=True)
     else:
         ranged = ranged.persist(StorageLevel.DISK_ONLY)
