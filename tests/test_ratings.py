@@ -108,3 +108,11 @@ def test_recommend_all_unseen_exact(spark):
         best.setdefault(x.user, []).append((-x.prediction, x.item))
     expect = {(u, it) for u, lst in best.items() for _, it in sorted(lst)[:3]}
     assert {(x.user, x.item) for x in got.collect()} == expect
+
+
+def test_dense_ids_for_wide_keys(spark):
+    big = 2**40
+    r = spark.createDataFrame([(big + 5, 7), (big + 1, 7), (3, 9)], "user long, item int")
+    assert not RC.fits_int(r, ["user"]) and RC.fits_int(r, ["item"])
+    m = {x.user: x.idx for x in RC.dense_ids(r, "user").collect()}
+    assert m == {3: 0, big + 1: 1, big + 5: 2}

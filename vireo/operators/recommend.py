@@ -134,6 +134,25 @@ def ascii_only(text: Column) -> Column:
 
 # ---------------------------------------------------------------- ALS ----
 
+INT_MAX = 2**31 - 1
+
+
+def dense_ids(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
+    """Mapping (col, out) of every distinct value of ``col`` to 0..n-1 in value
+    order; distributed numbering (no single-partition window)."""
+    from .relational import global_rank
+
+    return global_rank(df.select(col).distinct(), [col], pos_col=out) \
+        .select(col, (F.col(out) - 1).cast("int").alias(out))
+
+
+def fits_int(df: DataFrame, cols: Sequence[str]) -> bool:
+    """True when every id of ``cols`` lies in [0, 2^31 - 1]."""
+    aggs = [F.min(c).alias(f"mn{i}") for i, c in enumerate(cols)] + \
+        [F.max(c).alias(f"mx{i}") for i, c in enumerate(cols)]
+    r = df.agg(*aggs).first()
+    return all(r[f"mn{i}"] is None or (r[f"mn{i}"] >= 0 and r[f"mx{i}"] <= INT_MAX) for i in range(len(cols)))
+
 def train_als(train: DataFrame, rank: int = 16, max_iter: int = 7, reg: float = 0.1,
               implicit: bool = False, alpha: float = 1.0, seed: int = 42,
               user: str = "user", item: str = "item", rating: str = "rating",
