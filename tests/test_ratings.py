@@ -116,3 +116,16 @@ def test_dense_ids_for_wide_keys(spark):
     assert not RC.fits_int(r, ["user"]) and RC.fits_int(r, ["item"])
     m = {x.user: x.idx for x in RC.dense_ids(r, "user").collect()}
     assert m == {3: 0, big + 1: 1, big + 5: 2}
+
+
+def test_als_with_wide_keys(spark):
+    big = 2**40
+    rng = np.random.default_rng(2)
+    rows = [(big + u, big * 2 + i, float(rng.integers(1, 6))) for u in range(20) for i in range(10)
+            if rng.random() < 0.7]
+    r = spark.createDataFrame(rows, "user long, item long, rating double")
+    m = RC.train_als_any_ids(r, rank=2, max_iter=3, reg=0.1)
+    assert isinstance(m, RC.IndexedALSModel)
+    out = RC.als_predict(m, r).collect()
+    assert len(out) == len(rows)
+    assert {(x.user, x.item) for x in out} == {(u, i) for u, i, _ in rows}

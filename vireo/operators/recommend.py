@@ -176,8 +176,39 @@ def train_als(train: DataFrame, rank: int = 16, max_iter: int = 7, reg: float =
     return als.fit(data)
 
 
+class IndexedALSModel:
+    """An ALS model fitted on dense int ids, with the (key, idx) tables that map
+    wide (e.g. 64-bit) user and item keys in and out by joins."""
+
+    def __init__(self, model, users: DataFrame, items: DataFrame, user: str = "user", item: str = "item"):
+        self.model, self.users, self.items, self.user, self.item = model, users, items, user, item
+
+    def transform(self, pairs: DataFrame) -> DataFrame:
+        u, i = self.user, self.item
+        x = pairs.join(self.users.withColumnRenamed("idx", "_u"), u, "inner") \
+            .join(self.items.withColumnRenamed("idx", "_i"), i, "inner")
+        scored = self.model.transform(
+            x.withColumnRenamed(u, "_key_u").withColumnRenamed(i, "_key_i")
+             .withColumnRenamed("_u", u).withColumnRenamed("_i", i))
+        return scored.drop(u, i).withColumnRenamed("_key_u", u).withColumnRenamed("_key_i", i)
+
+
+def train_als_any_ids(train: DataFrame, user: str = "user", item: str = "item", **kw):
+    """ALS for keys of any integral width: keys that fit in int are used as
+    they are; otherwise they are mapped to dense ids (distributed numbering of
+    the distinct keys) and the returned model maps them back when scoring."""
+    if fits_int(train, [user, item]):
+        return train_als(train, user=user, item=item, **kw)
+    users, items = dense_ids(train, user), dense_ids(train, item)
+    x = train.join(users, user).drop(user).withColumnRenamed("idx", user) \
+        .join(items, item).drop(item).withColumnRenamed("idx", item)
+    return IndexedALSModel(train_als(x, user=user, item=item, **kw), users, items, user, item)
+
+
 def als_predict(model, pairs: DataFrame, user: str = "user", item: str = "item") -> DataFrame:
     """Score (user, item) rows; cold users/items are dropped."""
+    if isinstance(model, IndexedALSModel):
+        return model.transform(pairs)
     data = pairs.withColumn(user, F.col(user).cast("int")).withColumn(item, F.col(item).cast("int"))
     return model.transform(data)
 
