@@ -41,3 +41,33 @@ def test_streaming_validation(spark):
     cq.awaitTermination(120)
     got = {r.outcome: r["count"] for r in spark.sql("select * from vireo_reasons").collect()}
     assert got == {"ok": 1, "roi_flag": 1, "bad_json": 1}
+
+
+def test_scan_formats_and_pushdown(spark, sf_small):
+    import io
+    import contextlib
+
+    from pyspark.sql import functions as F
+
+    from vireo.sources import scan
+
+    df = scan(spark, "parquet", f"{sf_small}/customer.parquet", columns=["c_custkey", "c_mktsegment"],
+              predicate=F.col("c_mktsegment") == "BUILDING")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    plan = buf.getvalue()
+    assert "PushedFilters: [IsNotNull(c_mktsegment), EqualTo(c_mktsegment,BUILDING)]" in plan
+    assert "ReadSchema: struct<c_custkey:bigint,c_mktsegment:string>" in plan
+    d = tempfile.mkdtemp(prefix="vireo-scan-")
+    src = spark.read.parquet(f"{sf_small}/customer.parquet")
+    src.write.csv(os.path.join(d, "csv"), header=True)
+    src.write.json(os.path.join(d, "json"))
+    n = src.filter("c_mktsegment = 'BUILDING'").count()
+    c = scan(spark, "csv", os.path.join(d, "csv"), columns=["c_custkey"], predicate="c_mktsegment = 'BUILDING'",
+             header="true", schema=src.schema)
+    j = scan(spark, "json", os.path.join(d, "json"), predicate="c_mktsegment = 'BUILDING'", schema=src.schema,
+             limit=5, order_by=["c_custkey"])
+    assert c.count() == n
+    assert [r.c_custkey for r in j.collect()] == [r.c_custkey for r in src.filter("c_mktsegment = 'BUILDING'")
+                                                  .orderBy("c_custkey").limit(5).collect()]

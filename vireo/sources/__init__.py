@@ -1 +1 @@
-from .tables import TABLES, load_table, scan, require_non_empty  # noqa: F401
+from .tables import TABLES, jdbc_scan, load_table, require_non_empty, scan  # noqa: F401

@@ -49,6 +49,30 @@ def scan(spark: SparkSession, fmt: str, path: str | None = None, columns=None,
     return df
 
 
+def jdbc_scan(spark: SparkSession, url: str, table: str | None = None, query: str | None = None,
+              partition_column: str | None = None, lower_bound=None, upper_bound=None,
+              num_partitions: int | None = None, fetch_size: int = 10_000, columns=None,
+              predicate: Column | str | None = None, **options) -> DataFrame:
+    """Parallel JDBC read: ``num_partitions`` range slices of ``partition_column``
+    read by as many tasks (the reference read one unpartitioned result and
+    collected it on the driver). Column list and predicate are applied to the
+    DataFrame, so Spark pushes them into each slice's SQL."""
+    opts = {"url": url, "fetchsize": str(fetch_size), **{k: str(v) for k, v in options.items()}}
+    if query is not None:
+        if partition_column:
+            table, query = f"({query}) vireo_q", None
+        else:
+            opts["query"] = query
+    if table is not None:
+        opts["dbtable"] = table
+    if partition_column:
+        if lower_bound is None or upper_bound is None or not num_partitions:
+            raise ValueError("partition_column needs lower_bound, upper_bound and num_partitions")
+        opts.update(partitionColumn=partition_column, lowerBound=str(lower_bound),
+                    upperBound=str(upper_bound), numPartitions=str(num_partitions))
+    return scan(spark, "jdbc", None, columns=columns, predicate=predicate, **opts)
+
+
 def require_non_empty(df: DataFrame, what: str = "input") -> DataFrame:
     """Fail fast when ``df`` has no rows (one-row probe, not a count)."""
     if df.isEmpty():
