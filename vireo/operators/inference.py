@@ -46,6 +46,15 @@ def collect_model(weights: DataFrame, max_cells: int = MAX_MODEL_CELLS) -> tuple
     return classes, w
 
 
+def collect_dictionary(df: DataFrame, key: str, value: str, max_rows: int = 1_000_000) -> dict:
+    """A small lookup table as a driver dict (for a broadcast variable); refuses
+    tables over ``max_rows`` (use a join instead)."""
+    n = df.limit(max_rows + 1).count()
+    if n > max_rows:
+        raise ValueError(f"lookup table has more than {max_rows} rows; join it instead")
+    return {r[key]: r[value] for r in df.select(key, value).collect()}
+
+
 def logits_expr(vec: str | Column, w: np.ndarray, temperature: float = 1.0) -> Column:
     """Array of per-class logits ``temperature * x . w_c`` as Spark expressions."""
     cols = [dot(vec, F.array(*[F.lit(float(x)) for x in row])) * F.lit(float(temperature)) for row in w]

@@ -148,7 +148,7 @@ def q_batch_inference_top_k(spark, sf_dir):
 
 def q_batch_inference_map(spark, sf_dir):
     classes, w = model(spark, sf_dir)
-    nm = {int(r["label"]): r["name"] for r in names(spark, sf_dir).collect()}
+    nm = INF.collect_dictionary(names(spark, sf_dir), "label", "name")
     e = load_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
     return INF.score_top_k_batches(e, "vec_id", "embedding", classes, w, k=TOP_K,
                                    temperature=TEMPERATURE, names=nm)
