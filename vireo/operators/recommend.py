@@ -241,8 +241,12 @@ def als_grid_search(train: DataFrame, valid: DataFrame, ranks: Sequence[int] = (
         t = als_rmse(m, train).first()
         return pos, lam, rank, it, m, v["rmse_all"], t["rmse_all"]
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        results = list(ex.map(fit, enumerate(grid)))
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+            results = list(ex.map(fit, enumerate(grid)))
+    finally:
+        train.unpersist()
+        valid.unpersist()
     best = None
     for r in results:
         if best is None or r[5] < best[5]:

@@ -85,8 +85,12 @@ def sweep(train: DataFrame, valid: DataFrame, test: DataFrame, vec: str, label:
             pass
         return tuple(res)
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        rows = list(ex.map(run, enumerate(grid)))
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+            rows = list(ex.map(run, enumerate(grid)))
+    finally:
+        for d in (tr, va, te):
+            d.unpersist()
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
