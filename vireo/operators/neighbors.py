@@ -42,7 +42,9 @@ def _block_count(df: DataFrame, block_size: int) -> int:
 def _with_blocks(df: DataFrame, key: str, vec: str, blocks: int) -> tuple[DataFrame, DataFrame]:
     # hash of key and vector: copies of one key spread over blocks as well
     b = F.pmod(F.xxhash64(F.col(key), F.col(vec)), F.lit(blocks)).cast("int")
-    base = df.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"), b.alias("b"))
+    # vectors travel in their stored element type (float stays 4 bytes);
+    # numpy widens to float64 inside the group
+    base = df.select(F.col(key).alias("k"), F.col(vec).alias("v"), b.alias("b"))
     left = base.select("k", "v", F.col("b").alias("bi"),
                        F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("bj"))
     # fresh aliases: with shared attribute ids the cogroup would drop these columns

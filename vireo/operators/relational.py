@@ -10,6 +10,7 @@ offsets computed from a small count table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -30,7 +31,7 @@ def _names(xs) -> list[str]:
 def ordered_prefix(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
                    sums: dict[str, Column] | None = None, pos_col: str = "pos",
                    num_partitions: int | None = None, method: str = "auto",
-                   materialize: str = "persist") -> DataFrame:
+                   materialize: str = "persist", rows_per_partition: int = 2_000_000) -> DataFrame:
     """Add ``pos_col`` (1-based row number within each group in ``order_cols``
     order) and, for each ``name -> expr`` of ``sums``, the running sum of ``expr``
     up to and including the row.
@@ -45,11 +46,18 @@ def ordered_prefix(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
     small. ``method="auto"`` (default) measures the largest group with one
     partial aggregate and takes the window only when no group is larger than
     twice an average partition (and always the range plan without groups).
+    The range plan uses ``num_partitions`` or, by default, enough partitions for
+    about ``rows_per_partition`` rows each (at least the shuffle partitions).
     """
     sums = dict(sums or {})
     order = _cols(order_cols)
+    total = None
     if method == "auto":
-        method = "window" if group_cols and not _has_hot_group(df, group_cols, num_partitions) else "range"
+        if group_cols:
+            total, top = _group_stats(df, group_cols)
+            method = "range" if _is_hot(total, top, _base_partitions(df, num_partitions)) else "window"
+        else:
+            method = "range"
     if method == "window":
         w = Window.partitionBy(*group_cols).orderBy(*order) if group_cols else Window.orderBy(*order)
         out = df.withColumn(pos_col, F.row_number().over(w))
@@ -61,7 +69,11 @@ def ordered_prefix(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
         raise ValueError(f"unknown method {method!r}")
 
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions
+    if not n:
+        if total is None:
+            total = df.count()
+        n = max(_base_partitions(df, None), math.ceil(total / max(1, rows_per_partition)))
     gcols = list(group_cols)
     keyed = df
     tmp_sums = {}
@@ -110,12 +122,26 @@ def ordered_prefix(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
     return out.select(*keep)
 
 
-def _has_hot_group(df: DataFrame, group_cols: Sequence[str], num_partitions: int | None) -> bool:
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _base_partitions(df: DataFrame, num_partitions: int | None) -> int:
+    return num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _group_stats(df: DataFrame, group_cols: Sequence[str]) -> tuple[int, int]:
+    """(rows, rows of the largest group) in one partial aggregate."""
     stats = df.groupBy(*group_cols).count().agg(F.sum("count").alias("total"), F.max("count").alias("top")).first()
     if not stats or stats["total"] is None:
-        return False
-    return stats["top"] > max(2.0 * stats["total"] / n, 10_000)
+        return 0, 0
+    return int(stats["total"]), int(stats["top"])
+
+
+def _is_hot(total: int, top: int, n: int) -> bool:
+    """A group is hot when it is larger than twice an average partition."""
+    return top > max(2.0 * total / max(1, n), 10_000)
+
+
+def _has_hot_group(df: DataFrame, group_cols: Sequence[str], num_partitions: int | None) -> bool:
+    total, top = _group_stats(df, group_cols)
+    return _is_hot(total, top, _base_partitions(df, num_partitions))
 
 
 def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
