@@ -88,6 +88,10 @@ def test_als_beats_mean_on_low_rank(spark):
     recs = RC.recommend_unseen(m, r.select("item"), r, 0, n=5).collect()
     rated = {x.item for x in r.filter(F.col("user") == 0).collect()}
     assert len(recs) == min(5, 40 - len(rated)) and not ({x.item for x in recs} & rated)
+    cand = spark.createDataFrame([(0, i) for i in range(40) if i not in rated], "user int, item int")
+    brute = sorted(((-x.prediction, x.item) for x in RC.als_predict(m, cand).collect()))[:5]
+    assert [x.item for x in recs] == [it for _, it in brute]
+    assert [x.prediction for x in recs] == pytest.approx([-p for p, _ in brute], rel=1e-5)
 
 
 def test_recommend_all_unseen_exact(spark):

@@ -257,10 +257,27 @@ def als_grid_search(train: DataFrame, valid: DataFrame, ranks: Sequence[int] = (
 
 def recommend_unseen(model, items: DataFrame, rated: DataFrame, user_id: int, n: int = 50,
                      item: str = "item") -> DataFrame:
-    """Top-``n`` items the user has not rated, by predicted score (ties by item)."""
+    """Top-``n`` items the user has not rated, by predicted score (ties by item).
+
+    The user's factor vector enters as a lazy scalar subquery and candidates
+    are equi-joined to the item factors, so the plan has no nested-loop join
+    (scoring through ``transform`` with a constant user id would compare every
+    candidate with every user factor). Items without factors are dropped.
+    """
+    from ..functions.vectors import dot
+
     cand = items.select(item).distinct().join(rated.filter(F.col("user") == user_id).select(item).distinct(),
                                               item, "left_anti")
-    scored = als_predict(model, cand.withColumn("user", F.lit(user_id)))
+    if isinstance(model, IndexedALSModel):
+        scored = als_predict(model, cand.withColumn("user", F.lit(user_id)))
+    else:
+        uvec = model.userFactors.filter(F.col("id") == int(user_id)).select("features").scalar()
+        factors = model.itemFactors.select(F.col("id").alias("_fid"), F.col("features").alias("_f"))
+        scored = cand.join(factors, F.col(item).cast("int") == F.col("_fid"), "inner") \
+            .withColumn("_u", uvec) \
+            .select(F.lit(user_id).alias("user"), F.col(item),
+                    dot(F.col("_f"), F.col("_u")).cast("float").alias("prediction")) \
+            .filter(F.col("prediction").isNotNull())
     return scored.orderBy(F.col("prediction").desc(), F.col(item)).limit(n)
 
 
