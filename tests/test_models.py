@@ -76,3 +76,24 @@ def test_batches_and_positional_split(spark):
     assert b == {i: i // 3 for i in range(10)}
     s = {r.k: r.split for r in positional_split(df, ["k"], 4).collect()}
     assert [s[i] for i in range(10)] == ["validation"] * 4 + ["train"] * 6
+
+
+def test_request_url_and_endpoint(spark):
+    from vireo.functions.text import endpoint, request_url
+    df = spark.createDataFrame([("img.example.com/a b.jpg", "BAGS & SHOES", "x")], "u string, l string, m string")
+    ep = endpoint(F.col("u"), ["h1", "h2"], [8081, 7081])
+    r = df.select(ep.alias("e"),
+                  request_url("http://%s:%d/request_handler?url=http://%s&%s&is_browser=0",
+                              ep["host"], ep["port"], F.col("u"),
+                              [("lctgr_nm", F.col("l")), ("mctgr_nm", F.col("m"))]).alias("q")).first()
+    assert r.e.host in ("h1", "h2") and r.e.port in (8081, 7081)
+    assert r.q == (f"http://{r.e.host}:{r.e.port}/request_handler?url=http://img.example.com/a b.jpg"
+                   "&lctgr_nm=BAGS+%26+SHOES&mctgr_nm=x&is_browser=0")
+    again = df.select(ep.alias("e")).first()
+    assert again.e == r.e  # deterministic per URL
+
+
+def test_sweep_best_config_first_wins(spark):
+    res = spark.createDataFrame([(0, 0.001, 0.95, 64, 1.0, 30.0, 31.0), (1, 0.002, 0.95, 64, 1.0, 20.0, 21.0),
+                                 (2, 0.003, 0.95, 64, 1.0, 20.0, 19.0)], SW.RESULT_SCHEMA)
+    assert SW.best_config(res).first().grid_pos == 1
