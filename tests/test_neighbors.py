@@ -67,3 +67,17 @@ def test_neighbor_lists_positions(spark):
     lists = NB.neighbor_lists(pairs).filter(F.col("query") == 1).orderBy("pos").collect()
     assert [r["ref"] for r in lists] == [4, 3, 2]
     assert [r["pos"] for r in lists] == [1, 2, 3]
+
+
+def test_exact_copies_match_expr(spark):
+    rows = [(7, [1.0, 0.0])] * 3 + [(8, [0.6, 0.8])] * 2 + [(9, [0.0, 1.0]), (10, [-1.0, 0.2]), (7, [0.9, 0.1])]
+    df = vec_df(spark, rows)
+    a = sorted(tuple(r) for r in NB.cosine_all_pairs(df, "k", "v").select("query", "ref", F.round("distance", 9))
+               .collect())
+    b = sorted(tuple(r) for r in NB.cosine_all_pairs(df, "k", "v", method="expr")
+               .select("query", "ref", F.round("distance", 9)).collect())
+    assert a == b and len(a) == 21  # copies multiply: 4x2 + 4 + 4 + 2 + 2 + 1
+    ta = sorted(tuple(r) for r in NB.cosine_top_k(df, "k", "v", 4).select("query", "rank", "ref").collect())
+    tb = sorted(tuple(r) for r in NB.cosine_top_k(df, "k", "v", 4, method="expr").select("query", "rank", "ref")
+                .collect())
+    assert ta == tb

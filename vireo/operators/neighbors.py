@@ -40,19 +40,30 @@ def _block_count(df: DataFrame, block_size: int) -> int:
 
 
 def _with_blocks(df: DataFrame, key: str, vec: str, blocks: int) -> tuple[DataFrame, DataFrame]:
-    # hash of key and vector: copies of one key spread over blocks as well
-    b = F.pmod(F.xxhash64(F.col(key), F.col(vec)), F.lit(blocks)).cast("int")
-    # vectors travel in their stored element type (float stays 4 bytes);
-    # numpy widens to float64 inside the group
-    base = df.select(F.col(key).alias("k"), F.col(vec).alias("v"), b.alias("b"))
-    left = base.select("k", "v", F.col("b").alias("bi"),
+    # Exact copies (same key and vector) collapse to one row with a multiplicity
+    # ``m`` (pairs are expanded again afterwards), so a group of copies cannot
+    # fill one block. Blocks hash the content (key and vector), so both sides of
+    # the cogroup place every row identically on any recomputation. Vectors
+    # travel in their stored element type (float stays 4 bytes); numpy widens
+    # to float64 inside the group.
+    base = df.groupBy(F.col(key).alias("k"), F.col(vec).alias("v")).agg(F.count(F.lit(1)).alias("m"))
+    base = base.withColumn("b", F.pmod(F.xxhash64("k", "v"), F.lit(blocks)).cast("int"))
+    left = base.select("k", "v", "m", F.col("b").alias("bi"),
                        F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("bj"))
     # fresh aliases: with shared attribute ids the cogroup would drop these columns
-    right = base.select(F.col("k").alias("rk"), F.col("v").alias("rv"),
+    right = base.select(F.col("k").alias("rk"), F.col("v").alias("rv"), F.col("m").alias("rm"),
                         F.explode(F.sequence(F.lit(0), F.col("b"))).alias("bi"), F.col("b").alias("bj"))
     return left, right
 
 
+def _expand(df: DataFrame, cap: int | None = None) -> DataFrame:
+    """Repeat each pair m_q * m_r times (capped at ``cap``: enough for a top-k)."""
+    reps = F.col("mq") * F.col("mr")
+    if cap is not None:
+        reps = F.least(reps, F.lit(cap))
+    return df.withColumn("_rep", F.explode(F.sequence(F.lit(1), reps.cast("int")))).drop("_rep", "mq", "mr")
+
+
 def _unit(vs) -> tuple[np.ndarray, np.ndarray]:
     m = np.stack([np.asarray(v, dtype=np.float64) for v in vs]) if len(vs) else np.zeros((0, 0))
     norms = np.linalg.norm(m, axis=1) if len(vs) else np.zeros(0)
@@ -70,63 +81,65 @@ def _distances(lv, rv):
     return d
 
 
+_EMPTY = {"query": [], "ref": [], "distance": [], "mq": [], "mr": []}
+
+
 def _pairs_udf(key_type):
     def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
-            return pd.DataFrame({"query": [], "ref": [], "distance": []})
+            return pd.DataFrame(_EMPTY)
         same_block = int(lp["bi"].iloc[0]) == int(lp["bj"].iloc[0])
         d = _distances(list(lp["v"]), list(rp["rv"]))
-        lk = lp["k"].to_numpy()
-        rk = rp["rk"].to_numpy()
-        lt = lk[:, None] < rk[None, :]
-        gt = lk[:, None] > rk[None, :]
-        qi, ri = np.nonzero(lt)
-        q = [lk[qi]]
-        r = [rk[ri]]
-        dist = [d[qi, ri]]
+        lk, lm = lp["k"].to_numpy(), lp["m"].to_numpy()
+        rk, rm = rp["rk"].to_numpy(), rp["rm"].to_numpy()
+        qi, ri = np.nonzero(lk[:, None] < rk[None, :])
+        q, r, dist, mq, mr = [lk[qi]], [rk[ri]], [d[qi, ri]], [lm[qi]], [rm[ri]]
         if not same_block:  # pairs where the right row has the smaller key
-            qi2, ri2 = np.nonzero(gt)
+            qi2, ri2 = np.nonzero(lk[:, None] > rk[None, :])
             q.append(rk[ri2])
             r.append(lk[qi2])
             dist.append(d[qi2, ri2])
+            mq.append(rm[ri2])
+            mr.append(lm[qi2])
         return pd.DataFrame({"query": np.concatenate(q), "ref": np.concatenate(r),
-                             "distance": np.concatenate(dist)})
+                             "distance": np.concatenate(dist), "mq": np.concatenate(mq),
+                             "mr": np.concatenate(mr)})
     return fn
 
 
 def _topk_udf(k: int):
-    def best(keys_q, keys_r, d):
-        """For every query row, its k best refs in (distance, ref) order."""
+    def best(keys_q, m_q, keys_r, m_r, d):
+        """For every query row, its k best distinct ref rows in (distance, ref)
+        order (a superset of what the copies can fill)."""
         valid = (keys_q[:, None] != keys_r[None, :]) & ~np.isnan(d)
         dd = np.where(valid, d, np.inf)
         kk = min(k, dd.shape[1])
         if kk == 0 or dd.shape[0] == 0:
-            return [], [], []
+            return []
         col_order = np.argsort(keys_r, kind="stable")      # ties -> smaller ref first
         idx = np.argsort(dd[:, col_order], axis=1, kind="stable")[:, :kk]
         sel = col_order[idx]
         vals = np.take_along_axis(dd, sel, axis=1)
         ok = np.isfinite(vals)
         rows = np.nonzero(ok)[0]
-        return [keys_q[rows]], [keys_r[sel[ok]]], [vals[ok]]
+        return [(keys_q[rows], keys_r[sel[ok]], vals[ok], m_q[rows], m_r[sel[ok]])]
 
     def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
-            return pd.DataFrame({"query": [], "ref": [], "distance": []})
+            return pd.DataFrame(_EMPTY)
         same_block = int(lp["bi"].iloc[0]) == int(lp["bj"].iloc[0])
         d = _distances(list(lp["v"]), list(rp["rv"]))
-        lk = lp["k"].to_numpy()
-        rk = rp["rk"].to_numpy()
-        q, r, dist = best(lk, rk, d)
+        lk, lm = lp["k"].to_numpy(), lp["m"].to_numpy()
+        rk, rm = rp["rk"].to_numpy(), rp["rm"].to_numpy()
+        parts = best(lk, lm, rk, rm, d)
         if not same_block:
-            q2, r2, d2 = best(rk, lk, d.T)
-            q += q2
-            r += r2
-            dist += d2
-        if not q:
-            return pd.DataFrame({"query": [], "ref": [], "distance": []})
-        return pd.DataFrame({"query": np.concatenate(q), "ref": np.concatenate(r),
-                             "distance": np.concatenate(dist)})
+            parts += best(rk, rm, lk, lm, d.T)
+        if not parts:
+            return pd.DataFrame(_EMPTY)
+        cols = list(zip(*parts))
+        return pd.DataFrame({"query": np.concatenate(cols[0]), "ref": np.concatenate(cols[1]),
+                             "distance": np.concatenate(cols[2]), "mq": np.concatenate(cols[3]),
+                             "mr": np.concatenate(cols[4])})
     return fn
 
 
@@ -148,8 +161,9 @@ def cosine_all_pairs(df: DataFrame, key: str, vec: str, method: str = "blocks",
             .select("query", "ref", cosine_distance("qv", "rv").alias("distance"))
     blocks = _block_count(df, block_size)
     left, right = _with_blocks(df, key, vec, blocks)
-    schema = f"query {kt}, ref {kt}, distance double"
+    schema = f"query {kt}, ref {kt}, distance double, mq long, mr long"
     out = left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(_pairs_udf(kt), schema)
+    out = _expand(out)
     return out.withColumn("distance", F.when(F.isnan("distance"), F.lit(None)).otherwise(F.col("distance")))
 
 
@@ -165,8 +179,9 @@ def cosine_top_k(df: DataFrame, key: str, vec: str, k: int, method: str = "block
     else:
         blocks = _block_count(df, block_size)
         left, right = _with_blocks(df, key, vec, blocks)
-        schema = f"query {kt}, ref {kt}, distance double"
-        cand = left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(_topk_udf(k), schema)
+        schema = f"query {kt}, ref {kt}, distance double, mq long, mr long"
+        cand = _expand(left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj"))
+                       .applyInPandas(_topk_udf(k), schema), cap=k)
     return top_k_per_group(cand, ["query"], [F.col("distance"), F.col("ref")], k, rank_col="rank") \
         .select("query", "rank", "ref", "distance")
 
