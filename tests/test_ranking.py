@@ -135,3 +135,14 @@ def test_auto_detects_hot_group(spark):
     flat = spark.range(0, 60000).select((F.col("id") % 1000).alias("g"))
     assert _has_hot_group(hot, ["g"], 8)
     assert not _has_hot_group(flat, ["g"], 8)
+
+
+def test_explode_lists_from_strings_and_arrays(spark):
+    s = spark.createDataFrame([(1, "3 2 3 0 0 1 2 2 3 0"), (2, "2 1 2 0")], "q long, scores string")
+    rk = R.rank_lists(R.explode_lists(s, "q", "scores"), "q", ["o"], "rel")
+    got = {r["q"]: r["ndcg"] for r in R.ndcg_at_k(rk, "q", 4).collect()}
+    assert got[2] == pytest.approx(0.9203032077642922)
+    a = spark.createDataFrame([(1, [0.0, 0.0, 1.0]), (2, [0.0, 1.0, 0.0]), (3, [1.0, 0.0, 0.0])],
+                              "q long, scores array<double>")
+    rk2 = R.rank_lists(R.explode_lists(a, "q", "scores"), "q", ["o"], "rel")
+    assert R.mean_reciprocal_rank(rk2, "q").first()[0] == pytest.approx(0.61111111111111105)

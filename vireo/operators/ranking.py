@@ -27,6 +27,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .relational import ordered_prefix, top_k_per_group
 
@@ -70,6 +71,23 @@ def rank_lists(df: DataFrame, query: str, order_cols: Sequence, rel: Column | st
     return out.select(query, "pos", "rel", "bin", "cum_bin")
 
 
+def explode_lists(df: DataFrame, query: str, scores: str, sep: str = " ") -> DataFrame:
+    """(query, list) rows -> long form (query, o, rel) ready for :func:`rank_lists`
+    with ``order_cols=["o"]``. ``scores`` is an array of numbers in rank order or
+    a ``sep``-joined string of them (the evaluation job's concatenated scores).
+    One ``posexplode`` per row: no shuffle."""
+    col = F.col(scores)
+    if isinstance(df.schema[scores].dataType, T.StringType):
+        col = F.split(F.trim(col), _regex_quote(sep))
+    return df.select(F.col(query), F.posexplode(col).alias("o", "rel")) \
+        .select(query, (F.col("o") + 1).alias("o"), F.col("rel").cast("double").alias("rel"))
+
+
+def _regex_quote(sep: str) -> str:
+    import re
+    return re.escape(sep)
+
+
 def reciprocal_rank(ranked: DataFrame, query: str) -> DataFrame:
     first = F.min(F.when(F.col("bin") > 0, F.col("pos")))
     return ranked.groupBy(query).agg(F.coalesce(F.lit(1.0) / first, F.lit(0.0)).alias("rr"))
