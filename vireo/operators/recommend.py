@@ -156,7 +156,7 @@ def fits_int(df: DataFrame, cols: Sequence[str]) -> bool:
 def train_als(train: DataFrame, rank: int = 16, max_iter: int = 7, reg: float = 0.1,
               implicit: bool = False, alpha: float = 1.0, seed: int = 42,
               user: str = "user", item: str = "item", rating: str = "rating",
-              num_blocks: int | None = None, checkpoint_interval: int = 10):
+              num_blocks: int | None = None, checkpoint_interval: int = 5):
     """Fit ``pyspark.ml`` ALS; ids must fit in int. Factor blocks are exchanged
     between executors each half-iteration; lineage is cut every
     ``checkpoint_interval`` iterations in the shared checkpoint folder."""
