@@ -146,3 +146,10 @@ def test_explode_lists_from_strings_and_arrays(spark):
                               "q long, scores array<double>")
     rk2 = R.rank_lists(R.explode_lists(a, "q", "scores"), "q", ["o"], "rel")
     assert R.mean_reciprocal_rank(rk2, "q").first()[0] == pytest.approx(0.61111111111111105)
+
+
+def test_checkpoint_materialize_equals_persist(spark):
+    df = spark.range(0, 2000).select((F.col("id") % 3).alias("g"), F.col("id").alias("o"))
+    a = ordered_prefix(df, ["g"], ["o"], method="range", materialize="checkpoint").select("g", "o", "pos")
+    b = ordered_prefix(df, ["g"], ["o"], method="range").select("g", "o", "pos")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -31,9 +31,6 @@ from pyspark.sql import types as T
 
 from .relational import ordered_prefix, top_k_per_group
 
-RANKED_COLS = ("pos", "rel", "bin", "cum_bin")
-
-
 def binarize(rel: Column | str, threshold: float = 2.0) -> Column:
     """Relevant when ``rel >= threshold`` (the evaluation job uses 2)."""
     c = F.col(rel) if isinstance(rel, str) else rel

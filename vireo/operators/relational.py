@@ -24,10 +24,6 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def _names(xs) -> list[str]:
-    return [x if isinstance(x, str) else str(x) for x in xs]
-
-
 def ordered_prefix(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
                    sums: dict[str, Column] | None = None, pos_col: str = "pos",
                    num_partitions: int | None = None, method: str = "auto",
