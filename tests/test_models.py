@@ -97,3 +97,17 @@ def test_sweep_best_config_first_wins(spark):
     res = spark.createDataFrame([(0, 0.001, 0.95, 64, 1.0, 30.0, 31.0), (1, 0.002, 0.95, 64, 1.0, 20.0, 21.0),
                                  (2, 0.003, 0.95, 64, 1.0, 20.0, 19.0)], SW.RESULT_SCHEMA)
     assert SW.best_config(res).first().grid_pos == 1
+
+
+def test_positional_splits_threshold_equals_numbering(spark):
+    from vireo.operators import relational as RL
+    df = spark.range(0, 500).select(((F.col("id") * 7919) % 500).alias("k"))
+    a = {r.k: r.split for r in RL.positional_splits(df, ["k"], [10, 20], ["a", "b"], "c").collect()}
+    old = RL.TOP_N_SPLIT_LIMIT
+    RL.TOP_N_SPLIT_LIMIT = 0          # force the numbering path
+    try:
+        b = {r.k: r.split for r in RL.positional_splits(df, ["k"], [10, 20], ["a", "b"], "c").collect()}
+    finally:
+        RL.TOP_N_SPLIT_LIMIT = old
+    assert a == b
+    assert sum(v == "a" for v in a.values()) == 10 and sum(v == "b" for v in a.values()) == 20

@@ -177,14 +177,43 @@ def fixed_batches(df: DataFrame, order_cols: Sequence, batch_size: int,
         .drop("_vireo_pos")
 
 
-def positional_split(df: DataFrame, order_cols: Sequence, n_first: int,
+TOP_N_SPLIT_LIMIT = 1_000_000
+
+
+def nth_key(df: DataFrame, order_cols: Sequence[str], n: int) -> Column:
+    """Lazy scalar: the ``n``-th smallest ``struct(order_cols)`` (the largest if
+    there are fewer rows). A top-n with a partial limit per task; nothing of
+    the data is shuffled."""
+    key = F.struct(*[F.col(c) for c in order_cols]).alias("_vireo_key")
+    return df.select(key).orderBy("_vireo_key").limit(n).select(F.max("_vireo_key")).scalar()
+
+
+def positional_splits(df: DataFrame, order_cols: Sequence[str], sizes: Sequence[int],
+                      labels: Sequence[str], rest_label: str, split_col: str = "split") -> DataFrame:
+    """Consecutive row ranges in ``order_cols`` order: the first ``sizes[0]`` rows
+    get ``labels[0]``, the next ``sizes[1]`` ``labels[1]``, ...; the rest
+    ``rest_label``. ``order_cols`` must be unique. Bounded sizes use key
+    thresholds (top-n scalar subqueries, no shuffle of the data); larger ones
+    the distributed numbering."""
+    bounds = [sum(sizes[:i + 1]) for i in range(len(sizes))]
+    key = F.struct(*[F.col(c) for c in order_cols])
+    if bounds and bounds[-1] <= TOP_N_SPLIT_LIMIT:
+        conds = [key <= nth_key(df, order_cols, b) for b in bounds]
+    else:
+        df = global_rank(df, order_cols, pos_col="_vireo_pos")
+        conds = [F.col("_vireo_pos") <= b for b in bounds]
+    label = F.lit(rest_label)
+    for cond, lab in reversed(list(zip(conds, labels))):
+        label = F.when(cond, F.lit(lab)).otherwise(label)
+    out = df.withColumn(split_col, label)
+    return out.drop("_vireo_pos") if "_vireo_pos" in out.columns else out
+
+
+def positional_split(df: DataFrame, order_cols: Sequence[str], n_first: int,
                      first_label: str = "validation", rest_label: str = "train",
                      split_col: str = "split") -> DataFrame:
     """First ``n_first`` rows (in ``order_cols`` order) get ``first_label``."""
-    ranked = global_rank(df, order_cols, pos_col="_vireo_pos")
-    return ranked.withColumn(
-        split_col, F.when(F.col("_vireo_pos") <= n_first, F.lit(first_label)).otherwise(F.lit(rest_label))
-    ).drop("_vireo_pos")
+    return positional_splits(df, order_cols, [n_first], [first_label], rest_label, split_col)
 
 
 def last_record(df: DataFrame, order_col: str) -> DataFrame:

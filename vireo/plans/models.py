@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import one_hot, rescale
 from ..operators import inference as INF
 from ..operators import sweep as SW
-from ..operators.relational import fixed_batches, global_rank
+from ..operators.relational import fixed_batches, positional_splits
 from ..sources import load_table
 from ..sources import lookups as LK
 
@@ -30,10 +30,7 @@ BATCH = 3
 
 def classifier_rows(spark, sf_dir):
     e = load_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
-    r = global_rank(e, ["vec_id"], pos_col="rn")
-    split = F.when(F.col("rn") <= N_VALID, "validation").when(F.col("rn") <= 2 * N_VALID, "test") \
-        .otherwise("train")
-    return r.withColumn("split", split).drop("rn")
+    return positional_splits(e, ["vec_id"], [N_VALID, N_VALID], ["validation", "test"], "train")
 
 
 def model(spark, sf_dir):
