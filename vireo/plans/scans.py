@@ -28,14 +28,14 @@ def q_filter_not_equal(spark, sf_dir):
 def q_scan_limit(spark, sf_dir):
     return scan(spark, "parquet", os.path.join(sf_dir, "lineitem.parquet"),
                 columns=["l_orderkey", "l_linenumber", "l_partkey"], limit=LIMIT,
-                order_by=["l_orderkey", "l_linenumber"])
+                order_by=["l_orderkey", "l_linenumber", "l_partkey"])  # total order: (key, line) repeats
 
 
 ORACLE = {
     "scan_project_filter": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'",
     "filter_not_equal": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber <> 1",
     "scan_limit": f"""
-SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT {LIMIT}""",
+SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT {LIMIT}""",
 }
 
 QUERIES = {
