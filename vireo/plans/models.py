@@ -147,8 +147,9 @@ def q_batch_inference_map(spark, sf_dir):
     classes, w = model(spark, sf_dir)
     nm = INF.collect_dictionary(names(spark, sf_dir), "label", "name")
     e = load_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
-    return INF.score_top_k_batches(e, "vec_id", "embedding", classes, w, k=TOP_K,
-                                   temperature=TEMPERATURE, names=nm)
+    out = INF.score_top_k_batches(e, "vec_id", "embedding", classes, w, k=TOP_K,
+                                  temperature=TEMPERATURE, names=nm)
+    return out.select("vec_id", "rank", "label", "name", F.round("score", 6).alias("score"))
 
 
 def q_sweep_softmax(spark, sf_dir):
@@ -226,6 +227,8 @@ SELECT CAST((rn - 1) // {BATCH} AS BIGINT) AS batch, count(*) AS n, min(o_orderk
 FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) GROUP BY 1""",
 }
 
+ORACLE["batch_inference_map"] = ORACLE["batch_inference_top_k"]
+
 QUERIES = {
     "url_index_parse": q_url_index_parse,
     "label_map_parse": q_label_map_parse,

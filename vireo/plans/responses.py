@@ -249,6 +249,10 @@ SELECT p.page_id,
        CASE WHEN c.payload IS NULL THEN 'missing' WHEN length(trim(c.payload)) = 0 THEN 'bad_payload' ELSE 'ok' END AS status,
        CAST(length(c.payload) AS INTEGER) AS payload_len
 FROM pages p LEFT JOIN c USING (url)""",
+    "enrich_map_batches": """
+SELECT page_id, url, title
+FROM (SELECT page_id, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages)
+WHERE title <> ''""",
     "jsonl_roundtrip": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "last_record": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 1",
 }
