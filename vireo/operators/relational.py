@@ -221,9 +221,14 @@ def last_record(df: DataFrame, order_col: str) -> DataFrame:
     return df.orderBy(F.col(order_col).desc()).limit(1)
 
 
-def sample_one(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """Deterministic one-row sample: the row with the smallest seeded hash of ``key``."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(1)
+def sample_one(df: DataFrame, keys: str | Sequence[str], seed: int = 42) -> DataFrame:
+    """Deterministic one-row sample: the row with the smallest seeded hash of its
+    key columns (``keys`` should identify a row). A top-1: each task keeps one
+    candidate before the merge. The hash is md5 of ``key|key|...|seed``, so any
+    engine with md5 picks the same row."""
+    ks = [keys] if isinstance(keys, str) else list(keys)
+    h = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in ks], F.lit(str(seed))))
+    return df.orderBy(h, *[F.col(k) for k in ks]).limit(1)
 
 
 def anti_join(left: DataFrame, right: DataFrame, on) -> DataFrame:
