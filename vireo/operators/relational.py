@@ -48,10 +48,14 @@ def ordered_prefix(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
     sums = dict(sums or {})
     order = _cols(order_cols)
     total = None
+    n = num_partitions
     if method == "auto":
         if group_cols:
+            # the window's exchange has the session's shuffle partitions (AQE
+            # coalesces them); no explicit repartition, so a `pos <= k` filter
+            # still becomes a partial WindowGroupLimit before the shuffle
             total, top = _group_stats(df, group_cols)
-            method = "range" if _is_hot(total, top, _base_partitions(df, num_partitions)) else "window"
+            method = "range" if _is_hot(total, top, _base_partitions(df, n)) else "window"
         else:
             method = "range"
     if method == "window":
@@ -65,11 +69,8 @@ def ordered_prefix(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
         raise ValueError(f"unknown method {method!r}")
 
     spark = df.sparkSession
-    n = num_partitions
     if not n:
-        if total is None:
-            total = df.count()
-        n = max(_base_partitions(df, None), math.ceil(total / max(1, rows_per_partition)))
+        n = _partitions_for(df, df.count() if total is None else total, rows_per_partition)
     gcols = list(group_cols)
     keyed = df
     tmp_sums = {}
@@ -122,6 +123,11 @@ def _base_partitions(df: DataFrame, num_partitions: int | None) -> int:
     return num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _partitions_for(df: DataFrame, total: int, rows_per_partition: int) -> int:
+    """At least the shuffle partitions, more when the rows need them."""
+    return max(_base_partitions(df, None), math.ceil(total / max(1, rows_per_partition)))
+
+
 def _group_stats(df: DataFrame, group_cols: Sequence[str]) -> tuple[int, int]:
     """(rows, rows of the largest group) in one partial aggregate."""
     stats = df.groupBy(*group_cols).count().agg(F.sum("count").alias("total"), F.max("count").alias("top")).first()
