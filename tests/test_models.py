@@ -111,3 +111,10 @@ def test_positional_splits_threshold_equals_numbering(spark):
         RL.TOP_N_SPLIT_LIMIT = old
     assert a == b
     assert sum(v == "a" for v in a.values()) == 10 and sum(v == "b" for v in a.values()) == 20
+
+
+def test_recommended_conf():
+    from vireo.session import recommended_conf
+    c = recommended_conf(100 * 2**40, 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (256 << 20)
+    assert int(recommended_conf(1 << 20, 8)["spark.sql.shuffle.partitions"]) == 16

@@ -38,6 +38,26 @@ def get_spark(master: str | None = None, app: str = "vireo",
     return spark
 
 
+def recommended_conf(input_bytes: int, total_cores: int, shuffle_target_bytes: int = 256 << 20,
+                     split_bytes: int = 256 << 20) -> dict:
+    """Settings sized for ``input_bytes`` of input on ``total_cores`` cores.
+
+    Shuffle partitions start at about one per ``shuffle_target_bytes`` of
+    input (never fewer than 2x the cores) and AQE coalesces the small ones;
+    file splits of ``split_bytes``; AQE skew-join splitting on. Pass the dict
+    as ``extra`` to :func:`get_spark` or to the cluster's submit settings.
+    """
+    parts = max(2 * total_cores, -(-input_bytes // shuffle_target_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(shuffle_target_bytes // 2),
+        "spark.sql.files.maxPartitionBytes": str(split_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
