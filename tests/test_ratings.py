@@ -133,3 +133,27 @@ def test_als_with_wide_keys(spark):
     out = RC.als_predict(m, r).collect()
     assert len(out) == len(rows)
     assert {(x.user, x.item) for x in out} == {(u, i) for u, i, _ in rows}
+
+
+def test_recommendations_with_wide_keys(spark):
+    big = 2**40
+    rng = np.random.default_rng(3)
+    rows = [(big + u, big * 2 + i, float(rng.integers(1, 6))) for u in range(15) for i in range(12)
+            if rng.random() < 0.5]
+    r = spark.createDataFrame(rows, "user long, item long, rating double")
+    m = RC.train_als_any_ids(r, rank=2, max_iter=3, reg=0.1)
+    rated = {(u, i) for u, i, _ in rows}
+    # one user: equals brute-force scoring of the unseen items
+    items = spark.createDataFrame([(big * 2 + i,) for i in range(12)], "item long")
+    one = RC.recommend_unseen(m, items, r, big + 0, n=3).collect()
+    cand = spark.createDataFrame([(big + 0, big * 2 + i) for i in range(12) if (big, big * 2 + i) not in rated],
+                                 "user long, item long")
+    brute = sorted((-x.prediction, x.item) for x in RC.als_predict(m, cand).collect())[:3]
+    assert [x.item for x in one] == [it for _, it in brute]
+    # all users: wide keys come back, no rated pair, n per user (every user has >= 3 unseen here)
+    allr = RC.recommend_all_unseen(m, r, n=3).collect()
+    assert all(x.user >= big and x.item >= 2 * big and (x.user, x.item) not in rated for x in allr)
+    per = {}
+    for x in allr:
+        per[x.user] = per.get(x.user, 0) + 1
+    assert set(per.values()) == {3}

@@ -269,15 +269,21 @@ def recommend_unseen(model, items: DataFrame, rated: DataFrame, user_id: int, n:
     cand = items.select(item).distinct().join(rated.filter(F.col("user") == user_id).select(item).distinct(),
                                               item, "left_anti")
     if isinstance(model, IndexedALSModel):
-        scored = als_predict(model, cand.withColumn("user", F.lit(user_id)))
+        # wide keys: user vector and item factors reached through the id tables
+        uvec = model.model.userFactors.join(model.users.filter(F.col(model.user) == user_id),
+                                            F.col("id") == F.col("idx")).select("features").scalar()
+        factors = model.model.itemFactors.join(model.items, F.col("id") == F.col("idx")) \
+            .select(F.col(model.item).alias("_fid"), F.col("features").alias("_f"))
+        on = F.col(item) == F.col("_fid")
     else:
         uvec = model.userFactors.filter(F.col("id") == int(user_id)).select("features").scalar()
         factors = model.itemFactors.select(F.col("id").alias("_fid"), F.col("features").alias("_f"))
-        scored = cand.join(factors, F.col(item).cast("int") == F.col("_fid"), "inner") \
-            .withColumn("_u", uvec) \
-            .select(F.lit(user_id).alias("user"), F.col(item),
-                    dot(F.col("_f"), F.col("_u")).cast("float").alias("prediction")) \
-            .filter(F.col("prediction").isNotNull())
+        on = F.col(item).cast("int") == F.col("_fid")
+    scored = cand.join(factors, on, "inner") \
+        .withColumn("_u", uvec) \
+        .select(F.lit(user_id).alias("user"), F.col(item),
+                dot(F.col("_f"), F.col("_u")).cast("float").alias("prediction")) \
+        .filter(F.col("prediction").isNotNull())
     return scored.orderBy(F.col("prediction").desc(), F.col(item)).limit(n)
 
 
@@ -295,6 +301,17 @@ def recommend_all_unseen(model, rated: DataFrame, n: int = 10, first_k: int | No
     from ..session import ensure_checkpoint_dir
     from .relational import top_k_per_group
 
+    if isinstance(model, IndexedALSModel):
+        # wide keys: run on dense ids, map the result back through the id tables
+        u, i = model.user, model.item
+        dense = rated.join(model.users, u).drop(u).withColumnRenamed("idx", "user") \
+            .join(model.items, i).drop(i).withColumnRenamed("idx", "item")
+        out = recommend_all_unseen(model.model, dense, n, first_k, max_rounds) \
+            .withColumnRenamed("user", "_du").withColumnRenamed("item", "_di")
+        users = model.users.select(F.col(u).alias("_ku"), F.col("idx").alias("_du"))
+        items = model.items.select(F.col(i).alias("_ki"), F.col("idx").alias("_di"))
+        return out.join(users, "_du").join(items, "_di") \
+            .select(F.col("_ku").alias("user"), F.col("_ki").alias("item"), "prediction", "rank")
     ensure_checkpoint_dir(rated.sparkSession)
     pairs = rated.select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item")) \
         .distinct()
