@@ -71,3 +71,11 @@ def test_scan_formats_and_pushdown(spark, sf_small):
     assert c.count() == n
     assert [r.c_custkey for r in j.collect()] == [r.c_custkey for r in src.filter("c_mktsegment = 'BUILDING'")
                                                   .orderBy("c_custkey").limit(5).collect()]
+
+
+def test_jdbc_scan_requires_bounds(spark):
+    import pytest
+
+    from vireo.sources import jdbc_scan
+    with pytest.raises(ValueError, match="lower_bound"):
+        jdbc_scan(spark, "jdbc:none://x", table="t", partition_column="id", num_partitions=8)
