@@ -54,3 +54,67 @@ def keep_rows(docs: DataFrame, kept: DataFrame, once: bool) -> DataFrame:
 
 def pow2_at_least(n: int) -> int:
     return 1 << max(0, int(n - 1).bit_length())
+
+
+def crc_mod(m: int, col: str = "doc_id"):
+    """crc32 of the id as text, modulo ``m``."""
+    return F.crc32(F.col(col).cast("string").cast("binary")) % m
+
+
+def labelled_sample(labels: DataFrame, column: str, per_class: int, where=None) -> DataFrame:
+    """A bounded training sample: for either class at most ``per_class`` ids, those of the
+    least hash, as a local table (doc_id, label, half 0/1).
+
+    Null ids and labels are left out; an id that is labelled twice counts once, with the larger label.
+    """
+    rows = pick(labels, "doc_id", column).withColumnRenamed(column, "label")
+    if where is not None:
+        rows = rows.where(where)
+    rows = rows.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    found = []
+    for c in (0, 1):
+        best = rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
+        found += [(r["doc_id"], c, n % 2) for n, r in enumerate(best)]
+    return labels.sparkSession.createDataFrame(found, "doc_id long, label int, half int")
+
+
+def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """``sample`` with the whole text of its rows; the texts are not shuffled."""
+    texts = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    return texts.join(F.broadcast(sample), "doc_id")        # at most the sample's bounded number of ids
+
+
+def char_groups(texts, most: int = 1 << 20):
+    """Lists of (row, text part) of about ``most`` characters in all; a longer text is a group of its own."""
+    group, size = [], 0
+    for i, t in enumerate(texts):
+        if group and size + len(t) > most:
+            yield group
+            group, size = [], 0
+        group.append((i, t))
+        size += len(t)
+    if group:
+        yield group
+
+
+def fit_logistic(x, y, weight=None, l2=1e-3, rounds=60):
+    """Newton steps for a ridge logistic regression on a few standardised features.
+
+    Returns (mean, scale, weights with the intercept last).
+    """
+    import numpy as np
+
+    weight = np.ones(len(y)) if weight is None else weight
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    z = np.c_[(x - mean) / scale, np.ones(len(x))]
+    w = np.zeros(z.shape[1])
+    ridge = l2 * np.r_[np.ones(len(w) - 1), 1e-6]
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        grad = z.T @ (weight * (p - y)) / weight.sum() + ridge * w
+        hess = (z * (weight * p * (1 - p))[:, None]).T @ z / weight.sum() + np.diag(ridge + 1e-9)
+        step = np.linalg.solve(hess, grad)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return mean, scale, w

@@ -206,7 +206,7 @@ def exact_duplicates(docs: DataFrame, keys=("doc_id",)) -> DataFrame:
     groups = texts.groupBy("fp", "norm").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = groups.select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), "n")
     last = hashed.groupBy("fp", "sha").agg(F.max(F.struct("doc_id", "part", "rid")).alias("last"))
-    groups = groups.join(last, ["fp", "sha"])
+    groups = cut(groups.join(last, ["fp", "sha"]))       # apart, so that a hot group's rows can be split in the join
     own = F.struct("doc_id", "part", "rid")
     return hashed.join(groups, ["fp", "sha"], "left").select(
         *keys,

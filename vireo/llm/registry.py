@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact, packing, simhash
-from .common import table
+from . import exact, langid, packing, quality, simhash, toxicity, weighted
+from .common import crc_mod, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -20,10 +20,35 @@ def op1_simhash(spark, sf_dir):
     return out.select("doc_id", hex64("fp").alias("fingerprint"), "component_id")
 
 
+def op2_quality(spark, sf_dir):
+    docs, held = table(spark, sf_dir, "documents"), crc_mod(3) == 1
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", where=~held)
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_langid(spark, sf_dir):
+    docs, held = table(spark, sf_dir, "documents"), crc_mod(4) == 2
+    out = langid.predict(docs, langid.fit(docs, where=~held))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op5_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, 2048, with_ids=False)
 
 
+def op6_weighted(spark, sf_dir):
+    out = weighted.compare_neighbours(table(spark, sf_dir, "documents"))
+    hex_of = lambda c: F.lower(F.hex(c)).alias(c)
+    return out.select("doc_id", "n_chars", F.lower(F.hex("edited_sha")).alias("edited_sha256"), hex_of("fingerprint"),
+                      hex_of("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op7_toxicity(spark, sf_dir):
+    docs, held = table(spark, sf_dir, "documents"), crc_mod(5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", where=~held)
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     out = exact.exact_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
@@ -41,7 +66,8 @@ ORACLE = {
         FROM d""",
 }
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op5_packing, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_simhash, op2_quality, op4_langid, op5_packing, op6_weighted, op7_toxicity, op8_exact_dedup)}
 
 
 def queries():
