@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact, langid, packing, quality, simhash, toxicity, weighted
+from . import exact, langid, mixing, packing, passages, pii, quality, simhash, toxicity, weighted
 from .common import crc_mod, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,10 @@ def op2_quality(spark, sf_dir):
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_passages(spark, sf_dir):
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_langid(spark, sf_dir):
     docs, held = table(spark, sf_dir, "documents"), crc_mod(4) == 2
     out = langid.predict(docs, langid.fit(docs, where=~held))
@@ -54,6 +58,28 @@ def op8_exact_dedup(spark, sf_dir):
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op9_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = pii.find(docs, pii.fit(docs))
+    said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", *map(number, pii.KINDS), F.sha2(said("base").cast("binary"), 256).alias("base_sha256"), said("spans").alias("spans"))
+
+
+# share of the tokens wanted of each kind of document, by its labels
+TARGETS = {"good_clean": 0.85, "good_toxic": 0.03, "bad_clean": 0.10, "bad_toxic": 0.02}
+
+
+def domains(labels):
+    """labels -> (doc_id, domain)"""
+    name = F.concat(F.when(F.col("quality") == 1, "good_").otherwise("bad_"), F.when(F.col("toxic") == 1, "toxic").otherwise("clean"))
+    return labels.where("quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", name.alias("domain"))
+
+
+def op10_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), TARGETS)
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE = {
@@ -67,7 +93,8 @@ ORACLE = {
 }
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_quality, op4_langid, op5_packing, op6_weighted, op7_toxicity, op8_exact_dedup)}
+    op1_simhash, op2_quality, op3_passages, op4_langid, op5_packing, op6_weighted, op7_toxicity, op8_exact_dedup, op9_pii,
+    op10_mixing)}
 
 
 def queries():

@@ -19,7 +19,7 @@ ORDERS = (4, 5)
 BUCKETS = 1 << 20
 PER_CLASS = 6_000       # labelled rows of each class in the sample
 FEATURES = 4_000        # n-grams with a weight
-LEAST_Z = 5.0           # significance of a log ratio, in standard errors
+LEAST_Z = 3.5           # significance of a log ratio, in standard errors
 SMOOTH = 0.5
 
 
