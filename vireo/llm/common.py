@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import ensure_checkpoint_dir
 
@@ -20,9 +21,9 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return pos.select(*[F.col(f"c{cols.index(n)}").alias(n) for n in names])
 
 
-def row_key(*cols: str):
-    """64-bit key that, beside the id, tells rows with the same id apart."""
-    return F.xxhash64(*[F.col(c) for c in cols])
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``key``, a hash of both, which tells rows with the same id apart."""
+    return pick(docs, "doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,8 +46,6 @@ def keep_rows(docs: DataFrame, kept: DataFrame, once: bool) -> DataFrame:
     out = left.join(right, F.col("_key").eqNullSafe(F.col("_kkey")) & F.col("_id").eqNullSafe(F.col("_kid")), "left_semi")
     if once:
         # rows that repeat share id, key and text; all others are alone in their group
-        from pyspark.sql.window import Window
-
         w = Window.partitionBy("_key", "_id").orderBy("_key")
         out = out.withColumn("_n", F.row_number().over(w)).where("_n = 1")
     return out.select(*[f"c{k}" for k in range(len(cols))]).toDF(*cols)
@@ -78,6 +77,15 @@ def labelled_sample(labels: DataFrame, column: str, per_class: int, where=None)
     return labels.sparkSession.createDataFrame(found, "doc_id long, label int, half int")
 
 
+def least_hashes(rows: DataFrame, group: str, limit: int, salts: int = 64) -> DataFrame:
+    """The ``limit`` rows of each group whose doc_id has the least hash; a large group is cut down in ``salts`` parts first."""
+    at = F.xxhash64("doc_id")
+    for by in ([group, F.pmod(at, F.lit(salts))], [group]):
+        w = Window.partitionBy(*by).orderBy(at, "doc_id")
+        rows = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+    return rows
+
+
 def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     """``sample`` with the whole text of its rows; the texts are not shuffled."""
     texts = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))

@@ -15,9 +15,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import char_groups, pick
+from .common import char_groups, least_hashes, pick
 
 ORDER = 3
 PER_LANG = 2_000        # texts of each language in the training sample
@@ -107,8 +106,7 @@ def fit(docs: DataFrame, where=None, per_lang: int = PER_LANG) -> Model | None:
     known = pick(docs, "doc_id", "lang").where("lang IS NOT NULL AND doc_id IS NOT NULL")
     if where is not None:
         known = known.where(where)
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = known.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_lang).select("doc_id", "lang").collect()
+    rows = least_hashes(known, "lang", per_lang).collect()
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None

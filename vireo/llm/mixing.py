@@ -24,18 +24,17 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import cut, pick
+from .common import cut, least_hashes, pick
 
 PER_DOMAIN = 3_000      # labelled documents of each domain in the sample
 FEATURES = 1_000        # words with a weight
 LEAST_Z = 4.0
 DIGITS = 2              # decimals of a posterior: bounds the number of cells
 RIDGE = 1e-3
-STEPS = 40
-SETTLED = 1e-5          # or when no share moves by more than this in a step
-CLOSE = 1e-4            # stop when no domain's share is further off than this
+STEPS = 25
+SETTLED = 1e-4          # or when no share moves by more than this in a step
+CLOSE = 1e-3            # stop when no domain's share is further off than this
 MARKS = "*&%$#!|"
 
 
@@ -66,8 +65,7 @@ def fit(docs: DataFrame, labelled: DataFrame, domains, per_domain: int = PER_DOM
     rows = pick(labelled, "doc_id", "domain").where(F.col("doc_id").isNotNull() & F.col("domain").isin(*domains))
     rows = rows.groupBy("doc_id").agg(F.min("domain").alias("domain"))
     n_all = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
-    w = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_domain).drop("n")
+    sample = least_hashes(rows, "domain", per_domain)
     texts = pick(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id")     # bounded by per_domain
     seen = _words(texts, "doc_id", "domain").where("word <> ''").select("doc_id", "domain", "feature").distinct()
     have = {k: min(per_domain, n_all.get(k, 0)) for k in domains}
@@ -165,7 +163,9 @@ def fit_rates(members: DataFrame, targets) -> list:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict, keys=("doc_id",)) -> DataFrame:
-    """One row per row of ``docs``: ``keys``, tokens, p_<domain>.., rate, copies.
+    """One row per row of ``docs``: ``keys``, tokens, p_<domain>.., rate, copies, relative.
+
+    ``relative`` is the rate over that of the document which is most likely of the domain with the greatest target.
 
     ``targets``: domain -> share of the tokens wanted. ``copies`` is the rate
     rounded up or down by a hash of the keys, so that its expectation is the
@@ -181,4 +181,17 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict, keys=("doc_id",)) -
     out = members.withColumn("rate", rate)
     chance = F.shiftrightunsigned(F.xxhash64(F.lit("copies"), *keys), 12) / float(1 << 52)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).alias("copies")
-    return out.select(*keys, "tokens", *[F.col(f"p{i}").alias(f"p_{k}") for i, k in enumerate(domains)], "rate", copies)
+    wanted = max(range(len(domains)), key=lambda i: targets[domains[i]])
+    most = out.agg(F.max(F.struct(f"p{wanted}", "rate")).alias("top")).first()["top"]
+    relative = (F.col("rate") / most["rate"] if most and most["rate"] > 0 else F.lit(1.0)).alias("relative")
+    return out.select(*keys, "tokens", *[F.col(f"p{i}").alias(f"p_{k}") for i, k in enumerate(domains)], "rate", copies, relative)
+
+
+def thinned(mixed: DataFrame, spare: float = 0.8) -> DataFrame:
+    """The rows of ``mixed`` (keys doc_id, key) that stay when nothing may repeat.
+
+    A document whose relative rate is ``spare`` or more always stays, one
+    below by chance (a hash of its keys), in proportion to its rate.
+    """
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit("thinned"), "doc_id", "key"), 12) / float(1 << 52)
+    return mixed.where(chance < F.col("relative") / spare)

@@ -124,6 +124,22 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", where=None,
     return Model(*dicts, raw, mean, scale, w, 0.5)
 
 
+class _Scorer:
+    def __init__(self, model):
+        self.model = model
+        self.sizes = None if model.weights is None else _Sizes(model.good, model.bad, model.raw)
+
+    def __call__(self, texts):
+        import numpy as np
+
+        m = self.model
+        if self.sizes is None or not texts:
+            return np.full(len(texts), m.prior)
+        f = np.array([self.sizes.features(t) for t in texts])
+        x = _expand(f) if len(m.weights) > 2 else f[:, :1]
+        return 1 / (1 + np.exp(-np.clip(((x - m.mean) / m.scale) @ m.weights[:-1] + m.weights[-1], -30, 30)))
+
+
 def score(docs: DataFrame, model: Model, keys=("doc_id",)) -> DataFrame:
     """``keys`` + score (0 to 1, higher: the good class likelier) of every whole text.
 
@@ -135,18 +151,28 @@ def score(docs: DataFrame, model: Model, keys=("doc_id",)) -> DataFrame:
     kinds = dict(rows.dtypes)
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        sizes = None if model.weights is None else _Sizes(model.good, model.bad, model.raw)
+        scorer = _Scorer(model)
         for rb in batches:
             at = rb.num_columns - 1
-            if sizes is None or not rb.num_rows:
-                s = np.full(rb.num_rows, model.prior)
-            else:
-                f = np.array([sizes.features(t) for t in rb.column(at).to_pylist()])
-                x = _expand(f) if len(model.weights) > 2 else f[:, :1]
-                s = 1 / (1 + np.exp(-np.clip(((x - model.mean) / model.scale) @ model.weights[:-1] + model.weights[-1], -30, 30)))
-            yield pa.record_batch([*rb.columns[:at], pa.array(s)], names=[*rb.schema.names[:at], "score"])
+            yield pa.record_batch([*rb.columns[:at], pa.array(scorer(rb.column(at).to_pylist()))], names=[*rb.schema.names[:at], "score"])
 
     return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", score double")
+
+
+def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``least``, with all their columns; nothing is shuffled."""
+    cols = docs.columns
+    pos = docs.toDF(*[f"c{i}" for i in range(len(cols))])
+    at = cols.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        scorer = _Scorer(model)
+        for rb in batches:
+            if rb.num_rows:
+                yield rb.filter(pa.array(scorer(rb.column(at).to_pylist()) >= least))
+
+    return pos.mapInArrow(run, pos.schema).toDF(*cols)

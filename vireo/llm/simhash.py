@@ -239,7 +239,8 @@ def link_fingerprints(fps: DataFrame, max_bits: int = 4, cell_limit: int = 50_00
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, cell_limit: int = 50_000, keys=("doc_id",)) -> DataFrame:
-    """One row per row of ``docs``: ``keys``, ``fp`` long, ``component_id`` (smallest doc_id reachable).
+    """One row per row of ``docs``: ``keys``, ``fp`` long, ``root`` (the smallest fingerprint of its component),
+    ``component_id`` (smallest doc_id reachable).
 
     Null and word-less texts have fingerprint zero and are linked like any
     other. Repeated rows come back repeated; rows with a null id count in a
@@ -252,5 +253,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, cell_l
     rooted = groups.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = rooted.join(least, "root").select("fp", "component_id")
-    return own.join(names, "fp").select(*keys, "fp", "component_id")
+    names = cut(rooted.join(least, "root").select("fp", "root", "component_id"))    # apart: a hot fingerprint's rows can be split
+    return own.join(names, "fp").select(*keys, "fp", "root", "component_id")
+
+
+def representatives(found: DataFrame) -> DataFrame:
+    """(doc_id, key) of the one document that stays of each group of ``found``: the smallest id, ids before nulls."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    return found.groupBy("root").agg(first).select("first.doc_id", "first.key")
