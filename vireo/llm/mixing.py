@@ -29,7 +29,7 @@ from .common import cut, least_hashes, pick
 
 PER_DOMAIN = 3_000      # labelled documents of each domain in the sample
 FEATURES = 1_000        # words with a weight
-LEAST_Z = 4.0
+LEAST_Z = 3.0
 DIGITS = 2              # decimals of a posterior: bounds the number of cells
 RIDGE = 1e-3
 STEPS = 25
@@ -187,7 +187,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict, keys=("doc_id",)) -
     return out.select(*keys, "tokens", *[F.col(f"p{i}").alias(f"p_{k}") for i, k in enumerate(domains)], "rate", copies, relative)
 
 
-def thinned(mixed: DataFrame, spare: float = 0.8) -> DataFrame:
+def thinned(mixed: DataFrame, spare: float = 0.5) -> DataFrame:
     """The rows of ``mixed`` (keys doc_id, key) that stay when nothing may repeat.
 
     A document whose relative rate is ``spare`` or more always stays, one

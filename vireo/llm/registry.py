@@ -67,7 +67,7 @@ def op9_pii(spark, sf_dir):
 
 
 # share of the tokens wanted of each kind of document, by its labels
-TARGETS = {"good_clean": 0.85, "good_toxic": 0.03, "bad_clean": 0.10, "bad_toxic": 0.02}
+TARGETS = {"good_clean": 0.85, "good_toxic": 0.06, "bad_clean": 0.08, "bad_toxic": 0.01}
 
 
 def domains(labels):
