@@ -1,0 +1,305 @@
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from vireo.llm import langid, mixing, packing, pii, quality, registry, toxicity, weighted
+from vireo.llm.common import crc_mod
+
+SF = "/root/testdata/sf0.01"
+
+
+def read(spark, name):
+    return spark.read.parquet(f"{SF}/{name}.parquet")
+
+
+def held_out(spark, query, column):
+    rows = query(spark, SF).join(read(spark, "labels"), "doc_id").where("held_out").select("score", "predicted", column).collect()
+    return [(r["score"], r["predicted"], r[column]) for r in rows]
+
+
+def auc(rows):
+    good, bad = ([s for s, _, y in rows if y == c] for c in (1, 0))
+    return sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+
+
+# quality and toxicity
+
+def test_quality_held_out(spark):
+    rows = held_out(spark, registry.op2_quality, "quality")
+    assert auc(rows) > 0.9 and np.mean([p == y for _, p, y in rows]) > 0.95
+
+
+def test_toxicity_held_out(spark):
+    rows = held_out(spark, registry.op7_toxicity, "toxic")
+    assert auc(rows) > 0.7 and np.mean([p == y for _, p, y in rows]) > 0.9
+    assert sum(p for _, p, y in rows if y == 0) <= 2
+
+
+def test_toxic_words_are_learned(spark, frame):
+    rng = random.Random(0)
+    texts = [" ".join([f"w{rng.randrange(400)}" for _ in range(40)] + (["vile slur"] if i % 4 == 0 else [])) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.fit(frame(texts), labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame(texts), model).collect()}
+    assert all((got[i] >= 0.5) == (i % 4 == 0) for i in range(300, 400))
+    long = toxicity.score(frame(["a b " * 400_000 + "vile slur", "a b " * 400_000]), model)
+    assert [r["score"] >= 0.5 for r in long.orderBy("doc_id").collect()] == [True, False]
+
+
+@pytest.mark.parametrize("module, column", [(quality, "quality"), (toxicity, "toxic")])
+def test_scorers_on_odd_rows(spark, odd, none, module, column):
+    labels = spark.createDataFrame([(1, 0), (4, 1), (5, 1), (6, 0), (6, 0), (7, 1), (None, 1), (8, None)], f"doc_id long, {column} int")
+    for model in (module.fit(odd, labels, column), module.fit(odd, labels.limit(0), column), module.fit(none, labels, column)):
+        rows = module.score(odd, model).collect()
+        assert len(rows) == 11 and all(0 <= r["score"] <= 1 for r in rows)
+        assert module.score(none, model).count() == 0
+
+
+def test_quality_keep_returns_whole_rows(odd, spark):
+    labels = spark.createDataFrame([(4, 1)], "doc_id long, quality int")
+    out = quality.keep(odd, quality.fit(odd, labels), 0.0)
+    assert out.columns == odd.columns and out.count() == odd.count()
+    assert quality.keep(odd, quality.fit(odd, labels), 1.1).count() == 0
+
+
+# language
+
+def test_language_held_out(spark):
+    rows = registry.op4_langid(spark, SF).join(read(spark, "documents").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97
+
+
+def plain_bits(train, text):
+    """Code length by walking one language's context counts."""
+    counts = defaultdict(Counter)
+    for t in train:
+        b = b"\n" * 3 + t.encode()
+        for i in range(3, len(b)):
+            for k in range(4):
+                counts[b[i - k:i]][b[i]] += 1
+    total, b = 0.0, b"\n" * 3 + text.encode()
+    for i in range(3, len(b)):
+        for k in (3, 2, 1, 0):
+            c = counts.get(b[i - k:i])
+            if c is None:
+                continue
+            n, q = sum(c.values()), len(c)
+            if b[i] in c:
+                total -= math.log2(c[b[i]] / (n + q))
+                break
+            total -= math.log2(q / (n + q))
+        else:
+            total += 8
+    return total
+
+
+def test_code_lengths_match_a_plain_model(spark):
+    rng = random.Random(1)
+    make = lambda letters: "".join(rng.choice(letters) for _ in range(300))
+    train = [("xa", make("abc d")), ("xa", make("ab cé")), ("yb", make("bcde ")), ("yb", make("cß e"))]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(train)], "doc_id long, text string, lang string")
+    probe = [make("abc d"), make("bcdeß "), "zzz", "Q" + make("xyz")]
+    rows = langid.predict(spark.createDataFrame(list(enumerate(probe)), "doc_id long, text string"), langid.fit(docs)).orderBy("doc_id").collect()
+    for r, t in zip(rows, probe):
+        want = [plain_bits([x for y, x in train if y == lang], t) for lang in ("xa", "yb")]
+        assert np.allclose(r["bits"], want, rtol=1e-4)
+        assert r["lang_pred"] == ("xa", "yb")[int(np.argmin(want))]
+
+
+def test_language_odd_rows(odd, none, spark):
+    model = langid.fit(odd)
+    rows = langid.predict(odd, model).collect()
+    assert len(rows) == 11 and {r["lang_pred"] for r in rows if r["doc_id"] in (1, 2, 3)} == {"und"}
+    assert {r["lang_pred"] for r in rows if r["doc_id"] in (4, 6, 8)} == {"en"}
+    assert langid.fit(none) is None and {r["lang_pred"] for r in langid.predict(odd, None).collect()} == {"und"}
+    assert langid.predict(none, model).count() == 0
+
+
+# packing
+
+def ids_of(text):
+    from tokenizers import Tokenizer
+
+    ids_of.t = getattr(ids_of, "t", None) or Tokenizer.from_file(registry.TOKENIZER)
+    return [*ids_of.t.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+def check_pieces(rows, texts, capacity):
+    by, seq = defaultdict(list), defaultdict(list)
+    for r in rows:
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert len(ids) == r["length"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"]
+        by[r["doc_id"]].append((r["start"], ids, r["doc_tokens"]))
+        seq[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert set(by) == set(texts)
+    for i, t in texts.items():
+        whole = [x for s, ids, _ in sorted(by[i]) for x in ids]
+        assert whole == ids_of(t) and {n for _, _, n in by[i]} == {len(whole)}
+    for pieces in seq.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at == capacity or at < capacity and at & (at - 1) == 0
+    assert sum(sum(n for _, n in p) != capacity for p in seq.values()) <= 11
+
+
+@pytest.mark.parametrize("parts, group, windows", [(1, 256, 64), (20, 3, 4)])
+def test_packing_round_trip(frame, monkeypatch, parts, group, windows):
+    monkeypatch.setattr(packing, "GROUP", group)
+    rng = random.Random(7)
+    bits = ["Hello", "world's", "naïve.", "1234", "<|endoftext|>", "éé", "İstanbul", "ΣΑΣ", "á", "\x1c", "x,y", "--", "it'll"]
+    texts = {i: " ".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 5, 50, 400]))) + rng.choice(["", "\n", "\t."]) for i in range(120)}
+    rows = packing.pack(frame(list(texts.values()), list(texts), parts), registry.TOKENIZER, 128, open_windows=windows).collect()
+    check_pieces(rows, texts, 128)
+
+
+def test_packing_odd_rows(odd, none):
+    rows = packing.pack(odd, registry.TOKENIZER).collect()
+    assert sorted((r["doc_id"] or 0) for r in rows if r["doc_tokens"] == 1) == [0, 1, 2, 3]
+    assert sum(r["length"] for r in rows if r["doc_id"] == 6) == len(ids_of(next(t for i, t in [(r.doc_id, r.text) for r in odd.collect()] if i == 6)))
+    assert packing.pack(none, registry.TOKENIZER).count() == 0
+
+
+# fingerprints by weighted sampling
+
+def jaccard(a, b):
+    x, y = (Counter(weighted._terms(t).tolist()) for t in (a, b))
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+def test_likeness_estimates_generalised_jaccard():
+    rng = random.Random(3)
+    errors = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(50)}" for _ in range(120)]
+        a, b = " ".join(words), " ".join(words[:rng.randrange(120)] + [f"w{rng.randrange(50)}" for _ in range(60)])
+        errors.append(weighted.likeness(weighted.signature(a), weighted.signature(b)) - jaccard(a, b))
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.07
+
+
+def test_neighbours_match_brute_force(frame):
+    rng = random.Random(5)
+    texts = {rng.randrange(-10_000, 10_000): " ".join(f"w{rng.randrange(99)}é" for _ in range(rng.randrange(0, 30))) for _ in range(150)}
+    rows = {r["doc_id"]: r for r in weighted.compare_neighbours(frame(list(texts.values()), list(texts), 5), rows_per_range=16).collect()}
+    order = sorted(texts)
+    assert sorted(rows) == order
+    import hashlib
+    for a, b in zip(order, order[1:] + order[:1]):
+        new = weighted.edited(texts[a], texts[b])
+        sig, esig, nsig = (weighted.signature(t) for t in (texts[a], new, texts[b]))
+        r = rows[a]
+        assert r["n_chars"] == len(texts[a]) and bytes(r["edited_sha"]) == hashlib.sha256(new.encode()).digest()
+        assert (bytes(r["fingerprint"]), bytes(r["edited_fingerprint"])) == (sig.tobytes(), esig.tobytes())
+        assert (r["near_edited"], r["near_next"]) == (weighted.likeness(sig, esig), weighted.likeness(sig, nsig))
+
+
+def test_weighted_odd_rows(odd, none, frame):
+    rows = weighted.compare_neighbours(odd, rows_per_range=2).collect()
+    assert len(rows) == 11
+    assert next(r for r in rows if r["doc_id"] == 6)["near_next"] == 1.0          # equal texts, equal fingerprints
+    assert weighted.compare_neighbours(none).count() == 0
+    one = weighted.compare_neighbours(frame(["abc def"], parts=1)).collect()
+    assert len(one) == 1 and one[0]["near_next"] == 1.0
+    assert weighted.fingerprints(odd).count() == 11
+
+
+# personal data
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab.@-+ 1é%", max_size=40))
+def test_mails_match_the_pattern(text):
+    assert list(pii._mails(text)) == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+
+
+def test_decoding_is_the_best_segmentation():
+    rng = random.Random(0)
+    for _ in range(30):
+        text = "".join(rng.choice(["12", " ", "a", ".", "3"]) for _ in range(6))
+        field = pii.Field({})
+        made = {}
+        field.scores = lambda t, a, b, made=made: made.setdefault((a, b), tuple(rng.uniform(-2, 1) for _ in pii.KINDS))
+        cuts, pairs = pii.candidates(text, 0, len(text))
+
+        def best(i):
+            if i == len(cuts) - 1:
+                return 0.0
+            return max([best(i + 1)] + [max(field.scores(text, cuts[i], cuts[j])) + best(j) for x, j in pairs if x == i])
+
+        top = best(0)
+        got = field.decode(text, 0, len(text))
+        assert all(a[2] <= b[1] for a, b in zip(got, got[1:]))
+        assert math.isclose(sum(made[a, b][pii.KINDS.index(k)] for k, a, b in got), top, abs_tol=1e-9)
+
+
+def test_field_adds_what_a_greedy_match_swallowed(spark):
+    field = pii.fit(read(spark, "documents"))
+    text = "call +1 (826) 555-4081 190.137.22.3 or 4709559030084881 7 and mail a.b@mail.example.com now, born 1987"
+    base, spans = field.spans(text)
+    assert set(base) <= set(spans)
+    assert {(k, text[a:b]) for k, a, b in spans} >= {("phone", "+1 (826) 555-4081"), ("ip", "190.137.22.3"), ("email", "a.b@mail.example.com")}
+    assert field.spans("plain words, no data 1987 and 12 or 3.14") == ([], [])
+
+
+def test_pii_odd_rows(odd, none):
+    field = pii.fit(odd)
+    rows = pii.find(odd, field).collect()
+    assert len(rows) == 11 and all(r["base"] == [] for r in rows)
+    assert pii.find(none, pii.fit(none)).count() == 0
+
+
+# mixing
+
+def test_rates_match_a_plain_solver(spark):
+    rng = np.random.default_rng(1)
+    p = np.round(rng.dirichlet([0.3, 0.2, 0.2], 300), 2)
+    p = p / p.sum(axis=1, keepdims=True)
+    tokens = rng.integers(0, 500, 300)
+    goal = [0.5, 0.2, 0.3]
+    rows = spark.createDataFrame([(i, int(t), *map(float, x)) for i, (t, x) in enumerate(zip(tokens, p))], "doc_id long, tokens long, p0 double, p1 double, p2 double")
+    steps = mixing.fit_rates(rows, goal)
+    got = np.array([r["r"] for r in rows.withColumn("r", mixing._replay(3, steps)).orderBy("doc_id").collect()])
+    mass = tokens / tokens.sum()
+    share = mass @ p
+    r = np.ones(300)
+    for _ in steps:
+        off = (mass * r) @ p - goal
+        r = np.maximum(0, r - (p @ (off / share) + mixing.RIDGE * (r - 1)) / (1 + mixing.RIDGE))
+    assert np.allclose(got, r, atol=1e-9) and (got >= 0).all()
+    assert np.abs((mass * got) @ p - goal).max() < 5e-3
+
+
+def test_mixing_meets_its_targets_without_python(spark):
+    out = registry.op10_mixing(spark, SF)
+    assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().toString())
+    rows = out.collect()
+    assert len(rows) == 1000
+    total = sum(r["tokens"] for r in rows)
+    for k, want in registry.TARGETS.items():
+        assert abs(sum(r["tokens"] * r[f"p_{k}"] * r["rate"] for r in rows) / total - want) < 0.03
+    words = {r["doc_id"]: len(re.findall(r"[^ \n\t\r]+", r["text"])) for r in read(spark, "documents").collect()}
+    assert all(r["tokens"] == words[r["doc_id"]] for r in rows)
+    assert all(abs(r["copies"] - r["rate"]) <= 1 for r in rows)
+
+
+def test_mixing_odd_rows(odd, none, spark):
+    labels = spark.createDataFrame([(4, "a"), (6, "b"), (None, "a"), (8, None), (8, "c")], "doc_id long, domain string")
+    for labelled in (labels, labels.limit(0)):
+        rows = mixing.mix(odd, labelled, {"a": 0.5, "b": 0.5}).collect()
+        assert len(rows) == 11 and all(r["rate"] >= 0 for r in rows)
+        assert {r["tokens"] for r in rows if r["doc_id"] in (1, 2, 3)} == {0}
+    assert mixing.mix(none, labels, {"a": 0.5, "b": 0.5}).count() == 0
+
+
+def test_held_out_rows_are_those_of_the_contract(spark):
+    rows = read(spark, "documents").select("doc_id", crc_mod(3).alias("m")).collect()
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 3 == r["m"] for r in rows)
+    assert F is not None
