@@ -50,7 +50,9 @@ def plain_components(ids, fps, d):
     return [min((x for x in least[r] if x is not None), default=None) for r in root]
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("in_one", [50, 1_000_000])
+def test_components_match_union_find(spark, monkeypatch, in_one):
+    monkeypatch.setattr("vireo.llm.components.IN_ONE", in_one)
     rng = random.Random(3)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 560)] + [(700, x) for x in range(701, 760)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}

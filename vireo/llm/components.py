@@ -1,5 +1,7 @@
-"""Connected components by alternating large-star and small-star rounds.
+"""Connected components: contraction within tasks, then large-star and small-star rounds.
 
+Links are first contracted to stars in tasks of about ``IN_ONE`` links each;
+where one such task holds all, that is the result. Otherwise rounds follow.
 Each round is two grouped minima and two equi-joins; a node with very many
 links is only ever aggregated with map-side partials or met in a join whose
 large side the adaptive skew handling splits. Nothing reaches the driver but
@@ -14,12 +16,15 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+IN_ONE = 1_000_000      # links contracted by one task
+
+
 def _forest(batches):
-    """Spanning forest of each partition's links: fewer, equally connecting links."""
+    """Stars of a partition's links: (node, root) of every linked node that is not a root."""
     import numpy as np
     import pyarrow as pa
 
-    def links(a, b):
+    def stars(a, b):
         nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
         up = list(range(len(nodes)))
 
@@ -34,14 +39,14 @@ def _forest(batches):
             x, y = root(x), root(y)
             if x != y:
                 up[max(x, y)] = min(x, y)
-        tops = np.array([root(x) for x in range(len(nodes))])
+        tops = np.array([root(x) for x in range(len(nodes))], np.int64)
         moved = tops != np.arange(len(nodes))
         return nodes[moved], nodes[tops[moved]]
 
+    u = v = np.zeros(0, np.int64)
     for rb in batches:
-        if rb.num_rows:
-            u, v = links(rb.column(0).to_numpy(), rb.column(1).to_numpy())
-            yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
+        u, v = stars(np.concatenate([u, rb.column(0).to_numpy()]), np.concatenate([v, rb.column(1).to_numpy()]))
+    yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
 def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -52,7 +57,11 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     rounds grow with the logarithm of the longest chain).
     """
     e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-    e = cut(e.mapInArrow(_forest, "u long, v long").distinct())
+    e = cut(e)
+    parts = -(-e.count() // IN_ONE)
+    e = cut(e.coalesce(max(1, parts)).mapInArrow(_forest, "u long, v long"))
+    if parts <= 1:
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     seen = None
     for _ in range(max_rounds):
         state = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
