@@ -40,13 +40,11 @@ def test_label_lookup_chain(spark):
     assert [tuple(r) for r in idx.collect()] == [("1", "http://a/x.jpg")]
 
 
-def test_param_grid_and_chunks(spark):
+def test_param_grid(spark):
     g = SW.param_grid(spark)
     assert g.count() == 50
     rates = sorted({r.base_learning_rate for r in g.collect()})
     assert rates[0] == pytest.approx(1e-3) and rates[-1] == pytest.approx(1e-1)
-    chunks = SW.chunk_grid(list(range(50)), 4)
-    assert [len(c) for c in chunks] == [12, 12, 12, 12, 2]
     lg = spark.range(1).select(V.logspace(-3, -1, 10).alias("a")).first()["a"]
     assert lg == pytest.approx(list(np.logspace(-3, -1, 10)))
 
@@ -63,9 +61,9 @@ def test_vector_functions(spark):
 
 
 def test_text_functions(spark):
-    r = spark.createDataFrame([("img/PBrain7.jpg", [10.9, -2.5, 3.0, 4.0, 5.0], "a b*#")],
+    r = spark.createDataFrame([("img/store/7.jpg", [10.9, -2.5, 3.0, 4.0, 5.0], "a b*#")],
                               "u string, roi array<double>, v string").select(
-        url_suffix_key("u").alias("k"), roi_text("roi").alias("t"),
+        url_suffix_key("u", "store/").alias("k"), roi_text("roi").alias("t"),
         query_string([("x y", F.col("v"))]).alias("q")).first()
     assert (r.k, r.t, r.q) == ("7.jpg", "10 -2 3 4", "x+y=a+b%2A%23")
 
@@ -99,18 +97,45 @@ def test_sweep_best_config_first_wins(spark):
     assert SW.best_config(res).first().grid_pos == 1
 
 
-def test_positional_splits_threshold_equals_numbering(spark):
+def test_positional_splits_by_threshold(spark):
     from vireo.operators import relational as RL
     df = spark.range(0, 500).select(((F.col("id") * 7919) % 500).alias("k"))
     a = {r.k: r.split for r in RL.positional_splits(df, ["k"], [10, 20], ["a", "b"], "c").collect()}
-    old = RL.TOP_N_SPLIT_LIMIT
-    RL.TOP_N_SPLIT_LIMIT = 0          # force the numbering path
-    try:
-        b = {r.k: r.split for r in RL.positional_splits(df, ["k"], [10, 20], ["a", "b"], "c").collect()}
-    finally:
-        RL.TOP_N_SPLIT_LIMIT = old
-    assert a == b
-    assert sum(v == "a" for v in a.values()) == 10 and sum(v == "b" for v in a.values()) == 20
+    assert all(a[k] == ("a" if k < 10 else "b" if k < 30 else "c") for k in range(500))
+
+
+def test_label_without_a_string_does_not_shift_the_others(spark):
+    text = ('  target_class: 5\n}\nentry {\n  target_class: 6\n  other: 1\n  target_class_string: "x"\n}\n'
+            'entry {\n  target_class: 7\n  target_class_string: "y"\n')
+    got = LK.parse_label_map(spark.createDataFrame([(text,)], "value string")).collect()
+    assert [tuple(r) for r in got] == [(6, "x"), (7, "y")]
+
+
+def separable(spark):
+    rows = [(i, [float(i % 3 == c) * 4 - 1 + 0.01 * (i % 7) for c in range(3)], i % 3) for i in range(120)]
+    return spark.createDataFrame(rows, "k long, v array<double>, label int")
+
+
+def test_sweep_learns_and_uses_its_axes(spark):
+    df = separable(spark)
+    out = SW.sweep(df, df, df, "v", "label", 3, rates=(0.05, 0.1), decays=(0.95, 0.1), sizes=(8,), max_iter=30).orderBy("grid_pos").collect()
+    assert len(out) == 4 and all(r.minibatch_loss < SW.SENTINEL and r.test_error < 100.0 for r in out)
+    assert min(r.test_error for r in out) < 5.0
+    assert out[0].minibatch_loss != out[1].minibatch_loss          # the decay matters
+
+
+def test_sweep_raises_what_is_no_divergence(spark):
+    df = separable(spark)
+    with pytest.raises(Exception):
+        SW.sweep(df, df, df, "v", "label", 2, rates=(0.1,), sizes=(4,), max_iter=2).collect()
+
+
+def test_rejected_rows_of_the_scorer(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0])], "k long, v array<double>")
+    for method in ("expr", "batches"):
+        out = INF.score_top_k(df, "k", "v", [0, 1], np.eye(2), k=1, method=method).collect()
+        assert [(r.k, r.label) for r in out] == [(1, 0)]
+    assert {tuple(r) for r in INF.rejected_rows(df, "k", "v", np.eye(2)).collect()} == {(2, "no vector"), (3, "wrong length")}
 
 
 def test_recommended_conf():

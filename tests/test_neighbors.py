@@ -1,83 +1,72 @@
-"""All-pairs cosine and top-k: hand-made vectors and block form = expression form."""
+"""Top-k cosine neighbours against brute force; ties, copies, defective vectors."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vireo.operators import neighbors as NB
+from vireo.operators.relational import sample_one
 
 
 def vec_df(spark, rows):
     return spark.createDataFrame(rows, "k long, v array<float>")
 
 
-def pairs_dict(df):
-    return {(r["query"], r["ref"]): r["distance"] for r in df.collect()}
-
-
-@pytest.mark.parametrize("method", ["blocks", "expr"])
-def test_handmade_pairs(spark, method):
-    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [-1.0, 0.0]), (4, [0.0, 1.0]), (5, [0.0, 0.0]),
-            (6, [2.0, 0.0]), (6, [0.0, 3.0])]
-    out = NB.cosine_all_pairs(vec_df(spark, rows), "k", "v", method=method)
-    got = pairs_dict(out)
-    assert got[(1, 2)] == pytest.approx(0.0)          # equal
-    assert got[(1, 3)] == pytest.approx(2.0)          # opposite
-    assert got[(1, 4)] == pytest.approx(1.0)          # orthogonal
-    assert got[(1, 5)] is None                        # zero vector -> NULL
-    assert (6, 6) not in got                          # duplicate key never pairs
-    n = len(rows)
-    assert out.count() == sum(1 for i in range(n) for j in range(n) if rows[i][0] < rows[j][0])
-    assert all(q < r for q, r in got)
-
-
-def test_blocks_equal_expr_on_embeddings(spark, sf_small):
-    e = spark.read.parquet(f"{sf_small}/embeddings.parquet").select("vec_id", "embedding")
-    a = pairs_dict(NB.cosine_all_pairs(e, "vec_id", "embedding", block_size=64))
-    b = pairs_dict(NB.cosine_all_pairs(e, "vec_id", "embedding", method="expr"))
-    n = e.count()
-    assert len(a) == len(b) == n * (n - 1) // 2
-    assert max(abs(a[k] - b[k]) for k in b) < 1e-9
-    # symmetry d(u, v) = d(v, u) through the top-k union
-    top = NB.cosine_top_k(e, "vec_id", "embedding", 5, block_size=64).collect()
-    for r in top:
-        key = (min(r["query"], r["ref"]), max(r["query"], r["ref"]))
-        assert r["distance"] == pytest.approx(b[key], abs=1e-9)
-
-
-def test_top_k_blocks_equal_expr(spark, sf_small):
-    e = spark.read.parquet(f"{sf_small}/embeddings.parquet").select("vec_id", "embedding")
-    a = NB.cosine_top_k(e, "vec_id", "embedding", 7, block_size=50)
-    b = NB.cosine_top_k(e, "vec_id", "embedding", 7, method="expr")
-    ra = sorted((r["query"], r["rank"], r["ref"]) for r in a.collect())
-    rb = sorted((r["query"], r["rank"], r["ref"]) for r in b.collect())
-    assert ra == rb
-    assert len(ra) == 7 * e.count()
-
-
-def test_top_k_ties_by_ref(spark):
+def brute(rows, k):
+    """(query, rank, ref) of every row, ordered by (distance, ref)."""
+    out = []
+    for q, u in rows:
+        u = np.array(u, np.float32).astype(float)
+        cand = []
+        for r, v in rows:
+            v = np.array(v, np.float32).astype(float)
+            n = np.linalg.norm(u) * np.linalg.norm(v)
+            if r != q and n:
+                cand.append((round(1 - float(u @ v) / n, 9), r))
+        out.append((q, sorted(cand)))
+    best = {}
+    for q, cand in out:
+        best.setdefault(q, []).extend(cand)
+    return sorted((q, i + 1, r) for q, c in best.items() for i, (_, r) in enumerate(sorted(c)[:k]))
+
+
+def triples(df):
+    return sorted((r["query"], r["rank"], r["ref"]) for r in df.collect())
+
+
+def test_handmade_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [-1.0, 0.0]), (4, [0.0, 1.0]), (5, [0.0, 0.0]), (6, [2.0, 0.0])]
+    got = {(r["query"], r["ref"]): r["distance"] for r in NB.cosine_top_k(vec_df(spark, rows), "k", "v", 9).collect()}
+    assert got[1, 2] == pytest.approx(0.0) and got[1, 3] == pytest.approx(2.0) and got[1, 4] == pytest.approx(1.0)
+    assert not [p for p in got if 5 in p] and len(got) == 5 * 4
+
+
+@pytest.mark.parametrize("block_size", [50, 2048])
+def test_blocks_equal_brute_force(spark, sf_small, block_size):
+    e = spark.read.parquet(f"{sf_small}/embeddings.parquet").select("vec_id", "embedding").where("vec_id < 200")
+    rows = [(r.vec_id, r.embedding) for r in e.collect()]
+    assert triples(NB.cosine_top_k(e, "vec_id", "embedding", 7, block_size=block_size)) == brute(rows, 7)
+
+
+def test_ties_by_ref_and_copies(spark):
     rows = [(1, [1.0, 0.0]), (5, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [0.0, 1.0])]
-    out = NB.cosine_top_k(vec_df(spark, rows), "k", "v", 2).filter(F.col("query") == 1) \
-        .orderBy("rank").collect()
+    out = NB.cosine_top_k(vec_df(spark, rows), "k", "v", 2).filter(F.col("query") == 1).orderBy("rank").collect()
     assert [r["ref"] for r in out] == [3, 5]
+    rows = [(7, [1.0, 0.0])] * 3 + [(8, [0.6, 0.8])] * 2 + [(9, [0.0, 1.0]), (10, [-1.0, 0.2])]
+    assert triples(NB.cosine_top_k(vec_df(spark, rows), "k", "v", 4)) == brute(rows, 4)
 
 
-def test_neighbor_lists_positions(spark):
-    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [1.0, 0.1])]
-    pairs = NB.cosine_all_pairs(vec_df(spark, rows), "k", "v")
-    lists = NB.neighbor_lists(pairs).filter(F.col("query") == 1).orderBy("pos").collect()
-    assert [r["ref"] for r in lists] == [4, 3, 2]
-    assert [r["pos"] for r in lists] == [1, 2, 3]
+def test_defective_vectors_are_listed_not_fatal(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [1.0]), (5, [None, 1.0]), (6, [0.0, 1.0])]
+    df = vec_df(spark, rows)
+    out = NB.cosine_top_k(df, "k", "v", 3)
+    assert {r["query"] for r in out.collect()} == {1, 2, 6}
+    assert {tuple(r) for r in NB.rejected(df, "k", "v", 2).collect()} == {(3, "no vector"), (4, "wrong length"), (5, "null element")}
 
 
-def test_exact_copies_match_expr(spark):
-    rows = [(7, [1.0, 0.0])] * 3 + [(8, [0.6, 0.8])] * 2 + [(9, [0.0, 1.0]), (10, [-1.0, 0.2]), (7, [0.9, 0.1])]
-    df = vec_df(spark, rows)
-    a = sorted(tuple(r) for r in NB.cosine_all_pairs(df, "k", "v").select("query", "ref", F.round("distance", 9))
-               .collect())
-    b = sorted(tuple(r) for r in NB.cosine_all_pairs(df, "k", "v", method="expr")
-               .select("query", "ref", F.round("distance", 9)).collect())
-    assert a == b and len(a) == 21  # copies multiply: 4x2 + 4 + 4 + 2 + 2 + 1
-    ta = sorted(tuple(r) for r in NB.cosine_top_k(df, "k", "v", 4).select("query", "rank", "ref").collect())
-    tb = sorted(tuple(r) for r in NB.cosine_top_k(df, "k", "v", 4, method="expr").select("query", "rank", "ref")
-                .collect())
-    assert ta == tb
+def test_list_of_one_query(spark):
+    df = vec_df(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])])
+    one = sample_one(df, ["k"], seed=7)
+    q = one.first()["k"]
+    got = {r["ref"]: r["distance"] for r in NB.neighbor_list(df, "k", "v", one).collect()}
+    assert set(got) == {1, 2, 3} - {q} and all(d is not None for d in got.values())

@@ -2,10 +2,11 @@
 metric library, plus invariants of the skew-safe numbering."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vireo.operators import ranking as R
-from vireo.operators.relational import ordered_prefix
+from vireo.operators.relational import first_in_group, ordered_prefix
 
 
 def lists_df(spark, lists):
@@ -112,8 +113,9 @@ def test_ordered_prefix_hot_group_equals_window(spark):
     df = spark.range(0, 3000).select(
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("g"),
         F.col("id").alias("o"), (F.col("id") % 7).cast("double").alias("x"))
-    a = ordered_prefix(df, ["g"], ["o"], sums={"cx": F.col("x")}, num_partitions=8, method="range")
-    b = ordered_prefix(df, ["g"], ["o"], sums={"cx": F.col("x")}, method="window")
+    a = ordered_prefix(df, ["g"], ["o"], sums={"cx": F.col("x")}, num_partitions=8)
+    w = Window.partitionBy("g").orderBy("o")
+    b = df.withColumn("pos", F.row_number().over(w).cast("long")).withColumn("cx", F.sum("x").over(w))
     assert sorted(map(tuple, a.select("g", "o", "pos", "cx").collect())) == \
         sorted(map(tuple, b.select("g", "o", "pos", "cx").collect()))
     # hot group spread over several range partitions
@@ -122,21 +124,35 @@ def test_ordered_prefix_hot_group_equals_window(spark):
     assert parts > 1
 
 
+def test_null_groups_are_numbered_and_first_rows_agree(spark):
+    # a third of all rows in one group, a quarter without a group
+    df = spark.range(0, 4000).select(
+        F.when(F.col("id") % 4 == 0, F.lit(None)).when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("g"),
+        F.col("id").alias("o"), (F.col("id") % 7).cast("double").alias("x"))
+    full = ordered_prefix(df, ["g"], ["o"], sums={"cx": F.col("x")}, num_partitions=8)
+    assert full.count() == 4000 and dict(full.dtypes)["pos"] == "bigint"
+    nulls = full.where("g IS NULL").orderBy("o").collect()
+    assert [r["pos"] for r in nulls] == list(range(1, 1001))
+    top = first_in_group(df, ["g"], ["o"], 5, sums={"cx": F.col("x")})
+    want = full.where("pos <= 5").select(top.columns)
+    assert sorted(map(str, top.collect())) == sorted(map(str, want.collect()))
+
+
+def test_relevant_rank_counts_instead_of_numbering(spark):
+    lists = [[0, 0, 1, 0, 1], [0, 0], [1, 0]]
+    df = lists_df(spark, lists)
+    first = {r["q"]: r["pos"] for r in R.relevant_rank(df, "q", ["o"], R.nonzero("rel")).collect()}
+    last = {r["q"]: (r["pos"], r["hits"]) for r in R.relevant_rank(df, "q", ["o"], R.nonzero("rel"), last=True).collect()}
+    qs = sorted(first)
+    assert [first[q] for q in qs] == [3, None, 1] and [last[q] for q in qs] == [(5, 2.0), (None, 0.0), (1, 1.0)]
+
+
 def test_ordered_prefix_global(spark):
     df = spark.range(0, 1000).select((999 - F.col("id")).alias("o"))
     out = ordered_prefix(df, [], ["o"]).select("o", "pos").collect()
     assert all(r["pos"] == r["o"] + 1 for r in out)
 
 
-def test_auto_detects_hot_group(spark):
-    from vireo.operators.relational import _has_hot_group
-    hot = spark.range(0, 60000).select(
-        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("g"))
-    flat = spark.range(0, 60000).select((F.col("id") % 1000).alias("g"))
-    assert _has_hot_group(hot, ["g"], 8)
-    assert not _has_hot_group(flat, ["g"], 8)
-
-
 def test_explode_lists_from_strings_and_arrays(spark):
     s = spark.createDataFrame([(1, "3 2 3 0 0 1 2 2 3 0"), (2, "2 1 2 0")], "q long, scores string")
     rk = R.rank_lists(R.explode_lists(s, "q", "scores"), "q", ["o"], "rel")
@@ -146,10 +162,3 @@ def test_explode_lists_from_strings_and_arrays(spark):
                               "q long, scores array<double>")
     rk2 = R.rank_lists(R.explode_lists(a, "q", "scores"), "q", ["o"], "rel")
     assert R.mean_reciprocal_rank(rk2, "q").first()[0] == pytest.approx(0.61111111111111105)
-
-
-def test_checkpoint_materialize_equals_persist(spark):
-    df = spark.range(0, 2000).select((F.col("id") % 3).alias("g"), F.col("id").alias("o"))
-    a = ordered_prefix(df, ["g"], ["o"], method="range", materialize="checkpoint").select("g", "o", "pos")
-    b = ordered_prefix(df, ["g"], ["o"], method="range").select("g", "o", "pos")
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -39,7 +39,7 @@ def brute(r, k):
 def test_metrics_match_definitions(spark, lists, k):
     rows = [(q, i, float(v)) for q, lst in enumerate(lists) for i, v in enumerate(lst)]
     df = spark.createDataFrame(rows, "q long, o int, rel double")
-    rk = R.rank_lists(df, "q", ["o"], "rel", relevant=R.binarize(F.col("rel"), 2.0), method="range")
+    rk = R.rank_lists(df, "q", ["o"], "rel", relevant=R.binarize(F.col("rel"), 2.0))
     got = {}
     for name, frame, col in (("ndcg", R.ndcg_at_k(rk, "q", k), "ndcg"),
                              ("ap_prefix", R.average_precision_prefix(rk, "q", k), "ap"),

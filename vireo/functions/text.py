@@ -30,12 +30,12 @@ def url_encode_plus_literal(s: str) -> str:
 
 
 def endpoint(url, hosts: list[str], ports: list[int]) -> Column:
-    """Deterministic endpoint choice from the URL hash (the reference drew one at
-    random per request)."""
-    h = F.xxhash64(_c(url))
-    host = F.element_at(F.array(*[F.lit(x) for x in hosts]), (F.pmod(h, F.lit(len(hosts))) + 1).cast("int"))
-    port = F.element_at(F.array(*[F.lit(p) for p in ports]),
-                        (F.pmod(F.xxhash64(_c(url), F.lit(1)), F.lit(len(ports))) + 1).cast("int"))
+    """Deterministic endpoint choice from the URL's md5: digits 1-6 modulo the
+    hosts, 7-12 modulo the ports (the reference drew one at random per request)."""
+    h = F.md5(_c(url))
+    pick = lambda first, n: (F.conv(F.substring(h, first, 6), 16, 10).cast("int") % n + 1).cast("int")
+    host = F.element_at(F.array(*[F.lit(x) for x in hosts]), pick(1, len(hosts)))
+    port = F.element_at(F.array(*[F.lit(p) for p in ports]), pick(7, len(ports)))
     return F.struct(host.alias("host"), port.alias("port"))
 
 
@@ -44,7 +44,7 @@ def request_url(prefix_format: str, host, port, url, params: list[tuple[str, Col
     return F.format_string(prefix_format, _c(host), _c(port), _c(url), query_string(params))
 
 
-def url_suffix_key(url, marker: str = "PBrain") -> Column:
+def url_suffix_key(url, marker: str) -> Column:
     """Text after the first ``marker`` in the URL (NULL when absent)."""
     import re
     parts = F.split(_c(url), re.escape(marker), 2)
@@ -57,4 +57,5 @@ def roi_text(roi) -> Column:
 
 
 def ascii_only(text) -> Column:
+    """Drop every non-ASCII character (``encode('ascii', 'ignore')``)."""
     return F.regexp_replace(_c(text), r"[^\x00-\x7F]", "")

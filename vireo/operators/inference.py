@@ -1,29 +1,25 @@
 """Batched model scoring: logits -> softmax -> top-k labels with a name lookup.
 
-The model is a small weight matrix (classes x features). It is fitted with a
-distributed aggregate, then shipped to the executors (as a literal for the
-expression path, as a broadcast variable for the Arrow path) after its size is
-checked, like the reference shipped its model bytes with ``sc.broadcast``.
-
-* ``score_top_k``: pure Spark expressions, per-row top-k by sorting an array of
-  (score, class) structs: no shuffle at all.
-* ``score_top_k_batches``: ``mapInPandas`` with numpy matrix products per
-  Arrow batch (the path for large models or foreign runtimes).
+The model is a weight matrix (classes x features). It is fitted with a
+distributed aggregate, collected as one row per class, then shipped to the
+executors (as a literal for the expression path, as a broadcast variable for
+the Arrow path), like the reference shipped its model bytes with
+``sc.broadcast``: a model has to fit a worker, whatever the data's size.
+
+* ``method="expr"``: pure Spark expressions, per-row top-k by sorting an array
+  of (score, class) structs: no shuffle at all.
+* ``method="batches"``: ``mapInArrow`` with numpy matrix products per batch
+  (the path for large models or foreign runtimes).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, dot
-from .relational import broadcast_if_small
-
-MAX_MODEL_CELLS = 50_000_000
+from .neighbors import rejected, usable
 
 
 def fit_centroids(df: DataFrame, vec: str, label: str) -> DataFrame:
@@ -32,27 +28,11 @@ def fit_centroids(df: DataFrame, vec: str, label: str) -> DataFrame:
         .groupBy("label", "pos").agg(F.avg("x").alias("w"))
 
 
-def collect_model(weights: DataFrame, max_cells: int = MAX_MODEL_CELLS) -> tuple[list[int], np.ndarray]:
-    """(label, pos, w) rows -> (class ids, dense matrix); refuses oversized models."""
-    n = weights.limit(max_cells + 1).count()
-    if n > max_cells:
-        raise ValueError(f"model has more than {max_cells} weights; use a distributed scorer")
-    pdf = weights.toPandas()
-    classes = sorted(int(c) for c in pdf["label"].unique())
-    dim = int(pdf["pos"].max()) + 1
-    w = np.zeros((len(classes), dim))
-    idx = {c: i for i, c in enumerate(classes)}
-    w[[idx[int(c)] for c in pdf["label"]], pdf["pos"].astype(int).to_numpy()] = pdf["w"].to_numpy()
-    return classes, w
-
-
-def collect_dictionary(df: DataFrame, key: str, value: str, max_rows: int = 1_000_000) -> dict:
-    """A small lookup table as a driver dict (for a broadcast variable); refuses
-    tables over ``max_rows`` (use a join instead)."""
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"lookup table has more than {max_rows} rows; join it instead")
-    return {r[key]: r[value] for r in df.select(key, value).collect()}
+def collect_model(weights: DataFrame) -> tuple[list[int], np.ndarray]:
+    """(label, pos, w) rows -> (class ids, dense matrix): one row of weights per class reaches the driver."""
+    row = F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"])
+    rows = weights.groupBy("label").agg(row.alias("w")).orderBy("label").collect()
+    return [int(r["label"]) for r in rows], np.array([r["w"] for r in rows], dtype=np.float64)
 
 
 def logits_expr(vec: str | Column, w: np.ndarray, temperature: float = 1.0) -> Column:
@@ -94,16 +74,17 @@ def score_top_k(df: DataFrame, key: str, vec: str, classes: list[int], w: np.nda
     (ties by class id); no shuffle. ``method="batches"`` scores Arrow batches with
     numpy (fast: one matrix product per batch); ``method="expr"`` uses Spark
     higher-order functions (no Python, but interpreted per element). Names come
-    from a (size-checked, broadcast) lookup table, unknown ids get
-    ``default_name``."""
+    from a joined lookup table, unknown ids get ``default_name``. Rows without a
+    usable vector are left out; :func:`rejected_rows` lists them."""
+    df = df.where(usable(df, vec, int(w.shape[1])))
     if method == "batches":
-        out = score_top_k_batches(df, key, vec, classes, w, k, temperature).drop("name")
+        out = score_top_k_batches(df, key, vec, classes, w, k, temperature)
     elif method == "expr":
         out = _score_top_k_expr(df, key, vec, classes, w, k, temperature)
     else:
         raise ValueError(f"unknown method {method!r}")
     if names is not None:
-        out = out.join(broadcast_if_small(names.select("label", "name")), "label", "left") \
+        out = out.join(names.select("label", "name"), "label", "left") \
             .withColumn("name", F.coalesce(F.col("name"), F.lit(default_name)))
     return out
 
@@ -119,41 +100,34 @@ def _score_top_k_expr(df: DataFrame, key: str, vec: str, classes: list[int], w:
                 (-F.col("t.neg")).alias("score"))
 
 
+def rejected_rows(df: DataFrame, key: str, vec: str, w: np.ndarray) -> DataFrame:
+    """(key, reason) of the rows that scoring leaves out."""
+    return rejected(df, key, vec, int(w.shape[1]))
+
+
 def score_top_k_batches(df: DataFrame, key: str, vec: str, classes: list[int], w: np.ndarray,
-                        k: int = 5, temperature: float = 1.0, names: dict[int, str] | None = None,
-                        default_name: str = "") -> DataFrame:
-    """Arrow-batch scorer: numpy logits/softmax/top-k per batch, model and
-    label names in broadcast variables. Rows whose vector is missing or has the
-    wrong length are dropped (the reference dropped failed images)."""
-    sc = df.sparkSession.sparkContext
-    bw = sc.broadcast((np.asarray(classes), np.asarray(w, dtype=np.float64)))
-    bn = sc.broadcast(dict(names or {}))
+                        k: int = 5, temperature: float = 1.0) -> DataFrame:
+    """Arrow-batch scorer: numpy logits, softmax and top-k of whole batches, the
+    model in a broadcast variable. ``df`` holds usable vectors only."""
+    shared = df.sparkSession.sparkContext.broadcast((np.asarray(classes), np.asarray(w, dtype=np.float64)))
     kt = df.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cl, wm = bw.value
-        nm = bn.value
+    def run(batches):
+        import pyarrow as pa
+
+        cl, wm = shared.value
         for b in batches:
-            ok = b[vec].map(lambda v: v is not None and len(v) == wm.shape[1])
-            b = b[ok]
-            if b.empty:
+            if not b.num_rows:
                 continue
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in b[vec]])
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, wm.shape[1]).astype(np.float64)
             lg = temperature * (x @ wm.T)
             lg -= lg.max(axis=1, keepdims=True)
             p = np.exp(lg)
             p /= p.sum(axis=1, keepdims=True)
             kk = min(k, p.shape[1])
-            order = np.lexsort((np.broadcast_to(np.arange(p.shape[1]), p.shape), -p), axis=1)[:, :kk]
+            order = np.lexsort((np.broadcast_to(np.arange(p.shape[1]), p.shape), -p), axis=1)[:, :kk].reshape(-1)
             rows = np.repeat(np.arange(p.shape[0]), kk)
-            cols = order.reshape(-1)
-            labels = cl[cols]
-            yield pd.DataFrame({
-                key: b[key].to_numpy()[rows],
-                "rank": np.tile(np.arange(1, kk + 1), p.shape[0]).astype(np.int32),
-                "label": labels.astype(np.int32),
-                "score": p[rows, cols],
-                "name": [nm.get(int(c), default_name) for c in labels],
-            })
-    return df.select(key, vec).mapInPandas(
-        run, f"{key} {kt}, rank int, label int, score double, name string")
+            yield pa.record_batch([b.column(0).take(pa.array(rows)), pa.array(np.tile(np.arange(1, kk + 1), p.shape[0]).astype(np.int32)),
+                                   pa.array(cl[order].astype(np.int32)), pa.array(p[rows, order])], names=[key, "rank", "label", "score"])
+
+    return df.select(key, vec).mapInArrow(run, f"{key} {kt}, rank int, label int, score double")

@@ -1,18 +1,14 @@
-"""Exact all-pairs cosine distance and per-query k nearest neighbours.
+"""Exact per-query k nearest neighbours by cosine distance.
 
-Scale path ("blocks"): rows are hashed into B blocks of about ``block_size``
-vectors; each unordered block pair (i <= j) is one cogroup whose two sides are
-the vectors of block i and block j, so every vector is shipped B + 1 times and
-no task ever holds more than two blocks. Inside a group numpy computes the
-distance matrix with one matrix product. For top-k each group keeps only k
-candidates per query before the shuffle, and a final partial top-k merges them.
+Rows are hashed into B blocks of about ``block_size`` vectors; each unordered
+block pair (i <= j) is one cogroup whose two sides are the vectors of block i
+and block j, so every vector is shipped B + 1 times and no task ever holds
+more than two blocks. Inside a group numpy computes the distance matrix with
+one matrix product and keeps only k candidates per query before the shuffle; a
+final partial top-k merges them. No list of all pairs is ever made.
 
-Small path ("expr"): a theta join ``a.key < b.key`` with the distance as a
-Spark expression (nested-loop join); used for tiny inputs and as a cross-check.
-
-Pair semantics follow the reference: a pair (x, y) exists when
-``x.key < y.key`` (no self pairs; rows sharing a key never pair). Distance is
-``1 - u.v/(|u||v|)``, NULL for a zero vector.
+Rows sharing a key never pair. Distance is ``1 - u.v/(|u||v|)``; a zero vector
+has no neighbours.
 """
 
 from __future__ import annotations
@@ -21,11 +17,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance
-from .relational import ordered_prefix, top_k_per_group
+from .relational import top_k_per_group
 
 
 def _block_count(df: DataFrame, block_size: int) -> int:
@@ -56,11 +52,9 @@ def _with_blocks(df: DataFrame, key: str, vec: str, blocks: int) -> tuple[DataFr
     return left, right
 
 
-def _expand(df: DataFrame, cap: int | None = None) -> DataFrame:
-    """Repeat each pair m_q * m_r times (capped at ``cap``: enough for a top-k)."""
-    reps = F.col("mq") * F.col("mr")
-    if cap is not None:
-        reps = F.least(reps, F.lit(cap))
+def _expand(df: DataFrame, k: int) -> DataFrame:
+    """Repeat each pair for its copies, ``k`` times at most: more cannot be among k rows."""
+    reps = F.least(F.least("mq", F.lit(k)) * F.least("mr", F.lit(k)), F.lit(k))
     return df.withColumn("_rep", F.explode(F.sequence(F.lit(1), reps.cast("int")))).drop("_rep", "mq", "mr")
 
 
@@ -84,29 +78,6 @@ def _distances(lv, rv):
 _EMPTY = {"query": [], "ref": [], "distance": [], "mq": [], "mr": []}
 
 
-def _pairs_udf(key_type):
-    def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if lp.empty or rp.empty:
-            return pd.DataFrame(_EMPTY)
-        same_block = int(lp["bi"].iloc[0]) == int(lp["bj"].iloc[0])
-        d = _distances(list(lp["v"]), list(rp["rv"]))
-        lk, lm = lp["k"].to_numpy(), lp["m"].to_numpy()
-        rk, rm = rp["rk"].to_numpy(), rp["rm"].to_numpy()
-        qi, ri = np.nonzero(lk[:, None] < rk[None, :])
-        q, r, dist, mq, mr = [lk[qi]], [rk[ri]], [d[qi, ri]], [lm[qi]], [rm[ri]]
-        if not same_block:  # pairs where the right row has the smaller key
-            qi2, ri2 = np.nonzero(lk[:, None] > rk[None, :])
-            q.append(rk[ri2])
-            r.append(lk[qi2])
-            dist.append(d[qi2, ri2])
-            mq.append(rm[ri2])
-            mr.append(lm[qi2])
-        return pd.DataFrame({"query": np.concatenate(q), "ref": np.concatenate(r),
-                             "distance": np.concatenate(dist), "mq": np.concatenate(mq),
-                             "mr": np.concatenate(mr)})
-    return fn
-
-
 def _topk_udf(k: int):
     def best(keys_q, m_q, keys_r, m_r, d):
         """For every query row, its k best distinct ref rows in (distance, ref)
@@ -147,48 +118,45 @@ def _key_type(df: DataFrame, key: str) -> str:
     return df.schema[key].dataType.simpleString()
 
 
-def cosine_all_pairs(df: DataFrame, key: str, vec: str, method: str = "blocks",
-                     block_size: int = 1024) -> DataFrame:
-    """(query, ref, distance) for every pair with ``query < ref`` by key.
+def usable(df: DataFrame, vec: str, dim: int | None = None) -> Column:
+    """True for vectors that can be compared: present, no NULL element, of ``dim`` elements."""
+    v = F.col(vec)
+    ok = v.isNotNull() & ~F.exists(v, lambda x: x.isNull())
+    return F.coalesce(ok & (F.size(v) == dim) if dim is not None else ok, F.lit(False))
 
-    Every pair is output, so a block pair emits up to ``block_size**2`` rows;
-    the smaller default keeps one group's output around a million rows."""
-    kt = _key_type(df, key)
-    if method == "expr":
-        a = df.select(F.col(key).alias("query"), F.col(vec).alias("qv"))
-        b = df.select(F.col(key).alias("ref"), F.col(vec).alias("rv"))
-        return a.join(b, F.col("query") < F.col("ref")) \
-            .select("query", "ref", cosine_distance("qv", "rv").alias("distance"))
-    blocks = _block_count(df, block_size)
-    left, right = _with_blocks(df, key, vec, blocks)
-    schema = f"query {kt}, ref {kt}, distance double, mq long, mr long"
-    out = left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(_pairs_udf(kt), schema)
-    out = _expand(out)
-    return out.withColumn("distance", F.when(F.isnan("distance"), F.lit(None)).otherwise(F.col("distance")))
 
+def rejected(df: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
+    """(key, reason) of the rows that :func:`cosine_top_k` leaves out."""
+    v = F.col(vec)
+    reason = F.when(v.isNull(), "no vector").when(F.size(v) != dim, "wrong length").otherwise("null element")
+    return df.where(~usable(df, vec, dim)).select(key, reason.alias("reason"))
 
-def cosine_top_k(df: DataFrame, key: str, vec: str, k: int, method: str = "blocks",
-                 block_size: int = 2048) -> DataFrame:
+
+def cosine_top_k(df: DataFrame, key: str, vec: str, k: int, block_size: int = 2048, dim: int | None = None) -> DataFrame:
     """The ``k`` nearest other vectors of every vector (query, rank, ref, distance),
-    ordered by (distance, ref); zero vectors have no neighbours."""
+    ordered by (distance, ref); zero vectors have no neighbours.
+
+    Rows without a usable vector take no part (:func:`rejected` lists them);
+    ``dim`` defaults to the most frequent length. The search is exact, so its
+    work grows with the square of the rows.
+    """
     kt = _key_type(df, key)
-    if method == "expr":
-        pairs = cosine_all_pairs(df, key, vec, method="expr")
-        sym = pairs.unionByName(pairs.select(F.col("ref").alias("query"), F.col("query").alias("ref"), "distance"))
-        cand = sym.filter(F.col("distance").isNotNull())
-    else:
-        blocks = _block_count(df, block_size)
-        left, right = _with_blocks(df, key, vec, blocks)
-        schema = f"query {kt}, ref {kt}, distance double, mq long, mr long"
-        cand = _expand(left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj"))
-                       .applyInPandas(_topk_udf(k), schema), cap=k)
+    if dim is None:
+        sizes = df.groupBy(F.size(vec).alias("n")).count().where("n >= 0").orderBy(F.desc("count"), "n").first()
+        dim = sizes["n"] if sizes else 0
+    df = df.where(usable(df, vec, dim))
+    blocks = _block_count(df, block_size)
+    left, right = _with_blocks(df, key, vec, blocks)
+    schema = f"query {kt}, ref {kt}, distance double, mq long, mr long"
+    cand = _expand(left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(_topk_udf(k), schema), k)
     return top_k_per_group(cand, ["query"], [F.col("distance"), F.col("ref")], k, rank_col="rank") \
         .select("query", "rank", "ref", "distance")
 
 
-def neighbor_lists(pairs: DataFrame, order_distance=None) -> DataFrame:
-    """Neighbour list of every query in long form (query, pos, ref, distance),
-    positions by (distance, ref); skew-safe numbering (no list gathered whole)."""
-    od = order_distance if order_distance is not None else F.col("distance")
-    return ordered_prefix(pairs.withColumn("_od", od), ["query"], [F.col("_od"), F.col("ref")]) \
-        .select("query", "pos", "ref", "distance")
+def neighbor_list(df: DataFrame, key: str, vec: str, query: DataFrame) -> DataFrame:
+    """All distances of one query row (a one-row frame of ``key`` and ``vec``) to the
+    rows with another key: (query, ref, distance). One pass over ``df``; the
+    query travels as two scalars."""
+    q, v = query.select(key).scalar(), query.select(F.col(vec).cast("array<double>")).scalar()
+    return df.where(usable(df, vec)).withColumn("_q", q).withColumn("_v", v).where(F.col(key) != F.col("_q")).select(
+        F.col("_q").alias("query"), F.col(key).alias("ref"), cosine_distance("_v", vec).alias("distance"))

@@ -1,7 +1,8 @@
 """Ranking-quality metrics over ranked lists in long form.
 
 A ranked list is a set of rows (query, order keys..., rel). :func:`rank_lists`
-numbers the rows of each query (skew-safe, see ``ordered_prefix``) and adds the
+numbers the rows of each query (skew-safe, see ``ordered_prefix``; a metric at a cut-off
+needs its first k rows only) and adds the
 binarised relevance and its running count; every metric below is then a grouped
 aggregate with map-side partial aggregation, so no query's list is ever
 gathered in one place.
@@ -29,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .relational import ordered_prefix, top_k_per_group
+from .relational import first_in_group, ordered_prefix, top_k_per_group
+
 
 def binarize(rel: Column | str, threshold: float = 2.0) -> Column:
     """Relevant when ``rel >= threshold`` (the evaluation job uses 2)."""
@@ -48,15 +50,17 @@ def discount(pos: Column, method: int = 0) -> Column:
         return F.lit(1.0) / F.greatest(F.lit(1.0), F.log2(pos))
     if method == 1:
         return F.lit(1.0) / F.log2(pos + F.lit(1))
-    raise ValueError("method must be 0 or 1.")
+    raise ValueError("unknown discount method: 0 and 1 are known")
 
 
 def rank_lists(df: DataFrame, query: str, order_cols: Sequence, rel: Column | str,
-               relevant: Column | None = None, method: str = "auto") -> DataFrame:
+               relevant: Column | None = None, k: int | None = None) -> DataFrame:
     """(query, order..., rel) rows -> (query, pos, rel, bin, cum_bin).
 
     ``relevant`` is the binarisation (default: rel != 0); ``order_cols`` must be a
-    total order within a query.
+    total order within a query. With ``k`` only the first k rows of each query,
+    which is all that the metrics at a cut-off need; the rest is pruned before
+    the shuffle.
     """
     relc = (F.col(rel) if isinstance(rel, str) else rel).cast("double")
     base = df.select(F.col(query), *[F.col(c) if isinstance(c, str) else c for c in order_cols],
@@ -64,7 +68,8 @@ def rank_lists(df: DataFrame, query: str, order_cols: Sequence, rel: Column | st
     bin_expr = relevant if relevant is not None else nonzero(F.col("rel"))
     base = base.withColumn("bin", bin_expr.cast("double"))
     order_names = [c for c in base.columns if c not in (query, "rel", "bin")]
-    out = ordered_prefix(base, [query], order_names, sums={"cum_bin": F.col("bin")}, method=method)
+    sums = {"cum_bin": F.col("bin")}
+    out = first_in_group(base, [query], order_names, k, sums) if k else ordered_prefix(base, [query], order_names, sums)
     return out.select(query, "pos", "rel", "bin", "cum_bin")
 
 
@@ -85,6 +90,21 @@ def _regex_quote(sep: str) -> str:
     return re.escape(sep)
 
 
+def relevant_rank(df: DataFrame, query: str, order_cols: Sequence, relevant: Column, last: bool = False) -> DataFrame:
+    """(query, pos, hits): rank of the first (or ``last``) relevant row of each
+    list, NULL without one, and the number of relevant rows.
+
+    The rank is the number of rows up to that row's key, so nothing is numbered
+    or sorted: two aggregates with partials and one equi-join."""
+    key = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order_cols])
+    rows = df.select(F.struct(query).alias("q"), key.alias("key"), relevant.cast("double").alias("bin"))
+    at = (F.max if last else F.min)(F.when(F.col("bin") > 0, F.col("key")))
+    edge = rows.groupBy("q").agg(at.alias("edge"), F.sum("bin").alias("hits"))
+    upto = F.count(F.when(F.col("key") <= F.col("edge"), 1))
+    out = rows.select("q", "key").join(edge, "q").groupBy("q", "hits").agg(upto.alias("pos"))
+    return out.select(F.col("q")[query].alias(query), F.when(F.col("pos") > 0, F.col("pos")).alias("pos"), "hits")
+
+
 def reciprocal_rank(ranked: DataFrame, query: str) -> DataFrame:
     first = F.min(F.when(F.col("bin") > 0, F.col("pos")))
     return ranked.groupBy(query).agg(F.coalesce(F.lit(1.0) / first, F.lit(0.0)).alias("rr"))
@@ -107,7 +127,7 @@ def precision_at_k(ranked: DataFrame, query: str, k: int, strict: bool = False)
     n = F.count(F.lit(1))
     hits = F.sum(F.when(F.col("pos") <= k, F.col("bin")).otherwise(F.lit(0.0)))
     short = n < F.lit(k)
-    val = F.when(short, F.raise_error(F.lit("Relevance score length < k")) if strict else F.lit(None)) \
+    val = F.when(short, F.raise_error(F.lit("list has fewer than k rows")) if strict else F.lit(None)) \
         .otherwise(hits / F.lit(float(k)))
     return ranked.groupBy(query).agg(val.cast("double").alias("precision_at_k"))
 

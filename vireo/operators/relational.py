@@ -5,19 +5,20 @@ groups that stay correct and balanced when one group holds a large share of all
 rows. A plain ``row_number().over(Window.partitionBy(g))`` sends a whole group to
 one task; here the rows are range-partitioned on (group, order), so a hot group
 is spread over many tasks, numbered locally, and shifted by per-partition
-offsets computed from a small count table.
+offsets computed from a small count table. :func:`first_in_group` is the form
+for the first k rows of each group, which prunes before the shuffle.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PID = "_vireo_pid"
+from ..session import ensure_checkpoint_dir
+
+_PID, _GRP = "_vireo_pid", "_vireo_grp"
 
 
 def _cols(xs) -> list[Column]:
@@ -26,124 +27,56 @@ def _cols(xs) -> list[Column]:
 
 def ordered_prefix(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
                    sums: dict[str, Column] | None = None, pos_col: str = "pos",
-                   num_partitions: int | None = None, method: str = "auto",
-                   materialize: str = "persist", rows_per_partition: int = 2_000_000) -> DataFrame:
-    """Add ``pos_col`` (1-based row number within each group in ``order_cols``
+                   num_partitions: int | None = None) -> DataFrame:
+    """Add ``pos_col`` (1-based bigint row number within each group in ``order_cols``
     order) and, for each ``name -> expr`` of ``sums``, the running sum of ``expr``
-    up to and including the row.
+    up to and including the row. NULL is a group like any other.
 
     ``order_cols`` must give a total order inside a group (add a unique
-    tie-breaker), otherwise positions of tied rows are arbitrary.
-
-    ``method="range"`` is skew-safe: two shuffles of the data, none of them
-    gathers a group in one task. ``materialize`` is ``"persist"`` (disk blocks)
-    or ``"checkpoint"`` (the shared ``spark.checkpoint.dir``). ``method="window"``
-    is the plain window, one shuffle, for inputs whose groups are known to be
-    small. ``method="auto"`` (default) measures the largest group with one
-    partial aggregate and takes the window only when no group is larger than
-    twice an average partition (and always the range plan without groups).
-    The range plan uses ``num_partitions`` or, by default, enough partitions for
-    about ``rows_per_partition`` rows each (at least the shuffle partitions).
+    tie-breaker), otherwise positions of tied rows are arbitrary. The rows are
+    range-partitioned once and kept in the shared ``spark.checkpoint.dir``, so
+    that both branches below see the same bounds; no group is gathered in one
+    task.
     """
     sums = dict(sums or {})
     order = _cols(order_cols)
-    total = None
-    n = num_partitions
-    if method == "auto":
-        if group_cols:
-            # the window's exchange has the session's shuffle partitions (AQE
-            # coalesces them); no explicit repartition, so a `pos <= k` filter
-            # still becomes a partial WindowGroupLimit before the shuffle
-            total, top = _group_stats(df, group_cols)
-            method = "range" if _is_hot(total, top, _base_partitions(df, n)) else "window"
-        else:
-            method = "range"
-    if method == "window":
-        w = Window.partitionBy(*group_cols).orderBy(*order) if group_cols else Window.orderBy(*order)
-        out = df.withColumn(pos_col, F.row_number().over(w))
-        run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        for name, expr in sums.items():
-            out = out.withColumn(name, F.sum(expr).over(run))
-        return out
-    if method != "range":
-        raise ValueError(f"unknown method {method!r}")
-
-    spark = df.sparkSession
-    if not n:
-        n = _partitions_for(df, df.count() if total is None else total, rows_per_partition)
-    gcols = list(group_cols)
-    keyed = df
-    tmp_sums = {}
-    for i, (name, expr) in enumerate(sums.items()):
-        tmp = f"_vireo_s{i}"
-        keyed = keyed.withColumn(tmp, expr)
-        tmp_sums[name] = tmp
-    # 1. range partitioning on (group, order): a hot group spans many partitions.
-    #    The frame is read by two branches below; it is materialised once so both
-    #    see the same range bounds (the partitioner samples with a seed tied to
-    #    the RDD, so two evaluations could draw different bounds). A lost block is
-    #    recomputed through the same partitioner, so it stays consistent.
-    ranged = (keyed.repartitionByRange(n, *_cols(gcols), *order)
-              .withColumn(_PID, F.spark_partition_id()))
-    if materialize == "checkpoint":
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
-        ranged = ranged.checkpoint(eager=True)
-    else:
-        ranged = ranged.persist(StorageLevel.DISK_ONLY)
-    part_keys = [_PID, *gcols]
-    # 2. local numbering inside (partition, group): bounded by one partition
-    wl = Window.partitionBy(*part_keys).orderBy(*order)
-    wl_run = wl.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a struct of the group columns is never NULL itself: it joins and partitions NULL groups like others
+    group = F.struct(*_cols(group_cols)) if group_cols else F.lit(0)
+    tmp = {name: f"_vireo_s{i}" for i, name in enumerate(sums)}
+    keyed = df.withColumns({**{tmp[name]: expr for name, expr in sums.items()}, _GRP: group})
+    by = [*_cols(group_cols), *order]
+    ranged = keyed.repartitionByRange(num_partitions, *by) if num_partitions else keyed.repartitionByRange(*by)
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = ranged.withColumn(_PID, F.spark_partition_id()).checkpoint(eager=True)
+    part = [_PID, _GRP]
+    # local numbering inside (partition, group): bounded by one partition
+    wl = Window.partitionBy(*part).orderBy(*order)
+    run = wl.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("_vireo_lpos", F.row_number().over(wl))
-    for name, tmp in tmp_sums.items():
-        local = local.withColumn(f"_vireo_l_{tmp}", F.sum(tmp).over(wl_run))
-    # 3. per (partition, group) totals -> offsets of earlier partitions (small table)
-    stats = ranged.groupBy(*part_keys).agg(
-        F.count(F.lit(1)).alias("_vireo_cnt"),
-        *[F.sum(tmp).alias(f"_vireo_t_{tmp}") for tmp in tmp_sums.values()])
-    wo = (Window.partitionBy(*gcols) if gcols else Window.partitionBy(F.lit(0))).orderBy(_PID) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stats.select(
-        *part_keys,
-        F.coalesce(F.sum("_vireo_cnt").over(wo), F.lit(0)).alias("_vireo_off"),
-        *[F.coalesce(F.sum(f"_vireo_t_{tmp}").over(wo), F.lit(0)).alias(f"_vireo_o_{tmp}")
-          for tmp in tmp_sums.values()])
-    # 4. shift local numbers by the offsets; join keys equal the window keys, so
-    #    the big side is not shuffled again
-    out = local.join(offsets, on=part_keys, how="inner")
-    out = out.withColumn(pos_col, (F.col("_vireo_off") + F.col("_vireo_lpos")).cast("int"))
-    for name, tmp in tmp_sums.items():
-        out = out.withColumn(name, F.col(f"_vireo_o_{tmp}") + F.col(f"_vireo_l_{tmp}"))
-    keep = [c for c in df.columns] + [pos_col] + list(sums)
-    return out.select(*keep)
-
-
-def _base_partitions(df: DataFrame, num_partitions: int | None) -> int:
-    return num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _partitions_for(df: DataFrame, total: int, rows_per_partition: int) -> int:
-    """At least the shuffle partitions, more when the rows need them."""
-    return max(_base_partitions(df, None), math.ceil(total / max(1, rows_per_partition)))
-
-
-def _group_stats(df: DataFrame, group_cols: Sequence[str]) -> tuple[int, int]:
-    """(rows, rows of the largest group) in one partial aggregate."""
-    stats = df.groupBy(*group_cols).count().agg(F.sum("count").alias("total"), F.max("count").alias("top")).first()
-    if not stats or stats["total"] is None:
-        return 0, 0
-    return int(stats["total"]), int(stats["top"])
-
-
-def _is_hot(total: int, top: int, n: int) -> bool:
-    """A group is hot when it is larger than twice an average partition."""
-    return top > max(2.0 * total / max(1, n), 10_000)
-
-
-def _has_hot_group(df: DataFrame, group_cols: Sequence[str], num_partitions: int | None) -> bool:
-    total, top = _group_stats(df, group_cols)
-    return _is_hot(total, top, _base_partitions(df, num_partitions))
+    for t in tmp.values():
+        local = local.withColumn(f"_vireo_l{t}", F.sum(t).over(run))
+    # totals of each (partition, group) -> offsets of the partitions before it (small table)
+    stats = ranged.groupBy(*part).agg(F.count(F.lit(1)).alias("_vireo_cnt"), *[F.sum(t).alias(f"_vireo_t{t}") for t in tmp.values()])
+    wo = Window.partitionBy(_GRP).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stats.select(*part, F.coalesce(F.sum("_vireo_cnt").over(wo), F.lit(0)).alias("_vireo_off"),
+                           *[F.coalesce(F.sum(f"_vireo_t{t}").over(wo), F.lit(0)).alias(f"_vireo_o{t}") for t in tmp.values()])
+    # the join keys are the window keys, so the large side is not shuffled again
+    out = local.join(offsets, part).withColumn(pos_col, F.col("_vireo_off") + F.col("_vireo_lpos"))
+    for name, t in tmp.items():
+        out = out.withColumn(name, F.col(f"_vireo_o{t}") + F.col(f"_vireo_l{t}"))
+    return out.select(*df.columns, pos_col, *sums)
+
+
+def first_in_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, k: int,
+                   sums: dict[str, Column] | None = None, pos_col: str = "pos") -> DataFrame:
+    """The rows of :func:`ordered_prefix` with position ``k`` or less.
+
+    Positions and running sums up to k depend on the first k rows alone, so the
+    rest is pruned first: each task passes on at most k rows of a group.
+    """
+    top = top_k_per_group(df, group_cols, order_cols, k, pos_col).withColumn(pos_col, F.col(pos_col).cast("long"))
+    w = Window.partitionBy(*group_cols).orderBy(pos_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return top.withColumns({name: F.sum(expr).over(w) for name, expr in (sums or {}).items()})
 
 
 def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
@@ -160,16 +93,6 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     return out if rank_col else out.drop(rn)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast-hint ``df`` only after checking its row count is under ``max_rows``.
-
-    The count is one action on the (small) side; beyond the bound the frame is
-    returned unhinted so the planner uses a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def global_rank(df: DataFrame, order_cols: Sequence, pos_col: str = "pos") -> DataFrame:
     """Row number over the whole frame without a single-partition window."""
     return ordered_prefix(df, [], order_cols, pos_col=pos_col)
@@ -183,13 +106,11 @@ def fixed_batches(df: DataFrame, order_cols: Sequence, batch_size: int,
         .drop("_vireo_pos")
 
 
-TOP_N_SPLIT_LIMIT = 1_000_000
-
-
 def nth_key(df: DataFrame, order_cols: Sequence[str], n: int) -> Column:
     """Lazy scalar: the ``n``-th smallest ``struct(order_cols)`` (the largest if
     there are fewer rows). A top-n with a partial limit per task; nothing of
-    the data is shuffled."""
+    the data is shuffled. ``n`` keys pass one task: it is a parameter, like the
+    k of a top-k, and does not grow with the data."""
     key = F.struct(*[F.col(c) for c in order_cols]).alias("_vireo_key")
     return df.select(key).orderBy("_vireo_key").limit(n).select(F.max("_vireo_key")).scalar()
 
@@ -198,21 +119,14 @@ def positional_splits(df: DataFrame, order_cols: Sequence[str], sizes: Sequence[
                       labels: Sequence[str], rest_label: str, split_col: str = "split") -> DataFrame:
     """Consecutive row ranges in ``order_cols`` order: the first ``sizes[0]`` rows
     get ``labels[0]``, the next ``sizes[1]`` ``labels[1]``, ...; the rest
-    ``rest_label``. ``order_cols`` must be unique. Bounded sizes use key
-    thresholds (top-n scalar subqueries, no shuffle of the data); larger ones
-    the distributed numbering."""
+    ``rest_label``. ``order_cols`` must be unique. The bounds are keys from lazy
+    top-n scalars (:func:`nth_key`)."""
     bounds = [sum(sizes[:i + 1]) for i in range(len(sizes))]
     key = F.struct(*[F.col(c) for c in order_cols])
-    if bounds and bounds[-1] <= TOP_N_SPLIT_LIMIT:
-        conds = [key <= nth_key(df, order_cols, b) for b in bounds]
-    else:
-        df = global_rank(df, order_cols, pos_col="_vireo_pos")
-        conds = [F.col("_vireo_pos") <= b for b in bounds]
     label = F.lit(rest_label)
-    for cond, lab in reversed(list(zip(conds, labels))):
-        label = F.when(cond, F.lit(lab)).otherwise(label)
-    out = df.withColumn(split_col, label)
-    return out.drop("_vireo_pos") if "_vireo_pos" in out.columns else out
+    for bound, lab in reversed(list(zip(bounds, labels))):
+        label = F.when(key <= nth_key(df, order_cols, bound), F.lit(lab)).otherwise(label)
+    return df.withColumn(split_col, label)
 
 
 def positional_split(df: DataFrame, order_cols: Sequence[str], n_first: int,
@@ -237,18 +151,14 @@ def sample_one(df: DataFrame, keys: str | Sequence[str], seed: int = 42) -> Data
     return df.orderBy(h, *[F.col(k) for k in ks]).limit(1)
 
 
-def anti_join(left: DataFrame, right: DataFrame, on) -> DataFrame:
-    return left.join(right, on=on, how="left_anti")
-
-
 def lookup(df: DataFrame, table: DataFrame, on, value_cols: Sequence[str],
-           default=None, max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Left lookup join; the dictionary is broadcast only below a checked size.
+           default=None) -> DataFrame:
+    """Left lookup join; the planner decides on the form by the dictionary's bytes.
 
     ``default`` fills values of keys missing from the dictionary (reference
     behaviour for unknown label ids is the empty string).
     """
-    out = df.join(broadcast_if_small(table, max_broadcast_rows), on=on, how="left")
+    out = df.join(table, on=on, how="left")
     if default is not None:
         for c in value_cols:
             out = out.withColumn(c, F.coalesce(F.col(c), F.lit(default)))

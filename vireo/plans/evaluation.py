@@ -20,10 +20,9 @@ def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(QUERY, *ORDER, rel.alias("relevance"))
 
 
-def ranked(spark: SparkSession, sf_dir: str, binarized: bool = True) -> DataFrame:
+def ranked(spark: SparkSession, sf_dir: str, k: int | None = None) -> DataFrame:
     ev = evaluation_rows(spark, sf_dir)
-    relevant = R.binarize(F.col("rel"), 2.0) if binarized else None
-    return R.rank_lists(ev, QUERY, ORDER, "relevance", relevant=relevant)
+    return R.rank_lists(ev, QUERY, ORDER, "relevance", relevant=R.binarize(F.col("rel"), 2.0), k=k)
 
 
 def q_rank_lists(spark, sf_dir):
@@ -35,7 +34,7 @@ def source(spark, sf_dir):
 
 
 def q_ndcg_at_k(spark, sf_dir, k=5, method=0):
-    out = R.ndcg_at_k(ranked(spark, sf_dir), QUERY, k, method, source=source(spark, sf_dir))
+    out = R.ndcg_at_k(ranked(spark, sf_dir, k), QUERY, k, method, source=source(spark, sf_dir))
     return out.select(QUERY, F.round("ndcg", 6).alias("ndcg"))
 
 
@@ -44,7 +43,7 @@ def q_ndcg_at_k_m1(spark, sf_dir):
 
 
 def q_dcg_at_k(spark, sf_dir, k=5, method=0):
-    out = R.dcg_at_k(ranked(spark, sf_dir), QUERY, k, method)
+    out = R.dcg_at_k(ranked(spark, sf_dir, k), QUERY, k, method)
     return out.select(QUERY, F.round("dcg", 6).alias("dcg"))
 
 
@@ -52,23 +51,32 @@ def q_dcg_at_k_m1(spark, sf_dir):
     return q_dcg_at_k(spark, sf_dir, 5, 1)
 
 
+def _relevant_rank(spark, sf_dir, last=False):
+    return R.relevant_rank(evaluation_rows(spark, sf_dir), QUERY, ORDER, R.binarize("relevance", 2.0), last)
+
+
 def q_mrr(spark, sf_dir):
-    rr = R.reciprocal_rank(ranked(spark, sf_dir), QUERY)
-    return rr.select(QUERY, F.round("rr", 6).alias("rr"))
+    rr = F.coalesce(F.lit(1.0) / F.col("pos"), F.lit(0.0))
+    return _relevant_rank(spark, sf_dir).select(QUERY, F.round(rr, 6).alias("rr"))
+
+
+def q_mrr_mean(spark, sf_dir):
+    rr = F.coalesce(F.lit(1.0) / F.col("pos"), F.lit(0.0))
+    return _relevant_rank(spark, sf_dir).agg(F.round(F.avg(rr), 6).alias("mrr"))
 
 
 def q_r_precision(spark, sf_dir):
-    out = R.r_precision(ranked(spark, sf_dir), QUERY)
-    return out.select(QUERY, F.round("r_precision", 6).alias("r_precision"))
+    rp = F.coalesce(F.col("hits") / F.col("pos"), F.lit(0.0))
+    return _relevant_rank(spark, sf_dir, last=True).select(QUERY, F.round(rp, 6).alias("r_precision"))
 
 
 def q_precision_at_k(spark, sf_dir, k=3):
-    out = R.precision_at_k(ranked(spark, sf_dir), QUERY, k)
+    out = R.precision_at_k(ranked(spark, sf_dir, k), QUERY, k)
     return out.select(QUERY, F.round("precision_at_k", 6).alias("precision_at_k"))
 
 
 def q_ap_prefix_at_k(spark, sf_dir, k=5):
-    out = R.average_precision_prefix(ranked(spark, sf_dir), QUERY, k)
+    out = R.average_precision_prefix(ranked(spark, sf_dir, k), QUERY, k)
     return out.select(QUERY, F.round("ap", 6).alias("ap"))
 
 
@@ -88,7 +96,7 @@ def q_prefix_precision(spark, sf_dir):
 
 
 def q_eval_sweep(spark, sf_dir):
-    out = R.eval_sweep(ranked(spark, sf_dir), QUERY, ks=(1, 2, 3, 4, 5), method=0,
+    out = R.eval_sweep(ranked(spark, sf_dir, 5), QUERY, ks=(1, 2, 3, 4, 5), method=0,
                        source=source(spark, sf_dir))
     return out.select("metric", "k", F.round("score", 6).alias("score"))
 
@@ -101,7 +109,7 @@ WITH ev AS (
   FROM orders),
 rk AS (
   SELECT o_custkey, rel,
-         CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS pos,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pos,
          CASE WHEN rel >= 2 THEN 1.0 ELSE 0.0 END AS bin
   FROM ev),
 ranked AS (
@@ -141,6 +149,9 @@ ORACLE = {
     "mrr": _RANKED_SQL + """
 SELECT o_custkey, round(coalesce(1.0 / min(CASE WHEN bin > 0 THEN pos END), 0.0), 6) AS rr
 FROM ranked GROUP BY o_custkey""",
+    "mrr_mean": _RANKED_SQL + """
+, rr AS (SELECT o_custkey, coalesce(1.0 / min(CASE WHEN bin > 0 THEN pos END), 0.0) AS rr FROM ranked GROUP BY o_custkey)
+SELECT round(avg(rr), 6) AS mrr FROM rr""",
     "r_precision": _RANKED_SQL + """
 SELECT o_custkey, round(coalesce(sum(bin) / max(CASE WHEN bin > 0 THEN pos END), 0.0), 6) AS r_precision
 FROM ranked GROUP BY o_custkey""",
@@ -188,6 +199,7 @@ QUERIES = {
     "dcg_at_k": q_dcg_at_k,
     "dcg_at_k_m1": q_dcg_at_k_m1,
     "mrr": q_mrr,
+    "mrr_mean": q_mrr_mean,
     "r_precision": q_r_precision,
     "precision_at_k": q_precision_at_k,
     "ap_prefix_at_k": q_ap_prefix_at_k,

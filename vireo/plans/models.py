@@ -7,8 +7,9 @@
   by 10, softmax, top-5 classes.
 * dictionaries (text derived from ``nation``): label map entries
   ``target_class: n_nationkey`` / ``target_class_string: "n<8-digit key>"``,
-  one file per region; uid -> name lines only for regions 0..3, so nations of
-  region 4 have no name (empty default / reported as unmatched).
+  one file per region, every sixth entry without its string; uid -> name lines
+  only for regions 0..3: deliberate missing keys, so that the lookup's empty
+  default and its unmatched rows are seen.
 """
 
 from __future__ import annotations
@@ -45,8 +46,10 @@ def _uid(col):
 
 def label_map_texts(spark, sf_dir):
     n = load_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
-    block = F.concat(F.lit("entry {\n  target_class: "), F.col("n_nationkey").cast("string"),
-                     F.lit('\n  target_class_string: "'), _uid(F.col("n_nationkey")), F.lit('"\n}\n'))
+    # nations 3, 9, 15, .. have no string: their entry must not shift those that follow
+    said = F.when(F.pmod("n_nationkey", F.lit(6)) == 3, F.lit("")).otherwise(
+        F.concat(F.lit('  target_class_string: "'), _uid(F.col("n_nationkey")), F.lit('"\n')))
+    block = F.concat(F.lit("entry {\n  target_class: "), F.col("n_nationkey").cast("string"), F.lit("\n"), said, F.lit("}\n"))
     g = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", block.alias("b"))))
                                      .alias("bs"))
     return g.select(F.array_join(F.transform("bs", lambda x: x["b"]), "").alias("value"))
@@ -128,35 +131,36 @@ def q_synthetic_two_class(spark, sf_dir):
 def q_error_rate(spark, sf_dir):
     classes, w = model(spark, sf_dir)
     rows = classifier_rows(spark, sf_dir).filter(F.col("split") == "validation")
-    top1 = INF.score_top_k(rows, "vec_id", "embedding", classes, w, k=1) \
-        .select("vec_id", F.col("label").alias("pred"))
-    pred = rows.select("vec_id", "label").join(top1, "vec_id")
+    pred = rows.select("label", INF.predict_class("embedding", classes, w).alias("pred"))
     return INF.error_rate(pred, "pred", "label").select(F.round("error_rate", 6).alias("error_rate"))
 
 
-def q_batch_inference_top_k(spark, sf_dir):
+def _scored(spark, sf_dir, method):
     classes, w = model(spark, sf_dir)
     e = load_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
     out = INF.score_top_k(e, "vec_id", "embedding", classes, w, k=TOP_K, temperature=TEMPERATURE,
-                          names=names(spark, sf_dir), default_name="")
+                          names=names(spark, sf_dir), default_name="", method=method)
     return out.select("vec_id", F.col("rank").cast("int").alias("rank"), "label", "name",
                       F.round("score", 6).alias("score"))
 
 
+def q_batch_inference_top_k(spark, sf_dir):
+    return _scored(spark, sf_dir, "expr")
+
+
 def q_batch_inference_map(spark, sf_dir):
-    classes, w = model(spark, sf_dir)
-    nm = INF.collect_dictionary(names(spark, sf_dir), "label", "name")
-    e = load_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
-    out = INF.score_top_k_batches(e, "vec_id", "embedding", classes, w, k=TOP_K,
-                                  temperature=TEMPERATURE, names=nm)
-    return out.select("vec_id", "rank", "label", "name", F.round("score", 6).alias("score"))
+    return _scored(spark, sf_dir, "batches")
 
 
-def q_sweep_softmax(spark, sf_dir):
+def q_sweep_mlp(spark, sf_dir):
+    """The whole grid of 50 configurations: its axes, and whether each fit gave figures that make sense."""
     rows = classifier_rows(spark, sf_dir)
-    return SW.sweep(rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "validation"),
-                    rows.filter(F.col("split") == "test"), "embedding", "label", n_classes=10,
-                    max_iter=10, parallelism=8)
+    out = SW.sweep(rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "validation"),
+                   rows.filter(F.col("split") == "test"), "embedding", "label", n_classes=10, parallelism=8)
+    error = lambda c: F.col(c).between(0.0, 100.0)
+    return out.select("grid_pos", F.round("base_learning_rate", 6).alias("base_learning_rate"), "decay_rate", "fc1_size",
+                      (F.col("minibatch_loss") < SW.SENTINEL).alias("trained"),
+                      (error("validation_error") & error("test_error")).alias("errors_in_range"))
 
 
 def q_positional_split(spark, sf_dir):
@@ -180,21 +184,22 @@ sc AS (SELECT e.vec_id, e.label, e.rn, cm.cls, {TEMPERATURE} * list_dot_product(
 """
 
 _NAMES = """
-nm AS (SELECT n_nationkey AS label, n_name AS name FROM nation WHERE n_regionkey < 4)
+nm AS (SELECT n_nationkey AS label, n_name AS name FROM nation WHERE n_regionkey < 4 AND n_nationkey % 6 <> 3)
 """
 
 ORACLE = {
     "url_index_parse": """
 SELECT CAST(page_id AS VARCHAR) AS img_id, url AS img_url FROM pages WHERE NOT contains(html, 'lang="fr"')""",
     "label_map_parse": """
-SELECT n_nationkey AS node, 'n' || lpad(CAST(n_nationkey AS VARCHAR), 8, '0') AS uid FROM nation""",
+SELECT n_nationkey AS node, 'n' || lpad(CAST(n_nationkey AS VARCHAR), 8, '0') AS uid FROM nation WHERE n_nationkey % 6 <> 3""",
     "uid_names_parse": """
 SELECT 'n' || lpad(CAST(n_nationkey AS VARCHAR), 8, '0') AS uid, n_name AS name FROM nation WHERE n_regionkey < 4""",
     "label_lookup_compose": """
 SELECT n_nationkey AS node, 'n' || lpad(CAST(n_nationkey AS VARCHAR), 8, '0') AS uid, n_name AS name
-FROM nation WHERE n_regionkey < 4""",
+FROM nation WHERE n_regionkey < 4 AND n_nationkey % 6 <> 3""",
     "label_lookup_unmatched": """
-SELECT n_nationkey AS node, 'n' || lpad(CAST(n_nationkey AS VARCHAR), 8, '0') AS uid FROM nation WHERE n_regionkey >= 4""",
+SELECT n_nationkey AS node, 'n' || lpad(CAST(n_nationkey AS VARCHAR), 8, '0') AS uid FROM nation
+WHERE n_regionkey >= 4 AND n_nationkey % 6 <> 3""",
     "label_lookup_default": "WITH " + _NAMES + """
 SELECT e.vec_id, e.label, coalesce(nm.name, '') AS name FROM embeddings e LEFT JOIN nm ON e.label = nm.label""",
     "one_hot": """
@@ -227,6 +232,11 @@ SELECT CAST((rn - 1) // {BATCH} AS BIGINT) AS batch, count(*) AS n, min(o_orderk
 FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) GROUP BY 1""",
 }
 
+ORACLE["sweep_mlp"] = f"""
+SELECT CAST(r.i * {len(SW.FC1_SIZES)} + s.i AS INTEGER) AS grid_pos, round(pow(10, -3 + r.i * 2 / 9.0), 6) AS base_learning_rate,
+       CAST({SW.DECAY_RATES[0]} AS DOUBLE) AS decay_rate, CAST(s.v AS INTEGER) AS fc1_size, true AS trained, true AS errors_in_range
+FROM (SELECT unnest(range(0, 10)) AS i) r,
+     (VALUES {", ".join(f"({i}, {v})" for i, v in enumerate(SW.FC1_SIZES))}) s(i, v)"""
 ORACLE["batch_inference_map"] = ORACLE["batch_inference_top_k"]
 
 QUERIES = {
@@ -242,7 +252,7 @@ QUERIES = {
     "error_rate": q_error_rate,
     "batch_inference_top_k": q_batch_inference_top_k,
     "batch_inference_map": q_batch_inference_map,
-    "sweep_softmax": q_sweep_softmax,
+    "sweep_mlp": q_sweep_mlp,
     "positional_split": q_positional_split,
     "batch_rows": q_batch_rows,
 }

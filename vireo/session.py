@@ -61,12 +61,15 @@ def recommended_conf(input_bytes: int, total_cores: int, shuffle_target_bytes: i
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared folder and is used as is. Only when
-    it is unset (local tests) a fresh folder is created and registered.
+    On a cluster the setting names a shared folder and is used as is. Only on a
+    local master a fresh folder is made where it is unset (tests); elsewhere
+    that is an error, as executors would not share it.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="vireo-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:

@@ -26,11 +26,16 @@ def read_url_index(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_label_map(texts: DataFrame, value_col: str = "value") -> DataFrame:
     """Whole-file texts with ``  target_class: N`` followed by
-    ``  target_class_string: "uid"`` -> (node, uid), quotes removed."""
-    nodes = F.regexp_extract_all(F.col(value_col), F.lit(r"(?m)^  target_class: (\d+)"), 1)
-    uids = F.regexp_extract_all(F.col(value_col), F.lit(r'(?m)^  target_class_string: "(.*)"'), 1)
-    return texts.select(F.arrays_zip(nodes.alias("node"), uids.alias("uid")).alias("z")) \
-        .select(F.inline("z")).select(F.col("node").cast("int").alias("node"), "uid")
+    ``  target_class_string: "uid"`` -> (node, uid), quotes removed.
+
+    A string belongs to the last class before it: a class without a string has
+    no row, and does not shift those that follow. One expression matches a class line and
+    what lies between it and its string, so the pair stays together.
+    """
+    entry = r'(?m)^  target_class: (\d+)(?:\R(?!  target_class: ).*)*?\R  target_class_string: "(.*)"'
+    found = F.explode(F.regexp_extract_all(F.col(value_col), F.lit(entry), 0)).alias("entry")
+    return texts.select(found).select(F.regexp_extract("entry", r"(\d+)", 1).cast("int").alias("node"),
+                                      F.regexp_extract("entry", r'target_class_string: "(.*)"$', 1).alias("uid"))
 
 
 def read_label_map(spark: SparkSession, path: str) -> DataFrame:

@@ -18,7 +18,7 @@ def events_as_ratings(events: DataFrame) -> DataFrame:
     rating = value, fold = seconds of ts mod 10 (equal to epoch mod 10)."""
     return events.select(
         F.col("user_id").alias("user"),
-        F.get_json_object("props", "$.k").cast("int").alias("item"),
+        F.get_json_object("props", "$.k").cast("long").alias("item"),
         F.col("value").alias("rating"),
         F.pmod(F.second("ts"), F.lit(10)).alias("fold"))
 
@@ -33,7 +33,7 @@ def parse_ratings(lines: DataFrame, sep: str = ",", mode: str = "DROPMALFORMED",
     """
     parts = F.split(F.trim(F.col(value_col)), _regex_quote(sep))
     user = F.try_element_at(parts, F.lit(1)).try_cast("long")
-    item = F.try_element_at(parts, F.lit(2)).try_cast("int")
+    item = F.try_element_at(parts, F.lit(2)).try_cast("long")
     rating = F.try_element_at(parts, F.lit(3)).try_cast("double")
     ts = F.try_element_at(parts, F.lit(4)).try_cast("long")
     out = lines.select(user.alias("user"), item.alias("item"), rating.alias("rating"),
@@ -58,7 +58,7 @@ def read_ratings(spark: SparkSession, path: str, sep: str = ",", mode: str = "DR
 def parse_titles(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """CSV lines ``id,title[,...]`` -> (item, title). Quoted titles keep their
     commas (the reference split naively on every comma and cut such titles)."""
-    parsed = F.from_csv(F.col(value_col), "item INT, title STRING, rest STRING",
+    parsed = F.from_csv(F.col(value_col), "item BIGINT, title STRING, rest STRING",
                         {"mode": "PERMISSIVE"})
     return lines.select(parsed.alias("p")).select("p.item", "p.title") \
         .filter(F.col("item").isNotNull())

@@ -3,7 +3,7 @@
 The batch operators are stateless per row, so the same plan runs under
 Structured Streaming: text files arriving in ``source`` are parsed and
 validated, accepted responses are projected and appended to ``sink`` as JSON
-lines, with progress in a checkpoint below the shared ``spark.checkpoint.dir``
+lines, with progress in a checkpoint folder that the caller names
 (restart-safe, exactly-once file sink).
 """
 
@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import responses as RP
-from ..session import shared_path
 
 
 def validated_stream(spark: SparkSession, source: str, signature_dim: int = RP.SIGNATURE_DIM,
@@ -26,13 +25,14 @@ def validated_stream(spark: SparkSession, source: str, signature_dim: int = RP.S
     return RP.validate(lines, "payload", signature_dim, color_dim, rules)
 
 
-def validate_stream(spark: SparkSession, source: str, sink: str, checkpoint: str | None = None,
+def validate_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
                     available_now: bool = False, **kw):
-    """Start the stream; returns the ``StreamingQuery``."""
+    """Start the stream; returns the ``StreamingQuery``. ``checkpoint`` names the
+    progress folder: a restart with the same one goes on where the last run ended."""
     v = validated_stream(spark, source, **kw)
     out = RP.project_full(v)
     w = out.writeStream.format("json").option("path", sink) \
-        .option("checkpointLocation", checkpoint or shared_path(spark, "validate-stream"))
+        .option("checkpointLocation", checkpoint)
     if available_now:
         w = w.trigger(availableNow=True)
     return w.outputMode("append").start()
