@@ -11,7 +11,9 @@ bounded size until one is left, which is cut at powers of two.
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,16 +22,27 @@ from .common import cut, pick
 
 END = 1
 GROUP = 256             # leftovers merged by one task in a round
-CACHE = 400_000         # distinct words whose ids a worker keeps
+CACHE = 1_000_000       # distinct pieces whose ids a worker keeps
 
 _STATE: dict = {}
 
 
+class _Index(dict):
+    """Number of a piece of text; a new piece gets the next one."""
+
+    def __missing__(self, piece):
+        self[piece] = n = len(self)
+        return n
+
+
 class _Words:
-    """Ids of a text through a cache by word.
+    """Ids of a text through a cache of its pieces.
 
-    The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its parts between spaces and line ends, in order.
+    The tokenizer drops white space and never joins across it, and takes a run
+    of letters for itself unless an apostrophe follows. So for texts of Latin
+    letters (where lower case and composition go letter by letter) the ids are
+    those of the pieces, in order. Other texts, and those that may hold the name of
+    a special token, are encoded whole.
     """
 
     def __init__(self, path):
@@ -38,54 +51,53 @@ class _Words:
         import numpy as np
         from tokenizers import Tokenizer
 
-        self.encoder = Tokenizer.from_file(path)
-        self.plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!:;?]?)")
         self.np = np
+        self.encoder = Tokenizer.from_file(path)
+        self.piece = re.compile("[a-zß-öø-ÿ]++(?![a-zß-öø-ÿªºµĀ-ſ'])|[^ \n]+").findall
+        self.other = re.compile("[^\x00-\u017f]").search
         self.clear()
 
     def clear(self):
-        self.index, self.parts = {"": 0}, {}
-        self.lists = [()]
-        self.flat, self.start, self.size = None, None, None
-
-    def encode(self, words):
-        return [tuple(e.ids) for e in self.encoder.encode_batch_fast(words, add_special_tokens=False)]
-
-    def learn(self, words):
-        """Give every new word its ids; a plain word with a mark behind it is two known parts."""
-        split = [(w, self.plain.fullmatch(w)) for w in words]
-        new = {p for _, m in split if m for p in (m[1].lower(), m[2]) if p and p not in self.parts}
-        new = sorted(new)
-        self.parts.update(zip(new, self.encode(new)))
-        odd = [w for w, m in split if not m]
-        whole = dict(zip(odd, self.encode(odd)))
-        for w, m in split:
-            self.index[w] = len(self.lists)
-            self.lists.append(self.parts[m[1].lower()] + (self.parts[m[2]] if m[2] else ()) if m else whole[w])
-        np = self.np
-        self.size = np.fromiter(map(len, self.lists), np.int64, len(self.lists))
-        self.start = np.cumsum(self.size) - self.size
-        self.flat = np.fromiter((i for x in self.lists for i in x), np.uint32, int(self.size.sum()))
+        self.index = _Index({"\n": 0})            # no piece holds a line end: it stands for the closing id
+        self.flat, self.start, self.size = array("I", [END]), array("q", [0]), array("q", [1])
+
+    def learn(self):
+        """Give the new pieces their ids."""
+        new = list(itertools.islice(self.index, len(self.size), None))
+        for e in self.encoder.encode_batch_fast(new, add_special_tokens=False):
+            ids = e.ids
+            self.start.append(len(self.flat))
+            self.size.append(len(ids))
+            self.flat.extend(ids)
+
+    def whole(self, text):
+        return [*self.encoder.encode(text, add_special_tokens=False).ids, END]
 
     def ids(self, texts):
         """One uint32 array per text, with the closing id."""
         np = self.np
-        words = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.index) > CACHE:
             self.clear()
-        get = self.index.get
-        fresh = {w for x in words for w in x if w not in self.index}
-        if fresh or self.size is None:
-            self.learn(sorted(fresh))
-        for x in words:
-            at = np.fromiter(map(get, x), np.int64, len(x))
-            size = self.size[at]
-            total = int(size.sum())
-            out = np.empty(total + 1, np.uint32)
-            shift = np.repeat(self.start[at] - (np.cumsum(size) - size), size)
-            out[:total] = self.flat[shift + np.arange(total)]
-            out[total] = END
-            yield out
+        lists, plain = [], []
+        for i, t in enumerate(texts):
+            t = t or ""
+            if "<|" in t or not t.isascii() and self.other(t):
+                continue
+            pieces = self.piece(t.lower())
+            pieces.append("\n")
+            lists.append(pieces)
+            plain.append(i)
+        total = sum(map(len, lists))
+        at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(lists)), np.int64, total)
+        if len(self.index) > len(self.size):
+            self.learn()
+        flat, start, size = (np.frombuffer(x, k) for x, k in ((self.flat, np.uint32), (self.start, np.int64), (self.size, np.int64)))
+        n = size[at]
+        ends = np.cumsum(n)
+        out = flat[np.repeat(start[at] - (ends - n), n) + np.arange(int(ends[-1]) if total else 0)]
+        cuts = ends[np.flatnonzero(at == 0)]
+        parts = dict(zip(plain, np.split(out, cuts[:-1]))) if plain else {}
+        return [parts[i] if i in parts else np.array(self.whole(t), np.uint32) for i, t in enumerate(texts)]
 
 
 def _words(path):
