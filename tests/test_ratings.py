@@ -117,7 +117,6 @@ def test_recommend_all_unseen_exact(spark):
 def test_dense_ids_for_wide_keys(spark):
     big = 2**40
     r = spark.createDataFrame([(big + 5, 7), (big + 1, 7), (3, 9)], "user long, item int")
-    assert not RC.fits_int(r, ["user"]) and RC.fits_int(r, ["item"])
     m = {x.user: x.idx for x in RC.dense_ids(r, "user").collect()}
     assert m == {3: 0, big + 1: 1, big + 5: 2}
 
@@ -157,3 +156,37 @@ def test_recommendations_with_wide_keys(spark):
     for x in allr:
         per[x.user] = per.get(x.user, 0) + 1
     assert set(per.values()) == {3}
+
+
+def test_ids_beyond_31_bits_are_read(spark):
+    lines = spark.createDataFrame([("1,3000000000,4.5,12345",)], "value string")
+    assert [tuple(r) for r in RS.parse_ratings(lines).collect()] == [(1, 3000000000, 4.5, 5)]
+    titles = spark.createDataFrame([("3000000000,Big",)], "value string")
+    assert [tuple(r) for r in RS.parse_titles(titles).collect()] == [(3000000000, "Big")]
+
+
+def test_holdout_rows_are_not_trained_on(spark, sf_small):
+    from vireo.plans import ratings as P
+    r, train = P._als_data(spark, sf_small)
+    assert r.filter(F.col("user") == P.PERSONAL_USER).count() == 0
+    key = ["user", "item", "rating"]
+    n = RC.split(r, "train").count() + P.personal(spark, sf_small).count()
+    assert train.count() == n
+    assert P.ratings(spark, sf_small).count() == r.count() + P.personal(spark, sf_small).count()
+    assert train.select(key).exceptAll(P.ratings(spark, sf_small).select(key)).count() == 0
+
+
+def test_factors_solve_their_normal_equations(spark):
+    rng = np.random.default_rng(4)
+    rows = [(u, i, float(rng.integers(1, 6))) for u in range(20) for i in range(15) if rng.random() < 0.6]
+    r = spark.createDataFrame(rows, "user long, item long, rating double")
+    m = RC.train_als(r, rank=3, max_iter=4, reg=0.1)
+    assert max(x["gap"] for x in RC.normal_equation_gap(m, r, 0.1).collect()) < 1e-3
+    assert max(x["gap"] for x in RC.normal_equation_gap(m, r, 5.0).collect()) > 1e-2
+
+
+def test_require_non_empty(spark):
+    from vireo.sources import require_non_empty
+    assert require_non_empty(spark.range(1)).count() == 1
+    with pytest.raises(ValueError, match="No rows in ratings"):
+        require_non_empty(spark.range(0), "ratings")

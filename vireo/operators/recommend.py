@@ -117,26 +117,21 @@ def damped_item_mean_grid(train: DataFrame, valid: DataFrame, lambdas: Sequence[
     """
     mu = train.select(F.avg(rating)).scalar()
     stats = train.groupBy(item).agg(F.sum(F.col(rating) - mu).alias("dev"), F.count(F.lit(1)).alias("cnt"))
-    grid = F.array(*[F.struct(F.lit(i).alias("grid_pos"), F.lit(float(l)).alias("lam"))
-                     for i, l in enumerate(lambdas)])
-    v = valid.join(stats, item, "left").withColumn("g", F.explode(grid))
-    pred = mu + F.coalesce(F.col("dev") / (F.col("cnt") + F.col("g.lam")), F.lit(0.0))
-    res = v.groupBy(F.col("g.grid_pos").alias("grid_pos"), F.col("g.lam").alias("lam")) \
-        .agg(F.sqrt(F.avg(F.pow(pred - F.col(rating), 2))).alias("val_rmse"))
-    best = res.select(F.min_by("grid_pos", F.struct("val_rmse", "grid_pos")).alias("b")).scalar()
-    return res.withColumn("is_best", F.col("grid_pos") == best)
+    lams = [float(x) for x in lambdas]
 
+    def error(lam):
+        return F.sqrt(F.avg(F.pow(mu + F.coalesce(F.col("dev") / (F.col("cnt") + lam), F.lit(0.0)) - F.col(rating), 2)))
 
-def ascii_only(text: Column) -> Column:
-    """Drop every non-ASCII character (``encode('ascii', 'ignore')``)."""
-    return F.regexp_replace(text, r"[^\x00-\x7F]", "")
+    # one conditional aggregate per grid point over the rows as they are, then one row per point
+    wide = valid.join(stats, item, "left").agg(*[error(x).alias(f"e{i}") for i, x in enumerate(lams)])
+    point = [F.struct(F.lit(i).alias("grid_pos"), F.lit(x).alias("lam"), F.col(f"e{i}").alias("val_rmse")) for i, x in enumerate(lams)]
+    res = wide.select(F.inline(F.array(*point)))
+    best = res.select(F.min_by("grid_pos", F.struct("val_rmse", "grid_pos")).alias("b")).scalar()
+    return res.withColumn("is_best", F.col("grid_pos") == best)
 
 
 # ---------------------------------------------------------------- ALS ----
 
-INT_MAX = 2**31 - 1
-
-
 def dense_ids(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
     """Mapping (col, out) of every distinct value of ``col`` to 0..n-1 in value
     order; distributed numbering (no single-partition window)."""
@@ -146,18 +141,11 @@ def dense_ids(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
         .select(col, (F.col(out) - 1).cast("int").alias(out))
 
 
-def fits_int(df: DataFrame, cols: Sequence[str]) -> bool:
-    """True when every id of ``cols`` lies in [0, 2^31 - 1]."""
-    aggs = [F.min(c).alias(f"mn{i}") for i, c in enumerate(cols)] + \
-        [F.max(c).alias(f"mx{i}") for i, c in enumerate(cols)]
-    r = df.agg(*aggs).first()
-    return all(r[f"mn{i}"] is None or (r[f"mn{i}"] >= 0 and r[f"mx{i}"] <= INT_MAX) for i in range(len(cols)))
-
 def train_als(train: DataFrame, rank: int = 16, max_iter: int = 7, reg: float = 0.1,
               implicit: bool = False, alpha: float = 1.0, seed: int = 42,
               user: str = "user", item: str = "item", rating: str = "rating",
               num_blocks: int | None = None, checkpoint_interval: int = 10):
-    """Fit ``pyspark.ml`` ALS; ids must fit in int. Factor blocks are exchanged
+    """Fit ``pyspark.ml`` ALS; ids must fit in int (a larger one raises: see :func:`train_als_any_ids`). Factor blocks are exchanged
     between executors each half-iteration; lineage is cut every
     ``checkpoint_interval`` iterations in the shared checkpoint folder."""
     from pyspark.ml.recommendation import ALS
@@ -194,11 +182,9 @@ class IndexedALSModel:
 
 
 def train_als_any_ids(train: DataFrame, user: str = "user", item: str = "item", **kw):
-    """ALS for keys of any integral width: keys that fit in int are used as
-    they are; otherwise they are mapped to dense ids (distributed numbering of
-    the distinct keys) and the returned model maps them back when scoring."""
-    if fits_int(train, [user, item]):
-        return train_als(train, user=user, item=item, **kw)
+    """ALS for keys of any integral width: they are mapped to dense ids
+    (distributed numbering of the distinct keys) and the returned model maps them
+    back when scoring. More than 2^31 distinct users or items raise."""
     users, items = dense_ids(train, user), dense_ids(train, item)
     x = train.join(users, user).drop(user).withColumnRenamed("idx", user) \
         .join(items, item).drop(item).withColumnRenamed("idx", item)
@@ -221,6 +207,33 @@ def als_rmse(model, data: DataFrame, rating: str = "rating") -> DataFrame:
                       F.count(F.lit(1)).alias("n_scored"))
 
 
+def als_split_rmse(model, data: DataFrame, split_col: str = "split", rating: str = "rating") -> DataFrame:
+    """RMSE of every split in one pass: (split, n, n_scored, rmse, rmse_all). ``data``: user, item, rating, split."""
+    sq = F.pow(F.col("prediction").cast("double") - F.col(rating), 2)
+    scored = als_predict(model, data).groupBy(split_col).agg(F.sum(sq).alias("ss"), F.count(F.lit(1)).alias("n_scored"))
+    total = data.groupBy(split_col).agg(F.count(F.lit(1)).alias("n"))
+    return total.join(scored, split_col, "left").select(
+        split_col, "n", F.coalesce("n_scored", F.lit(0)).alias("n_scored"),
+        F.sqrt(F.try_divide("ss", "n_scored")).alias("rmse"), F.sqrt(F.coalesce("ss", F.lit(0.0)) / F.col("n")).alias("rmse_all"))
+
+
+def normal_equation_gap(model, train: DataFrame, reg: float, user: str = "user", item: str = "item", rating: str = "rating") -> DataFrame:
+    """(user, gap): how far each user's factors are from solving their regularised
+    least squares given the item factors, relative to the size of its right side.
+    The user step is the last of an explicit fit, so the gap is rounding only."""
+    rank = model.rank
+    rows = train.select(F.col(user).alias("_u"), F.col(item).alias("_i"), F.col(rating).alias("_r")) \
+        .join(model.userFactors.select(F.col("id").alias("_u"), F.col("features").alias("_x")), "_u") \
+        .join(model.itemFactors.select(F.col("id").alias("_i"), F.col("features").alias("_y")), "_i")
+    part = lambda c, j: F.element_at(c, j + 1).cast("double")
+    error = sum((part("_x", j) * part("_y", j) for j in range(rank)), F.lit(0.0)) - F.col("_r")
+    sums = [F.sum(F.col("_e") * part("_y", j) + reg * part("_x", j)).alias(f"g{j}") for j in range(rank)]
+    size = [F.sum(F.abs(F.col("_r") * part("_y", j))).alias(f"b{j}") for j in range(rank)]
+    agg = rows.withColumn("_e", error).groupBy("_u").agg(*sums, *size)
+    gap = F.greatest(*[F.abs(f"g{j}") for j in range(rank)]) / (F.greatest(*[F.col(f"b{j}") for j in range(rank)]) + F.lit(1e-6))
+    return agg.select(F.col("_u").alias(user), gap.alias("gap"))
+
+
 def als_grid_search(train: DataFrame, valid: DataFrame, ranks: Sequence[int] = (16,),
                     lambdas: Sequence[float] = (0.1,), iters: Sequence[int] = (7,),
                     seed: int = 42, parallelism: int = 1):
@@ -287,8 +300,15 @@ def recommend_unseen(model, items: DataFrame, rated: DataFrame, user_id: int, n:
     return scored.orderBy(F.col("prediction").desc(), F.col(item)).limit(n)
 
 
-def recommend_all_unseen(model, rated: DataFrame, n: int = 10, first_k: int | None = None,
-                         max_rounds: int = 32) -> DataFrame:
+def recommend_users_unseen(model, items: DataFrame, rated: DataFrame, users: Sequence[int], n: int = 50) -> DataFrame:
+    """Top-``n`` unseen items of each named user (:func:`recommend_unseen` for each, in one union)."""
+    out = [recommend_unseen(model, items, rated, u, n) for u in users]
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0]
+
+
+def recommend_all_unseen(model, rated: DataFrame, n: int = 10, first_k: int | None = None) -> DataFrame:
     """Exact top-``n`` unseen items of every user, (user, item, prediction, rank).
 
     Round 1 asks every user for ``first_k`` (default ``2 n``) best items with
@@ -306,7 +326,7 @@ def recommend_all_unseen(model, rated: DataFrame, n: int = 10, first_k: int | No
         u, i = model.user, model.item
         dense = rated.join(model.users, u).drop(u).withColumnRenamed("idx", "user") \
             .join(model.items, i).drop(i).withColumnRenamed("idx", "item")
-        out = recommend_all_unseen(model.model, dense, n, first_k, max_rounds) \
+        out = recommend_all_unseen(model.model, dense, n, first_k) \
             .withColumnRenamed("user", "_du").withColumnRenamed("item", "_di")
         users = model.users.select(F.col(u).alias("_ku"), F.col("idx").alias("_du"))
         items = model.items.select(F.col(i).alias("_ki"), F.col("idx").alias("_di"))
@@ -319,7 +339,7 @@ def recommend_all_unseen(model, rated: DataFrame, n: int = 10, first_k: int | No
     pending = model.userFactors.select(F.col("id").alias("user"))
     k = max(n, first_k or 2 * n)
     parts = []
-    for _ in range(max_rounds):
+    while True:                       # k doubles up to the number of items: every user is done by then
         kk = min(k, n_items)
         recs = model.recommendForUserSubset(pending, kk) \
             .select("user", F.explode("recommendations").alias("r")) \

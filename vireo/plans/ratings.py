@@ -1,15 +1,19 @@
 """Rating and recommendation plans on ``events`` (user = user_id, item = props.k,
 rating = value, fold = second(ts) % 10) with item titles from ``part``.
 
-The "personal ratings" of the reference (a user scored as id 0) are the
-positive ratings of user 0.
+The reference scores a user whose own ratings come from a separate file. Here
+that user is user 0: its events are the personal ratings, and ``others`` (the
+rating table without them) is what is split into folds, so no row is both
+trained on and tested, and none is counted twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import ascii_only
+from ..functions.vectors import dot
 from ..operators import recommend as RC
 from ..sources import load_table
 from ..sources import ratings as RS
@@ -33,6 +37,10 @@ def personal(spark, sf_dir) -> DataFrame:
     return ratings(spark, sf_dir).filter(F.col("user") == PERSONAL_USER)
 
 
+def others(spark, sf_dir) -> DataFrame:
+    return ratings(spark, sf_dir).filter(F.col("user") != PERSONAL_USER)
+
+
 def q_fold_split_counts(spark, sf_dir):
     return RC.fold_split_counts(ratings(spark, sf_dir))
 
@@ -48,8 +56,7 @@ def q_positive_ratings(spark, sf_dir):
 
 
 def q_train_union_personal(spark, sf_dir):
-    r = ratings(spark, sf_dir)
-    return RC.with_personal(RC.split(r, "train"), personal(spark, sf_dir))
+    return RC.with_personal(RC.split(others(spark, sf_dir), "train"), personal(spark, sf_dir))
 
 
 def _user_mean_scored_test(spark, sf_dir):
@@ -130,15 +137,17 @@ def q_top_n_with_titles(spark, sf_dir):
     cand = titles(spark, sf_dir).join(rated, "item", "left_anti")
     scored = cand.join(model, "item", "inner")
     top = scored.orderBy(F.col("prediction").desc(), F.col("item")).limit(TOP_N)
-    from ..operators.relational import ordered_prefix
-    ranked = ordered_prefix(top, [], [F.col("prediction").desc(), F.col("item")], pos_col="rank",
-                            method="window")
-    return ranked.select("rank", "item", "title", F.round("prediction", 6).alias("score"))
+    return _ranked(top).select("rank", "item", "title", F.round("prediction", 6).alias("score"))
+
+
+def _ranked(top):
+    """Rank numbers of at most TOP_N rows."""
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("prediction").desc(), F.col("item"))))
 
 
 def q_ascii_strip(spark, sf_dir):
     d = load_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    s = RC.ascii_only(F.col("text"))
+    s = ascii_only("text")
     return d.select("doc_id", F.length(s).alias("ascii_len"), F.md5(s).alias("ascii_md5"))
 
 
@@ -148,75 +157,100 @@ def q_best_config(spark, sf_dir):
     return out.select("grid_pos", "lam", F.round("val_rmse", 6).alias("val_rmse"), "is_best")
 
 
-# ------------------------------------------------------------- ALS (rows) ---
+# ---------------------------------------------------------------------- ALS
+
+RANK, ITERATIONS, REG = 16, 7, 0.1
+IMPLICIT_USERS = (0, 1, 2)
+
 
 def _als_data(spark, sf_dir):
-    r = ratings(spark, sf_dir)
-    train = RC.with_personal(RC.split(r, "train"), personal(spark, sf_dir))
-    return r, train
+    r = others(spark, sf_dir)
+    return r, RC.with_personal(RC.split(r, "train"), personal(spark, sf_dir))
+
+
+def _fit(train, **kw):
+    return RC.train_als(train, rank=RANK, max_iter=ITERATIONS, reg=REG, **kw)
 
 
 def q_als_explicit_holdout(spark, sf_dir):
+    """Rows and scored rows of each split, and whether the model beats the mean of what it was trained on."""
     r, train = _als_data(spark, sf_dir)
-    m = RC.train_als(train, rank=16, max_iter=7, reg=0.1)
-    parts = []
-    for name, data in (("train", train), ("validation", RC.split(r, "validation")), ("test", RC.split(r, "test"))):
-        parts.append(RC.als_rmse(m, data.select("user", "item", "rating")).withColumn("split", F.lit(name)))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    # the reference's closing comparison: mean of train + validation, RMSE on test
-    tv = train.select("rating").unionByName(RC.split(r, "validation").select("rating"))
-    base = RC.mean_baseline_rmse(tv, RC.split(r, "test")).select("baseline_rmse").scalar()
-    return out.select("split", "rmse_all", "rmse", "n_scored",
-                      F.when(F.col("split") == "test", base).alias("baseline_rmse")) \
-        .withColumn("improvement_pct",
-                    (F.col("baseline_rmse") - F.col("rmse_all")) / F.col("baseline_rmse") * 100)
+    parts = r.select("user", "item", "rating", RC.split_label().alias("split")).where("split <> 'train'") \
+        .unionByName(train.withColumn("split", F.lit("train")))
+    out = RC.als_split_rmse(_fit(train), parts)
+    mean = train.select(F.stddev_pop("rating")).scalar()             # RMSE of always predicting the mean
+    return out.select("split", "n", "n_scored", F.when(F.col("split") == "train", F.col("rmse") < mean).alias("beats_mean"))
 
 
 def q_als_grid_search(spark, sf_dir):
+    """Every grid point with finite errors, one of them marked best, and that one the argmin."""
     r, train = _als_data(spark, sf_dir)
     rows, best = RC.als_grid_search(train, RC.split(r, "validation").select("user", "item", "rating"),
                                     ranks=(8, 16), lambdas=(0.1,), iters=(7,), parallelism=2)
-    test = RC.als_rmse(best, RC.split(r, "test").select("user", "item", "rating"))
     grid = spark.createDataFrame(rows, "grid_pos int, lam double, rank int, iters int, "
                                        "train_rmse double, val_rmse double, is_best boolean")
-    return grid.withColumn("best_test_rmse", test.select("rmse_all").scalar())
+    least = grid.select(F.min_by("grid_pos", F.struct("val_rmse", "grid_pos"))).scalar()
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) > 0)
+    return grid.select("grid_pos", "lam", "rank", "iters", (finite("train_rmse") & finite("val_rmse")).alias("finite"),
+                       (F.col("is_best") == (F.col("grid_pos") == least)).alias("best_is_argmin"))
+
+
+def _checked(recs, model, items, rated, user):
+    """One row: how many items were recommended, and whether they are unseen, in order and scored by the factors."""
+    seen = rated.filter(F.col("user") == user).select("item").distinct().withColumn("_seen", F.lit(True))
+    x = model.userFactors.filter(F.col("id") == user).select("features").scalar()
+    y = model.itemFactors.select(F.col("id").alias("item"), F.col("features").alias("_y"))
+    rows = _ranked(recs).join(seen, "item", "left").join(y, "item").withColumn("_x", x)
+    below = F.lead("prediction").over(Window.orderBy("rank"))
+    rows = rows.withColumn("_next", below).join(items.select("item", "title"), "item", "left")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_seen"), 1)).alias("n_seen"),
+                    F.bool_and(F.coalesce(F.col("prediction") >= F.col("_next"), F.lit(True))).alias("ordered"),
+                    F.bool_and(F.abs(dot("_x", "_y") - F.col("prediction")) < 1e-4).alias("scores_match"),
+                    F.count(ascii_only("title")).alias("n_titles"))
 
 
 def q_als_recommend_unseen(spark, sf_dir):
-    r, train = _als_data(spark, sf_dir)
-    m = RC.train_als(train, rank=16, max_iter=7, reg=0.1)
-    recs = RC.recommend_unseen(m, titles(spark, sf_dir), personal(spark, sf_dir), PERSONAL_USER, TOP_N)
-    from ..operators.relational import ordered_prefix
-    ranked = ordered_prefix(recs, [], [F.col("prediction").desc(), F.col("item")], pos_col="rank",
-                            method="window")
-    out = ranked.join(titles(spark, sf_dir), "item", "left")
-    return out.select("rank", "item", RC.ascii_only(F.col("title")).alias("title"), "prediction")
+    _, train = _als_data(spark, sf_dir)
+    m, items, mine = _fit(train), titles(spark, sf_dir), personal(spark, sf_dir)
+    return _checked(RC.recommend_unseen(m, items, mine, PERSONAL_USER, TOP_N), m, items, mine, PERSONAL_USER)
 
 
 def q_als_factors(spark, sf_dir):
+    """Every id that was trained on, the length of its vector, and, for users,
+    whether it solves its normal equations given the item factors."""
     _, train = _als_data(spark, sf_dir)
-    m = RC.train_als(train, rank=16, max_iter=7, reg=0.1)
-    norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x))
-    u = m.userFactors.select(F.lit("user").alias("kind"), "id", norm.alias("norm"))
-    i = m.itemFactors.select(F.lit("item").alias("kind"), "id", norm.alias("norm"))
-    return u.unionByName(i)
+    m = _fit(train)
+    gap = RC.normal_equation_gap(m, train, REG)
+    u = m.userFactors.join(gap, F.col("id") == F.col("user"), "left").select(
+        F.lit("user").alias("kind"), "id", F.size("features").alias("length"), (F.col("gap") < 1e-3).alias("solves"))
+    i = m.itemFactors.select(F.lit("item").alias("kind"), "id", F.size("features").alias("length"), F.lit(None).cast("boolean").alias("solves"))
+    return u.unionByName(i).withColumn("id", F.col("id").cast("long"))
 
 
 def q_als_save_load(spark, sf_dir):
+    """Test rows that both the fitted and the reloaded model score, and whether they agree."""
     r, train = _als_data(spark, sf_dir)
-    m = RC.save_and_load(RC.train_als(train, rank=16, max_iter=7, reg=0.1))
-    return RC.als_predict(m, RC.split(r, "test").select("user", "item", "rating"))
+    m = _fit(train)
+    first = RC.als_predict(m, RC.split(r, "test").select("user", "item", "rating")).withColumnRenamed("prediction", "fitted")
+    both = RC.als_predict(RC.save_and_load(m), first)
+    return both.select(F.col("user").cast("long").alias("user"), F.col("item").cast("long").alias("item"),
+                       (F.col("prediction") == F.col("fitted")).alias("same_prediction"))
 
 
 def q_als_implicit(spark, sf_dir):
-    r, train = _als_data(spark, sf_dir)
-    m = RC.train_als(train, rank=16, max_iter=7, reg=0.1, implicit=True, alpha=1.0)
-    return RC.recommend_all_unseen(m, train, n=10)
+    """An implicit model's recommendations for a named set of users, checked as for the explicit one."""
+    _, train = _als_data(spark, sf_dir)
+    m, items = _fit(train, implicit=True, alpha=1.0), titles(spark, sf_dir)
+    out = None
+    for u in IMPLICIT_USERS:
+        one = _checked(RC.recommend_unseen(m, items, train, u, TOP_N), m, items, train, u).select(F.lit(u).alias("user"), "n", "n_seen", "ordered", "scores_match")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _R = f"""
 WITH r AS (
-  SELECT user_id AS "user", CAST(json_extract_string(props, '$.k') AS INTEGER) AS item, value AS rating,
+  SELECT user_id AS "user", CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, value AS rating,
          CAST(second(ts) % 10 AS INTEGER) AS fold
   FROM events WHERE value > 0),
 train AS (SELECT * FROM r WHERE fold < 6),
@@ -234,7 +268,8 @@ SELECT CASE WHEN fold < 6 THEN 'train' WHEN fold < 8 THEN 'validation' ELSE 'tes
 SELECT count(*) AS n_ratings, count(DISTINCT "user") AS n_users, count(DISTINCT item) AS n_items FROM r""",
     "positive_ratings": _R + 'SELECT "user", item, rating, fold FROM r',
     "train_union_personal": _R + """
-SELECT "user", item, rating FROM train UNION ALL SELECT "user", item, rating FROM personal""",
+SELECT "user", item, rating FROM train WHERE "user" <> {PERSONAL_USER}
+UNION ALL SELECT "user", item, rating FROM personal""".replace("{PERSONAL_USER}", str(PERSONAL_USER)),
     "join_predictions_actuals": _R + """
 , preds AS (SELECT p."user", p.item, u.prediction FROM (SELECT DISTINCT "user", item FROM test) p JOIN umean u USING ("user"))
 SELECT preds."user", preds.item, round(prediction, 6) AS prediction, t.rating
@@ -257,15 +292,15 @@ g AS (SELECT sqrt(sum(pow(u.prediction - t.rating, 2)) / count(*)) AS model_rmse
 SELECT round(model_rmse, 6) AS model_rmse, round(baseline_rmse, 6) AS baseline_rmse,
        round((baseline_rmse - model_rmse) / baseline_rmse * 100, 6) AS improvement_pct FROM g""",
     "parse_ratings_csv": """
-SELECT user_id AS "user", CAST(json_extract_string(props, '$.k') AS INTEGER) AS item, value AS rating,
+SELECT user_id AS "user", CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, value AS rating,
        CAST(CAST(floor(epoch(ts)) AS BIGINT) % 10 AS INTEGER) AS fold
 FROM events WHERE event_type <> 'error'""",
     "parse_ratings_double_colon": """
-SELECT user_id AS "user", CAST(json_extract_string(props, '$.k') AS INTEGER) AS item, value AS rating,
+SELECT user_id AS "user", CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, value AS rating,
        CAST(CAST(floor(epoch(ts)) AS BIGINT) % 10 AS INTEGER) AS fold
 FROM events WHERE event_type <> 'error'""",
     "parse_titles_csv": """
-SELECT CAST(p_partkey AS INTEGER) AS item, p_name || ', ' || p_brand AS title FROM part""",
+SELECT CAST(p_partkey AS BIGINT) AS item, p_name || ', ' || p_brand AS title FROM part""",
     "unseen_candidates": _R + """
 SELECT p_partkey AS item, p_name AS title FROM part
 WHERE p_partkey NOT IN (SELECT item FROM personal)""",
@@ -293,6 +328,44 @@ SELECT CAST(grid_pos AS INTEGER) AS grid_pos, CAST(lam AS DOUBLE) AS lam, round(
 FROM res""",
 }
 
+# what the ALS fits train on, and ids they know
+_ALS = _R + f"""
+, o AS (SELECT * FROM r WHERE "user" <> {PERSONAL_USER}),
+fitted AS (SELECT "user", item, rating FROM o WHERE fold < 6 UNION ALL SELECT "user", item, rating FROM personal),
+known AS (SELECT DISTINCT "user" FROM fitted), things AS (SELECT DISTINCT item FROM fitted)
+"""
+
+
+def _recommended(user, source):
+    """Items with a title and factors that the user has not rated, TOP_N at most."""
+    return f"""(SELECT least({TOP_N}, count(*)) FROM part WHERE p_partkey IN (SELECT item FROM things)
+        AND p_partkey NOT IN (SELECT item FROM {source} WHERE "user" = {user}))"""
+
+
+ORACLE.update({
+    "als_explicit_holdout": _ALS + """
+, s AS (SELECT 'train' AS split, "user", item FROM fitted UNION ALL
+        SELECT CASE WHEN fold < 8 THEN 'validation' ELSE 'test' END AS split, "user", item FROM o WHERE fold >= 6)
+SELECT split, count(*) AS n,
+       count(CASE WHEN "user" IN (SELECT "user" FROM known) AND item IN (SELECT item FROM things) THEN 1 END) AS n_scored,
+       CASE WHEN split = 'train' THEN true END AS beats_mean FROM s GROUP BY split""",
+    "als_grid_search": """
+SELECT CAST(grid_pos AS INTEGER) AS grid_pos, CAST(0.1 AS DOUBLE) AS lam, CAST(rank AS INTEGER) AS rank, CAST(7 AS INTEGER) AS iters,
+       true AS finite, true AS best_is_argmin FROM (VALUES (0, 8), (1, 16)) g(grid_pos, rank)""",
+    "als_recommend_unseen": _ALS + f"""
+SELECT {_recommended(PERSONAL_USER, 'personal')} AS n, CAST(0 AS BIGINT) AS n_seen, true AS ordered, true AS scores_match,
+       {_recommended(PERSONAL_USER, 'personal')} AS n_titles""",
+    "als_factors": _ALS + f"""
+SELECT 'user' AS kind, "user" AS id, CAST({RANK} AS INTEGER) AS length, true AS solves FROM known
+UNION ALL SELECT 'item' AS kind, item AS id, CAST({RANK} AS INTEGER) AS length, CAST(NULL AS BOOLEAN) AS solves FROM things""",
+    "als_save_load": _ALS + """
+SELECT "user", item, true AS same_prediction FROM o
+WHERE fold >= 8 AND "user" IN (SELECT "user" FROM known) AND item IN (SELECT item FROM things)""",
+    "als_implicit": _ALS + " UNION ALL ".join(f"""
+SELECT CAST({u} AS INTEGER) AS "user", {_recommended(u, 'fitted')} AS n, CAST(0 AS BIGINT) AS n_seen, true AS ordered,
+       true AS scores_match""" for u in IMPLICIT_USERS),
+})
+
 QUERIES = {
     "fold_split_counts": q_fold_split_counts,
     "dataset_profile": q_dataset_profile,
