@@ -40,7 +40,7 @@ def test_precision_at_k(spark):
     rk = ranked(spark, [[0, 0, 1]])
     assert [R.precision_at_k(rk, "q", k).first()[1] for k in (1, 2, 3)] == pytest.approx([0.0, 0.0, 1 / 3])
     assert R.precision_at_k(rk, "q", 4).first()[1] is None
-    with pytest.raises(Exception, match="length < k"):
+    with pytest.raises(Exception, match="fewer than k rows"):
         R.precision_at_k(rk, "q", 4, strict=True).collect()
 
 

@@ -11,7 +11,7 @@ from vireo.operators import responses as RP
 def good(**over):
     sig = [[0.5] * RP.SIGNATURE_DIM]
     col = [[0.25] * RP.COLOR_DIM]
-    d = {"url": "img/PBrain42.jpg", "result_roi": True, "result_sentence": True,
+    d = {"url": "img/store/42.jpg", "result_roi": True, "result_sentence": True,
          "result_signature": True, "result_color": True,
          "roi": {"c1": [[10.7, 20.2, -30.9, 40.0, 99.0], [1.0, 2.0, 3.0, 4.0]]},
          "sentence": ["a shoe", "second"], "signature": {"c1": sig}, "color_feature": {"c1": col},
@@ -77,7 +77,7 @@ def test_projections_and_regions(validated):
     first = RP.project_first(validated).collect()
     assert len(first) == 1  # the empty sentence list has no first sentence
     assert first[0]["sentence"] == "a shoe"
-    regions = RP.explode_rois(RP.project_roi(validated)).orderBy("pos").collect()
+    regions = RP.explode_rois(RP.project_roi(validated), marker="store/").orderBy("pos").collect()
     assert len(regions) == 4  # two accepted responses, two regions each
     assert {(r["key"], r["pos"], r["is_first"], r["roi_text"]) for r in regions} == {
         ("42.jpg", 0, True, "10 20 -30 40"), ("42.jpg", 1, False, "1 2 3 4")}

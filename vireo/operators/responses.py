@@ -160,7 +160,7 @@ def first_feature_vector(projected_first: DataFrame) -> DataFrame:
 
 
 def explode_rois(projected: DataFrame, url: str = "url", roi: str = "roi",
-                 marker: str = "PBrain") -> DataFrame:
+                 *, marker: str) -> DataFrame:
     """One row per region: (key, pos, is_first, roi_text). The first region
     updates the catalogue row, the others become inserted copies (the caller's
     table write decides: append / MERGE)."""

@@ -13,13 +13,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import query_string, url_suffix_key
+from ..functions.text import endpoint, request_url, url_suffix_key
 from ..functions.vectors import array_sum
+from ..operators import neighbors as NB
 from ..operators import responses as RP
 from ..sources import load_table
 
 DIM = 64
-MARKER = "PBrain"
+MARKER = "store/"
+HOSTS, PORTS = ("h1", "h2"), (8081, 7081)
+NEAREST = 3
 
 
 def _empty_vecs():
@@ -127,13 +130,23 @@ def q_url_suffix_key(spark, sf_dir):
 def q_request_url(spark, sf_dir):
     p = load_table(spark, sf_dir, "part", ["p_partkey", "p_type", "p_brand", "p_name"])
     img = F.concat(F.lit("img.example.com/p/"), F.col("p_partkey").cast("string"))
-    qs = query_string([("lctgr_nm", F.col("p_type")), ("mctgr_nm", F.col("p_brand")),
-                       ("sctgr_nm", F.col("p_name"))])
-    path = F.format_string("/request_handler?url=http://%s&%s&is_browser=0", img, qs)
-    return p.select("p_partkey", path.alias("request"))
+    at = endpoint(img, HOSTS, PORTS)
+    # fixed formats of the service's two requests: with categories, and of the detector
+    full = request_url("http://%s:%d/request_handler?url=http://%s&%s&is_browser=0", at["host"], at["port"], img,
+                       [("lctgr_nm", F.col("p_type")), ("mctgr_nm", F.col("p_brand")), ("sctgr_nm", F.col("p_name"))])
+    detector = F.format_string("http://%s:%d/request_handler?url=http://%s&is_browser=0", at["host"], at["port"], img)
+    return p.select("p_partkey", full.alias("request"), detector.alias("detector_request"))
+
+
+def q_feature_neighbors(spark, sf_dir):
+    """The whole chain: payload, validation, first projection, one vector, nearest neighbours."""
+    vec = RP.first_feature_vector(RP.project_first(validated(spark, sf_dir)))
+    top = NB.cosine_top_k(vec, "url", "vec", NEAREST, dim=2 * DIM)
+    return top.select("query", "rank", "ref", F.round("distance", 6).alias("distance"))
 
 
 def _content(spark, sf_dir):
+    """Content of the https pages only: the others are deliberate missing keys of the join."""
     pg = load_table(spark, sf_dir, "pages", ["url", "html"])
     return pg.filter(F.col("url").startswith("https")) \
         .select("url", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("payload"))
@@ -146,13 +159,10 @@ def q_enrich_by_url(spark, sf_dir):
 
 
 def q_enrich_map_batches(spark, sf_dir):
-    import re
-
     pg = load_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
-    title_re = re.compile(r"<title>(.*?)</title>", re.S)
 
     def fetch(batch, client):
-        titles = batch["html"].map(lambda h: (title_re.search(h) or [None, None])[1] if h else None)
+        titles = batch["html"].str.extract(r"(?s)<title>(.*?)</title>", expand=False)
         out = batch[["page_id", "url"]].assign(title=titles)
         return out[out["title"].notna() & (out["title"].str.len() > 0)]
     return RP.enrich_batches(pg, fetch, "page_id long, url string, title string")
@@ -237,12 +247,24 @@ FROM y WHERE roi_reason IS NULL""",
     "url_suffix_key": """
 SELECT page_id, CASE WHEN strpos(url, '.example.') > 0 THEN substr(url, strpos(url, '.example.') + 9) END AS key
 FROM pages""",
-    "request_url": """
-SELECT p_partkey, '/request_handler?url=http://img.example.com/p/' || CAST(p_partkey AS VARCHAR)
-       || '&lctgr_nm=' || replace(url_encode(p_type), '%20', '+')
+    "request_url": f"""
+WITH p AS (SELECT *, 'img.example.com/p/' || CAST(p_partkey AS VARCHAR) AS img FROM part),
+h AS (SELECT *, md5(img) AS d FROM p),
+e AS (SELECT *, list_extract({list(HOSTS)}, CAST(('0x' || substr(d, 1, 6)) AS BIGINT) % {len(HOSTS)} + 1) AS host,
+             list_extract({list(PORTS)}, CAST(('0x' || substr(d, 7, 6)) AS BIGINT) % {len(PORTS)} + 1) AS port FROM h),
+u AS (SELECT *, 'http://' || host || ':' || CAST(port AS VARCHAR) || '/request_handler?url=http://' || img AS head FROM e)
+SELECT p_partkey, head || '&lctgr_nm=' || replace(url_encode(p_type), '%20', '+')
        || '&mctgr_nm=' || replace(url_encode(p_brand), '%20', '+')
-       || '&sctgr_nm=' || replace(url_encode(p_name), '%20', '+') || '&is_browser=0' AS request
-FROM part""",
+       || '&sctgr_nm=' || replace(url_encode(p_name), '%20', '+') || '&is_browser=0' AS request,
+       head || '&is_browser=0' AS detector_request
+FROM u""",
+    "feature_neighbors": _P + f"""
+, f AS (SELECT url, list_concat(v, list_reverse(v)) AS w FROM y WHERE reason IS NULL AND m <> 15),
+s AS (SELECT a.url AS query, b.url AS ref,
+             1 - list_dot_product(a.w, b.w) / (sqrt(list_dot_product(a.w, a.w)) * sqrt(list_dot_product(b.w, b.w))) AS distance
+      FROM f a JOIN f b ON a.url <> b.url),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, ref) AS rank FROM s)
+SELECT query, CAST(rank AS INTEGER) AS rank, ref, round(distance, 6) AS distance FROM r WHERE rank <= {{NEAREST}}""".replace("{NEAREST}", str(NEAREST)),
     "enrich_by_url": """
 WITH c AS (SELECT url, regexp_extract(html, '<title>(.*?)</title>', 1) AS payload FROM pages WHERE starts_with(url, 'https'))
 SELECT p.page_id,
@@ -266,6 +288,7 @@ QUERIES = {
     "response_project_first": q_response_project_first,
     "roi_explode": q_roi_explode,
     "url_suffix_key": q_url_suffix_key,
+    "feature_neighbors": q_feature_neighbors,
     "request_url": q_request_url,
     "enrich_by_url": q_enrich_by_url,
     "enrich_map_batches": q_enrich_map_batches,
