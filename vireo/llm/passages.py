@@ -67,7 +67,15 @@ def _keys(batches):
     import pyarrow as pa
 
     for rb in batches:
-        found = [s[2] for s in (_suffixes(t) for t in rb.column(0).to_pylist() if t) if s]
+        found, size = [], 0
+        for text in rb.column(0):
+            s = _suffixes(text.as_py() or "")
+            if s:
+                found.append(s[2])
+                size += len(s[2])
+            if size > 1 << 16:
+                yield pa.record_batch([pa.array(np.concatenate(found))], names=["key"])
+                found, size = [], 0
         if found:
             yield pa.record_batch([pa.array(np.concatenate(found))], names=["key"])
 
@@ -83,9 +91,15 @@ def _contexts(on, mask):
         import pyarrow as pa
 
         bits = np.frombuffer(on.value, np.uint8)
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+
+        def batch(rows):
+            return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["key", "right", "left", "doc_id", "row", "pos"])
+
+        rows = []
         for rb in batches:
-            rows = []
-            for doc_id, row, text in zip(*[c.to_pylist() for c in rb.columns]):
+            for at in range(rb.num_rows):               # one text at a time: a batch of them may be large
+                doc_id, row, text = (rb.column(c)[at].as_py() for c in range(3))
                 s = _suffixes(text) if text else None
                 if not s:
                     continue
@@ -95,9 +109,11 @@ def _contexts(on, mask):
                 short = h.astype(">u4")                         # order of the bytes is order of the words
                 for p, k in zip(pos[hit].tolist(), key[hit].tolist()):
                     rows.append((k, short[p:p + CONTEXT].tobytes(), short[max(0, p - CONTEXT):p][::-1].tobytes(), doc_id, row, p))
-            if rows:
-                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["key", "right", "left", "doc_id", "row", "pos"])
+                    if len(rows) == 4096:
+                        yield batch(rows)
+                        rows = []
+        if rows:
+            yield batch(rows)
 
     return run
 
