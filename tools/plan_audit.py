@@ -23,7 +23,7 @@ from vireo.plans import registry  # noqa: E402
 from vireo.session import get_spark  # noqa: E402
 
 # queries that run model fits while being built (plans of the fits are not the point)
-SKIP = {"sweep_softmax", "als_grid_search"}
+SKIP = {"sweep_mlp", "als_grid_search"}
 
 
 def audit(txt: str) -> list[str]:

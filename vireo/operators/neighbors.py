@@ -21,28 +21,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance
+from ..session import ensure_checkpoint_dir
 from .relational import top_k_per_group
 
 
-def _block_count(df: DataFrame, block_size: int) -> int:
-    """Blocks of at most ``block_size`` vectors, and at least enough block pairs
-    to keep every core busy."""
-    n = df.count()
-    par = df.sparkSession.sparkContext.defaultParallelism
-    min_blocks = 1
-    while min_blocks * (min_blocks + 1) // 2 < par and min_blocks < n:
-        min_blocks += 1
-    return max(min_blocks, math.ceil(n / max(1, block_size)))
-
-
-def _with_blocks(df: DataFrame, key: str, vec: str, blocks: int) -> tuple[DataFrame, DataFrame]:
-    # Exact copies (same key and vector) collapse to one row with a multiplicity
-    # ``m`` (pairs are expanded again afterwards), so a group of copies cannot
-    # fill one block. Blocks hash the content (key and vector), so both sides of
-    # the cogroup place every row identically on any recomputation. Vectors
-    # travel in their stored element type (float stays 4 bytes); numpy widens
-    # to float64 inside the group.
-    base = df.groupBy(F.col(key).alias("k"), F.col(vec).alias("v")).agg(F.count(F.lit(1)).alias("m"))
+def _blocks(df: DataFrame, key: str, vec: str, block_size: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the cogroup: rows (key, vector, copies) with their block pairs.
+
+    Exact copies (same key and vector) collapse to one row with a multiplicity
+    ``m`` (pairs are expanded again afterwards), so a group of copies cannot
+    fill one block. The collapsed rows are kept once in the shared checkpoint
+    folder: the input is planned once, not once per side and for the count.
+    Blocks hash the content (key and vector), so both sides place every row
+    alike. Vectors travel in their stored element type (float stays 4 bytes);
+    numpy widens to float64 inside the group. There are at most ``block_size``
+    vectors to a block, and block pairs enough to keep every core busy.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    base = df.groupBy(F.col(key).alias("k"), F.col(vec).alias("v")).agg(F.count(F.lit(1)).alias("m")).checkpoint()
+    n, blocks = base.count(), 1
+    while blocks * (blocks + 1) // 2 < spark.sparkContext.defaultParallelism and blocks < n:
+        blocks += 1
+    blocks = max(blocks, math.ceil(n / max(1, block_size)))
     base = base.withColumn("b", F.pmod(F.xxhash64("k", "v"), F.lit(blocks)).cast("int"))
     left = base.select("k", "v", "m", F.col("b").alias("bi"),
                        F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("bj"))
@@ -145,8 +146,7 @@ def cosine_top_k(df: DataFrame, key: str, vec: str, k: int, block_size: int = 20
         sizes = df.groupBy(F.size(vec).alias("n")).count().where("n >= 0").orderBy(F.desc("count"), "n").first()
         dim = sizes["n"] if sizes else 0
     df = df.where(usable(df, vec, dim))
-    blocks = _block_count(df, block_size)
-    left, right = _with_blocks(df, key, vec, blocks)
+    left, right = _blocks(df, key, vec, block_size)
     schema = f"query {kt}, ref {kt}, distance double, mq long, mr long"
     cand = _expand(left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(_topk_udf(k), schema), k)
     return top_k_per_group(cand, ["query"], [F.col("distance"), F.col("ref")], k, rank_col="rank") \
