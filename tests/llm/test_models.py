@@ -246,7 +246,10 @@ def test_field_adds_what_a_greedy_match_swallowed(spark):
     base, spans = field.spans(text)
     assert set(base) <= set(spans)
     assert {(k, text[a:b]) for k, a, b in spans} >= {("phone", "+1 (826) 555-4081"), ("ip", "190.137.22.3"), ("email", "a.b@mail.example.com")}
-    assert field.spans("plain words, no data 1987 and 12 or 3.14") == ([], [])
+    for text, want in (("mail a.b(at)mail.example.com now", ("email", "a.b(at)mail.example.com")), ("call (988) 555-2485 now", ("phone", "(988) 555-2485")),
+                       ("card 4709.5590.3008.4884 ok", ("card", "4709.5590.3008.4884"))):
+        assert [(k, text[a:b]) for k, a, b in field.spans(text)[1]] == [want]
+    assert field.spans("plain words, no data 1987 and 12 or 3.14, version 3.14.15 of 2024-01-15 12:30") == ([], [])
 
 
 def test_pii_odd_rows(odd, none):

@@ -25,8 +25,8 @@ KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 20
 MOST_CHARS = 80
 SAMPLE = 20_000         # documents that the random field learns from
-PATTERNS = 1_000        # different zones that it is fitted to, the most frequent ones
-EPOCHS = 8
+PATTERNS = 500          # different zones that it is fitted to, the most frequent ones
+EPOCHS = 12
 
 # fixed patterns of the base spans
 MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,6 +34,10 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+# fixed values: other numbers as they are commonly written, which are no personal data
+NUMBERS = ("3.14", "3.14.15", "10.2.1", "1.2.3.4.5", "2024-01-15", "15.01.2024", "12:30", "12:30:05", "1987", "12,345", "12,345.67",
+           "99.5%", "1/2", "2024/25", "100-200", "5 000 000", "123456789012345", "1234567890", "v2.0.1", "A4", "3x4", "@home", "x@y")
+
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 SEED = re.compile(r"[0-9@]+|[(\[]at[)\]]")
 TOKEN = re.compile(r"[0-9]+|[^\W0-9_]+|\s+|[\s\S]")
@@ -228,7 +232,7 @@ def _fit(patterns):
         feats = {(i, j): features(text[cuts[i]:cuts[j]], text[cuts[i] - 1:cuts[i]], text[cuts[j]:cuts[j] + 1]) for i, j in pairs}
         data.append((len(cuts) - 1, feats, want, min(count, 20) ** 0.5))
     for epoch in range(EPOCHS):
-        rate = 0.3 / (1 + epoch / 4)
+        rate = 0.3 / (1 + epoch / 8)
         for n, feats, want, weight in data:
             score = {(i, j, k): sum(weights.get((k, x), 0.0) for x in f) for (i, j), f in feats.items() for k in KINDS}
             into, outof = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
@@ -244,7 +248,7 @@ def _fit(patterns):
                 gap = ((i, j, k) in want) - math.exp(ahead[i] + s + rest[j] - ahead[n])
                 if abs(gap) > 1e-3:
                     for x in feats[i, j]:
-                        weights[k, x] = weights.get((k, x), 0.0) * (1 - 1e-4) + rate * weight * gap / 4
+                        weights[k, x] = weights.get((k, x), 0.0) * (1 - 1e-4) + rate * weight * gap / 2
     return weights
 
 
@@ -259,9 +263,10 @@ def _rewritten(text, gold):
     s, head, tail = text[a:b], text[:a], text[b:]
     forms = []
     if kind == "email":
-        forms = [s.replace("@", x) for x in ("(at)", "[at]")]
+        forms = [s.replace("@", x) for x in ("(at)", "[at]", " (at) ", " [at] ")]
     elif kind == "phone" and "(" in s:
-        forms = [s[s.index("("):]]
+        digits = NOT_DIGIT.sub("", s)[-10:]
+        forms = [s[s.index("("):], f"{digits[:3]}-{digits[3:6]}-{digits[6:]}"]
     elif kind == "card" and s.isdigit() and len(s) == 16:
         forms = [".".join(s[i:i + 4] for i in range(0, 16, 4))]
     return [(head + f + tail, [(kind, a, a + len(f))]) for f in forms]
@@ -281,7 +286,7 @@ def _zone_rows(batches):
                 continue
             for a, b in zones(text):
                 inside = [(k, x, y) for k, x, y in base if x < b and y > a]
-                if b - a > 300 or any(x < a or y > b for _, x, y in inside):
+                if b - a > 100 or any(x < a or y > b for _, x, y in inside):
                     continue
                 if any(p[2] > q[1] for p, q in zip(sorted(inside, key=lambda s: s[1]), sorted(inside, key=lambda s: s[1])[1:])):
                     continue
@@ -308,6 +313,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     for r in rows:
         gold = [s.split(":") for s in r["z"]["gold"].split(",")] if r["z"]["gold"] else []
         data.append((r["z"]["zone"], [(k, int(a), int(b)) for k, a, b in gold], r["n"]))
+    data += [(f"{a}{x}{b}", [], 9) for x in NUMBERS for a, b in (("\n", " "), (" ", "\n"), (" ", " "), (" ", ","))]
     return Field(_fit(data))
 
 
