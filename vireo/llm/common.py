@@ -92,6 +92,13 @@ def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(sample), "doc_id")        # at most the sample's bounded number of ids
 
 
+def small(batches, rows: int = 512):
+    """The batches in slices of at most ``rows`` rows: bounds the texts that a task has unpacked at once."""
+    for rb in batches:
+        for at in range(0, rb.num_rows, rows):
+            yield rb.slice(at, rows)
+
+
 def char_groups(texts, most: int = 1 << 20):
     """Lists of (row, text part) of about ``most`` characters in all; a longer text is a group of its own."""
     group, size = [], 0

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, pow2_at_least
+from .common import cut, pick, pow2_at_least, small
 
 BITS = 48               # of an exchanged fingerprint; a false match is a suspect that step 4 clears
 PER_OWNER = 1 << 21     # fingerprints in one owner's range, about
@@ -63,7 +63,7 @@ def _hash_rows(batches):
     from pyspark import TaskContext
 
     part, done = TaskContext.get().partitionId(), 0
-    for rb in batches:
+    for rb in small(batches):
         at = rb.num_columns - 1
         texts = [normalise(t) for t in rb.column(at).to_pylist()]
         n = len(texts)
@@ -170,7 +170,7 @@ def _passing(filter_bits, mask):
         import xxhash
 
         on = np.frombuffer(filter_bits.value, np.uint8)
-        for rb in batches:
+        for rb in small(batches):
             texts = [normalise(t) for t in rb.column(0).to_pylist()]
             fp = np.array([xxhash.xxh64_intdigest(t) >> (64 - BITS) for t in texts], np.int64)
             bit = fp & mask

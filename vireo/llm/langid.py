@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import char_groups, least_hashes, pick
+from .common import char_groups, least_hashes, pick, small
 
 ORDER = 3
 PER_LANG = 2_000        # texts of each language in the training sample
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, model: Model | None, keys=("doc_id",)) -> DataFrame
 
         letter = re.compile(r"[^\W\d_]")
         model = shared.value
-        for rb in batches:
+        for rb in small(batches):
             at = rb.num_columns - 1
             texts = rb.column(at).to_pylist()
             ok = [i for i, t in enumerate(texts) if t and model is not None and letter.search(t)]

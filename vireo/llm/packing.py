@@ -18,11 +18,11 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, pick, small
 
 END = 1
 GROUP = 256             # leftovers merged by one task in a round
-CACHE = 1_000_000       # distinct pieces whose ids a worker keeps
+CACHE = 800_000         # distinct pieces whose ids a worker keeps, about
 
 _STATE: dict = {}
 
@@ -60,15 +60,29 @@ class _Words:
     def clear(self):
         self.index = _Index({"\n": 0})            # no piece holds a line end: it stands for the closing id
         self.flat, self.start, self.size = array("I", [END]), array("q", [0]), array("q", [1])
+        self.seen = self.np.zeros(CACHE, self.np.int32)          # how often a piece was looked up
+
+    def shrink(self):
+        """Forget all but the more frequent half of the pieces."""
+        kept = self.np.argsort(-self.seen[:len(self.index)], kind="stable")[:CACHE // 2].tolist()
+        pieces, flat, start, size = list(self.index), self.flat, self.start, self.size
+        self.clear()
+        for k in kept:
+            if k:
+                self.index[pieces[k]] = len(self.size)
+                self.start.append(len(self.flat))
+                self.size.append(size[k])
+                self.flat.extend(flat[start[k]:start[k] + size[k]])
 
     def learn(self):
         """Give the new pieces their ids."""
         new = list(itertools.islice(self.index, len(self.size), None))
-        for e in self.encoder.encode_batch_fast(new, add_special_tokens=False):
-            ids = e.ids
-            self.start.append(len(self.flat))
-            self.size.append(len(ids))
-            self.flat.extend(ids)
+        for i in range(0, len(new), 4096):
+            for e in self.encoder.encode_batch_fast(new[i:i + 4096], add_special_tokens=False):
+                ids = e.ids
+                self.start.append(len(self.flat))
+                self.size.append(len(ids))
+                self.flat.extend(ids)
 
     def whole(self, text):
         return [*self.encoder.encode(text, add_special_tokens=False).ids, END]
@@ -76,8 +90,8 @@ class _Words:
     def ids(self, texts):
         """One uint32 array per text, with the closing id."""
         np = self.np
-        if len(self.index) > CACHE:
-            self.clear()
+        if len(self.index) > CACHE * 3 // 4:
+            self.shrink()
         lists, plain = [], []
         for i, t in enumerate(texts):
             t = t or ""
@@ -92,6 +106,10 @@ class _Words:
         if len(self.index) > len(self.size):
             self.learn()
         flat, start, size = (np.frombuffer(x, k) for x, k in ((self.flat, np.uint32), (self.start, np.int64), (self.size, np.int64)))
+        often = np.bincount(at, minlength=len(self.size))
+        if len(often) > len(self.seen):
+            self.seen = np.append(self.seen, np.zeros(len(often), np.int32))
+        self.seen[:len(often)] += often.astype(np.int32)
         n = size[at]
         ends = np.cumsum(n)
         out = flat[np.repeat(start[at] - (ends - n), n) + np.arange(int(ends[-1]) if total else 0)]
@@ -192,14 +210,12 @@ def _pack(path, capacity, most, with_ids):
 
         first = TaskContext.get().partitionId() << 33
         words, windows, full = _words(path), _Windows(capacity, most), []
-        for rb in batches:
-            for at in range(0, rb.num_rows, 256):
-                part = rb.slice(at, 256)
-                for key, ids in zip(part.column(0).to_pylist(), words.ids(part.column(1).to_pylist())):
-                    full.extend(windows.add(key, ids, len(ids)))
-                if len(full) >= 64:
-                    yield _rows(full, first, with_ids, capacity)
-                    first, full = first + len(full), []
+        for rb in small(batches, 128):
+            for key, ids in zip(rb.column(0).to_pylist(), words.ids(rb.column(1).to_pylist())):
+                full.extend(windows.add(key, ids, len(ids)))
+            if len(full) >= 64:
+                yield _rows(full, first, with_ids, capacity)
+                first, full = first + len(full), []
         full.extend(windows.finish())
         if full:
             yield _rows(full, first, with_ids, capacity)

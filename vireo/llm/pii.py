@@ -19,7 +19,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, small
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 20
@@ -333,7 +333,7 @@ def find(docs: DataFrame, field: Field, keys=("doc_id",)) -> DataFrame:
 
         own = Field(weights)
         span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-        for rb in batches:
+        for rb in small(batches):
             at = rb.num_columns - 1
             base, every = [], []
             for text in rb.column(at).to_pylist():

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, labelled_sample, pick, sampled_texts
+from .common import fit_logistic, labelled_sample, pick, sampled_texts, small
 
 CHUNK = 512             # bytes compressed at once
 DICT_BYTES = 32_768
@@ -72,7 +72,7 @@ def _chunks(batches):
     import pyarrow as pa
     import xxhash
 
-    for rb in batches:
+    for rb in small(batches):
         for label, text in zip(*[c.to_pylist() for c in rb.columns]):
             data = text.encode("utf-8", "surrogatepass")
             parts = [data[i:i + CHUNK] for i in range(0, len(data), CHUNK)]
@@ -87,7 +87,7 @@ def _measure(good, bad, raw):
         import pyarrow as pa
 
         sizes = _Sizes(good, bad, raw)
-        for rb in batches:
+        for rb in small(batches):
             f = [sizes.features(t) for t in rb.column(1).to_pylist()]
             yield pa.record_batch([rb.column(0), *(pa.array(list(c), pa.float64()) for c in zip(*f))] if f else
                                   [rb.column(0), pa.array([], pa.float64()), pa.array([], pa.float64())], names=["label", "d", "r"])
@@ -154,7 +154,7 @@ def score(docs: DataFrame, model: Model, keys=("doc_id",)) -> DataFrame:
         import pyarrow as pa
 
         scorer = _Scorer(model)
-        for rb in batches:
+        for rb in small(batches):
             at = rb.num_columns - 1
             yield pa.record_batch([*rb.columns[:at], pa.array(scorer(rb.column(at).to_pylist()))], names=[*rb.schema.names[:at], "score"])
 
@@ -171,7 +171,7 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         import pyarrow as pa
 
         scorer = _Scorer(model)
-        for rb in batches:
+        for rb in small(batches):
             if rb.num_rows:
                 yield rb.filter(pa.array(scorer(rb.column(at).to_pylist()) >= least))
 

@@ -22,7 +22,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, pick, small
 from .components import components
 
 SEED = 42
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, keys=("doc_id",)) -> DataFra
     def run(batches):
         import pyarrow as pa
 
-        for rb in batches:
+        for rb in small(batches):
             at = rb.num_columns - 1
             fp = [int(_fingerprint(t, shingle)) if t else 0 for t in rb.column(at).to_pylist()]
             yield pa.record_batch([*rb.columns[:at], pa.array(fp, pa.int64())], names=[*rb.schema.names[:at], "fp"])

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import char_groups, labelled_sample, pick, sampled_texts
+from .common import char_groups, labelled_sample, pick, sampled_texts, small
 
 ORDERS = (4, 5)
 BUCKETS = 1 << 20
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model, keys=("doc_id",)) -> DataFrame:
         import pyarrow as pa
 
         wanted = _flags(model.buckets)
-        for rb in batches:
+        for rb in small(batches):
             at = rb.num_columns - 1
             z = np.full(rb.num_rows, model.intercept)
             if len(model.buckets):

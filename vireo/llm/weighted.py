@@ -18,7 +18,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, small
 
 TERMS = 1 << 17
 SAMPLES = 128
@@ -137,7 +137,7 @@ def _assign(known, null):
         squeeze = zstandard.ZstdCompressor(level=1).compress
         first = {True: np.array(null, np.int64), False: np.array(known, np.int64)}
         total = len(known) + len(null)
-        for rb in batches:
+        for rb in small(batches):
             value = rb.column(1).to_numpy(zero_copy_only=False)
             empty = rb.column(0).is_null().to_numpy(zero_copy_only=False)
             grp = np.where(empty, np.searchsorted(first[True], value, "right") - 1,
