@@ -22,7 +22,7 @@ from .common import cut, pick, small
 
 END = 1
 GROUP = 256             # leftovers merged by one task in a round
-CACHE = 800_000         # distinct pieces whose ids a worker keeps, about
+CACHE = 500_000         # distinct pieces whose ids a worker keeps, about
 
 _STATE: dict = {}
 
@@ -46,11 +46,13 @@ class _Words:
     """
 
     def __init__(self, path):
+        import os
         import re
 
         import numpy as np
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")       # a task has one core; threads cost memory each
         self.np = np
         self.encoder = Tokenizer.from_file(path)
         self.piece = re.compile("[a-zß-öø-ÿ]++(?![a-zß-öø-ÿªºµĀ-ſ'])|[^ \n]+").findall
