@@ -142,7 +142,7 @@ def _neighbours(edges):
         part = TaskContext.get().partitionId() if edges else 0
         kinds = [pa.bool_(), *[pa.int64()] * 5, pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
         names = ["edge", "part", "doc_id", "row", "first", "last", "across", "key", "right", "left", "pos"]
-        out, prev, other = [], None, None          # the row before, and the last one of another document
+        out, prev, other, n = [], None, None, 0    # the row before, and the last one of another document
 
         def compare(a, b):
             if a[0] != b[0]:
@@ -170,11 +170,11 @@ def _neighbours(edges):
                         other = prev
                     elif other is not None and other[3:5] != row[3:5]:
                         compare(other, row)
-                prev = row
+                prev, n = row, n + 1
             if len(out) >= 4096:
                 yield batch(out)
                 out.clear()
-        if edges and prev is not None:
+        if edges and n > 1:                        # a single row is its part's first already
             out.append(border(prev))
         if out:
             yield batch(out)
@@ -203,12 +203,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     for r in words.collect():                      # at most 4,096 rows of 4 KB
         on[r["seg"] * 4096:(r["seg"] + 1) * 4096] = r["bits"]
     passing = rows.mapInArrow(_contexts(spark.sparkContext.broadcast(bytes(on)), size - 1), SUFFIX)
-    order = ["key", "right", "left"]
+    order = ["key", "right", "left", "doc_id", "row", "pos"]      # the last three split rows of equal words too
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = passing.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     marked = cut(ranged.mapInArrow(_neighbours(True), MARK))
     # border rows: two for each part, however many rows there are
-    border = marked.where("edge").repartition(1).sortWithinPartitions("key", "right", "left", "part")
+    border = marked.where("edge").repartition(1).sortWithinPartitions(*order, "part")
     joined = border.select("key", "right", "left", "doc_id", "row", "pos").mapInArrow(_neighbours(False), MARK)
     marks = marked.where("not edge").union(joined).select("doc_id", "row", "first", "last", "across", "key")
     # a mark is at most two contexts long, so a document has about as many as it has suffixes
