@@ -77,6 +77,7 @@ def test_batches_and_positional_split(spark):
 
 
 def test_request_url_and_endpoint(spark):
+    # fixed value: the format of the service's request
     from vireo.functions.text import endpoint, request_url
     df = spark.createDataFrame([("img.example.com/a b.jpg", "BAGS & SHOES", "x")], "u string, l string, m string")
     ep = endpoint(F.col("u"), ["h1", "h2"], [8081, 7081])

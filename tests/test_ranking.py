@@ -1,5 +1,7 @@
 """Ranking metrics against the documented example values of the reference's
-metric library, plus invariants of the skew-safe numbering."""
+metric library, plus invariants of the skew-safe numbering.
+
+Fixed values: the example lists and results are those that its documentation states."""
 
 import pytest
 from pyspark.sql import Window

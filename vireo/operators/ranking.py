@@ -24,6 +24,7 @@ one-digit scores). Single-row queries are kept.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -80,16 +81,11 @@ def explode_lists(df: DataFrame, query: str, scores: str, sep: str = " ") -> Dat
     One ``posexplode`` per row: no shuffle."""
     col = F.col(scores)
     if isinstance(df.schema[scores].dataType, T.StringType):
-        col = F.split(F.trim(col), _regex_quote(sep))
+        col = F.split(F.trim(col), re.escape(sep))
     return df.select(F.col(query), F.posexplode(col).alias("o", "rel")) \
         .select(query, (F.col("o") + 1).alias("o"), F.col("rel").cast("double").alias("rel"))
 
 
-def _regex_quote(sep: str) -> str:
-    import re
-    return re.escape(sep)
-
-
 def relevant_rank(df: DataFrame, query: str, order_cols: Sequence, relevant: Column, last: bool = False) -> DataFrame:
     """(query, pos, hits): rank of the first (or ``last``) relevant row of each
     list, NULL without one, and the number of relevant rows.

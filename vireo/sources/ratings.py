@@ -7,6 +7,8 @@ accept both ``spark.read.text(path)`` frames and text derived from tables.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def parse_ratings(lines: DataFrame, sep: str = ",", mode: str = "DROPMALFORMED",
     bad line (the reference behaviour), ``DROPMALFORMED`` drops it,
     ``PERMISSIVE`` keeps it with NULL fields.
     """
-    parts = F.split(F.trim(F.col(value_col)), _regex_quote(sep))
+    parts = F.split(F.trim(F.col(value_col)), re.escape(sep))
     user = F.try_element_at(parts, F.lit(1)).try_cast("long")
     item = F.try_element_at(parts, F.lit(2)).try_cast("long")
     rating = F.try_element_at(parts, F.lit(3)).try_cast("double")
@@ -73,10 +75,6 @@ def positive(ratings: DataFrame, rating_col: str = "rating") -> DataFrame:
     return ratings.filter(F.col(rating_col) > 0)
 
 
-def _regex_quote(sep: str) -> str:
-    return "".join("\\" + ch if ch in ".^$*+?{}[]\\|()" else ch for ch in sep)
-
-
 def epoch_seconds(ts: Column) -> Column:
     """Epoch seconds of a TIMESTAMP_NTZ column read as UTC."""
     return F.unix_seconds(ts.cast("timestamp"))
