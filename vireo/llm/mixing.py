@@ -143,7 +143,7 @@ def fit_rates(members: DataFrame, targets) -> list:
     """Residual of every projected-gradient step, from ``members`` (tokens, p0, p1, ...)."""
     n = len(targets)
     p = [f"p{i}" for i in range(n)]
-    cells = cut(members.groupBy(*p).agg(F.sum("tokens").alias("tokens")))
+    cells = cut(members.groupBy(*p).agg(F.sum("tokens").alias("tokens")).coalesce(4))       # few rows, by the rounding
     mass = cells.agg(F.sum("tokens").alias("t"), *[F.sum(F.col("tokens") * F.col(c)).alias(c) for c in p]).first()
     if not mass["t"]:
         return []
