@@ -36,7 +36,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents thinned out towards the target weights; those of the most wanted domain stay."""
+    """Documents thinned out to the target weights, by chance in proportion to their rates."""
     labelled = domains(table(spark, sf_dir, "labels")).join(pick(docs, "doc_id").distinct(), "doc_id", "left_semi")
     mixed = mixing.mix(keyed(docs), labelled, TARGETS, keys=("doc_id", "key"))
     return keep_rows(docs, mixing.thinned(mixed), once=False)

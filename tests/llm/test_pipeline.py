@@ -41,3 +41,15 @@ def test_pipeline_follows_its_stages(spark):
     for r in rows:
         have[r["doc_id"]] = have.get(r["doc_id"], 0) + r["length"]
     assert set(have) <= good and all(have[r["doc_id"]] == r["doc_tokens"] for r in rows)
+
+
+def test_mixing_stage_meets_the_targets(spark, frame):
+    # words that only one domain has; good_toxic holds far too many tokens, bad_clean too few
+    held = {"good_clean": 5000, "good_toxic": 4000, "bad_clean": 800, "bad_toxic": 200}
+    names = [k for k, n in held.items() for _ in range(n)]
+    docs = frame([f"{k}a {k}b {k}c {i} {i + 1}" for i, k in enumerate(names)])
+    labelled = spark.createDataFrame(list(enumerate(names)), "doc_id long, domain string")
+    kept = mixing.thinned(mixing.mix(keyed(docs), labelled, TARGETS, keys=("doc_id", "key"))).collect()
+    share = {k: sum(names[r["doc_id"]] == k for r in kept) / len(kept) for k in held}
+    assert all(abs(share[k] - want) < 0.02 for k, want in TARGETS.items()), share
+    assert len(kept) > 0.9 * min(n / TARGETS[k] for k, n in held.items())        # no more dropped than the targets ask for

@@ -187,11 +187,13 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict, keys=("doc_id",)) -
     return out.select(*keys, "tokens", *[F.col(f"p{i}").alias(f"p_{k}") for i, k in enumerate(domains)], "rate", copies, relative)
 
 
-def thinned(mixed: DataFrame, spare: float = 0.5) -> DataFrame:
+def thinned(mixed: DataFrame) -> DataFrame:
     """The rows of ``mixed`` (keys doc_id, key) that stay when nothing may repeat.
 
-    A document whose relative rate is ``spare`` or more always stays, one
-    below by chance (a hash of its keys), in proportion to its rate.
+    Each stays by chance (a hash of its keys) in proportion to its rate; those
+    of the greatest rate all stay. So the expected shares of the domains are
+    those of the rates, and a rare domain with a high target leaves few rows of the others.
     """
     chance = F.shiftrightunsigned(F.xxhash64(F.lit("thinned"), "doc_id", "key"), 12) / float(1 << 52)
-    return mixed.where(chance < F.col("relative") / spare)
+    most = mixed.agg(F.max("rate")).first()[0]
+    return mixed.where(chance < F.col("rate") / most) if most else mixed
