@@ -63,6 +63,22 @@ def test_scorers_on_odd_rows(spark, odd, none, module, column):
         assert module.score(none, model).count() == 0
 
 
+@pytest.mark.parametrize("module, column, rare", [(quality, "quality", 0), (toxicity, "toxic", 1)])
+def test_scores_do_not_move_with_the_cap(spark, frame, module, column, rare):
+    rng = random.Random(5)
+    kind = [i % 8 == 0 for i in range(2400)]                            # the rare class
+    # the classes overlap, so that borderline texts have scores that the class ratio decides
+    words = lambda k: [f"{'rq' if rng.random() < (0.56 if k else 0.44) else 'cm'}{rng.randrange(60)}" for _ in range(30)]
+    docs = frame([" ".join(words(k)) for k in kind])
+    labels = spark.createDataFrame([(i, rare if k else 1 - rare) for i, k in enumerate(kind)], f"doc_id long, {column} int")
+    ask = frame([" ".join(words(i % 8 == 0)) for i in range(400)])
+    mean = []
+    for cap in (5000, 280):                                             # above and below both classes' counts
+        s = np.array([r["score"] for r in module.score(ask, module.fit(docs, labels, column, per_class=cap)).collect()])
+        mean.append(s.mean() if rare else 1 - s.mean())
+    assert abs(mean[0] - 0.125) < 0.05 and abs(mean[1] - mean[0]) < 0.05, mean
+
+
 def test_quality_keep_returns_whole_rows(odd, spark):
     labels = spark.createDataFrame([(4, 1)], "doc_id long, quality int")
     out = quality.keep(odd, quality.fit(odd, labels), 0.0)

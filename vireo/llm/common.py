@@ -62,19 +62,22 @@ def crc_mod(m: int, col: str = "doc_id"):
 
 def labelled_sample(labels: DataFrame, column: str, per_class: int, where=None) -> DataFrame:
     """A bounded training sample: for either class at most ``per_class`` ids, those of the
-    least hash, as a local table (doc_id, label, half 0/1).
+    least hash, as a local table (doc_id, label, half 0/1, weight, in_class).
 
+    ``in_class`` counts the permitted ids of the row's class, ``weight`` is that over the sampled
+    ones: weighted, the sample has the class ratio of all labels, whether or not a class is cut.
     Null ids and labels are left out; an id that is labelled twice counts once, with the larger label.
     """
     rows = pick(labels, "doc_id", column).withColumnRenamed(column, "label")
     if where is not None:
         rows = rows.where(where)
     rows = rows.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    n_all = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     found = []
     for c in (0, 1):
         best = rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
-        found += [(r["doc_id"], c, n % 2) for n, r in enumerate(best)]
-    return labels.sparkSession.createDataFrame(found, "doc_id long, label int, half int")
+        found += [(r["doc_id"], c, n % 2, n_all[c] / len(best), n_all[c]) for n, r in enumerate(best)]
+    return labels.sparkSession.createDataFrame(found, "doc_id long, label int, half int, weight double, in_class long")
 
 
 def least_hashes(rows: DataFrame, group: str, limit: int, salts: int = 64) -> DataFrame:
@@ -120,7 +123,8 @@ def fit_logistic(x, y, weight=None, l2=1e-3, rounds=60):
     import numpy as np
 
     weight = np.ones(len(y)) if weight is None else weight
-    mean, scale = x.mean(0), x.std(0) + 1e-9
+    mean = np.average(x, axis=0, weights=weight)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight)) + 1e-9
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
     w = np.zeros(z.shape[1])
     ridge = l2 * np.r_[np.ones(len(w) - 1), 1e-6]

@@ -83,14 +83,16 @@ def _chunks(batches):
 
 
 def _measure(good, bad, raw):
+    """(label, weight, text) -> (label, weight, d, r)"""
+
     def run(batches):
         import pyarrow as pa
 
         sizes = _Sizes(good, bad, raw)
         for rb in small(batches):
-            f = [sizes.features(t) for t in rb.column(1).to_pylist()]
-            yield pa.record_batch([rb.column(0), *(pa.array(list(c), pa.float64()) for c in zip(*f))] if f else
-                                  [rb.column(0), pa.array([], pa.float64()), pa.array([], pa.float64())], names=["label", "d", "r"])
+            f = [sizes.features(t) for t in rb.column(2).to_pylist()]
+            both = [pa.array(list(c), pa.float64()) for c in zip(*f)] if f else [pa.array([], pa.float64())] * 2
+            yield pa.record_batch([rb.column(0), rb.column(1), *both], names=["label", "weight", "d", "r"])
 
     return run
 
@@ -98,29 +100,31 @@ def _measure(good, bad, raw):
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", where=None, per_class: int = PER_CLASS) -> Model:
     """Dictionaries and calibration from at most ``per_class`` labelled rows of each class.
 
-    ``where`` restricts the rows of ``labels`` that may be learned from.
+    ``where`` restricts the rows of ``labels`` that may be learned from. The calibration
+    weights the sampled rows to the class ratio of all permitted labels.
     """
     import numpy as np
     import zstandard as z
 
     sample = labelled_sample(labels, column, per_class, where)
-    texts = sampled_texts(docs, sample).select("label", "half", "text")
+    texts = sampled_texts(docs, sample).select("label", "half", "weight", "text")
     parts = texts.where("half = 0").select("label", "text").mapInArrow(_chunks, "label int, at long, part binary")
     both = [[bytes(r["part"]) for r in parts.where(F.col("label") == c).orderBy("at", "part").limit(CHUNKS).collect()] for c in (1, 0)]
     n = [len(x) for x in both]
     if not all(n):
-        count = dict(sample.groupBy("label").count().collect())
+        count = {r["label"]: r["in_class"] for r in sample.select("label", "in_class").distinct().collect()}
         return Model(b"", b"", True, None, None, None, (count.get(1, 0) + 1) / (sum(count.values()) + 2))
     raw = False
     try:
         dicts = [z.train_dictionary(DICT_BYTES, x, level=LEVEL).as_bytes() for x in both]
     except z.ZstdError:                            # too few chunks to train on
         raw, dicts = True, [b"".join(x)[-DICT_BYTES:] for x in both]
-    measured = texts.where("half = 1").select("label", "text").mapInArrow(_measure(*dicts, raw), "label int, d double, r double")
-    rows = np.array([tuple(r) for r in measured.collect()], float).reshape(-1, 3)      # at most per_class rows
+    measured = texts.where("half = 1").select("label", "weight", "text").mapInArrow(
+        _measure(*dicts, raw), "label int, weight double, d double, r double")
+    rows = np.array([tuple(r) for r in measured.collect()], float).reshape(-1, 4)      # at most per_class rows
     if len(set(rows[:, 0])) < 2:
         return Model(*dicts, raw, np.zeros(1), np.ones(1), np.array([20.0, 0.0]), 0.5)
-    mean, scale, w = fit_logistic(_expand(rows[:, 1:]), rows[:, 0])
+    mean, scale, w = fit_logistic(_expand(rows[:, 2:]), rows[:, 0], rows[:, 1])
     return Model(*dicts, raw, mean, scale, w, 0.5)
 
 

@@ -3,7 +3,8 @@
 Features are hashed n-grams of the lower-cased text, present or not. Their
 document counts in either class of a bounded labelled sample give a smoothed
 log ratio r each; n-grams whose ratio is not significant have weight zero. A
-ridge logistic regression on r times presence is fitted to the same sample.
+ridge logistic regression on r times presence is fitted to the same sample,
+its rows weighted to the class ratio of all labels.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def _flags(buckets):
 
 
 def _matrix(buckets):
-    """(label, text) -> (label, list of feature numbers)."""
+    """(label, weight, text) -> (label, weight, list of feature numbers)."""
 
     def run(batches):
         import numpy as np
@@ -108,12 +109,12 @@ def _matrix(buckets):
         wanted = _flags(buckets)
         for rb in batches:
             lists = [[] for _ in range(rb.num_rows)]
-            for row, bucket in _present(rb.column(1).to_pylist(), wanted):
+            for row, bucket in _present(rb.column(2).to_pylist(), wanted):
                 cuts = np.flatnonzero(np.diff(row)) + 1
                 for r, b in zip(np.split(row, cuts), np.split(bucket, cuts)):
                     if len(r):
                         lists[r[0]] = np.searchsorted(buckets, b).tolist()
-            yield pa.record_batch([rb.column(0), pa.array(lists, pa.list_(pa.int32()))], names=["label", "at"])
+            yield pa.record_batch([rb.column(0), rb.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["label", "weight", "at"])
 
     return run
 
@@ -145,24 +146,24 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", where=None, p
     import numpy as np
 
     sample = labelled_sample(labels, column, per_class, where)
-    texts = sampled_texts(docs, sample).select("label", "text")
-    n = dict(sample.groupBy("label").count().collect())
-    n0, n1 = n.get(0, 0), n.get(1, 0)
+    texts = sampled_texts(docs, sample).select("label", "weight", "text")
+    n = {r["label"]: (r["n"], r["all"]) for r in sample.groupBy("label").agg(F.count("*").alias("n"), F.max("in_class").alias("all")).collect()}
+    (n0, all0), (n1, all1) = n.get(0, (0, 0)), n.get(1, (0, 0))
     if not n0 or not n1:
-        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((n1 + 1) / (n0 + 1))))
-    counts = texts.mapInArrow(_count, "bucket long, n0 int, n1 int").groupBy("bucket").agg(
+        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((all1 + 1) / (all0 + 1))))
+    counts = texts.select("label", "text").mapInArrow(_count, "bucket long, n0 int, n1 int").groupBy("bucket").agg(
         F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     a, b = F.col("n1") + SMOOTH, F.col("n0") + SMOOTH
     ratio = F.log(a / (n1 + 2 * SMOOTH)) - F.log(b / (n0 + 2 * SMOOTH))
     sure = counts.select("bucket", ratio.alias("r"), F.abs(ratio / F.sqrt(1 / a + 1 / b)).alias("z"))
     best = sure.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(FEATURES).collect()
     if not best:
-        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((n1 + 1) / (n0 + 1))))
+        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((all1 + 1) / (all0 + 1))))
     best = sorted((r["bucket"], r["r"]) for r in best)
     buckets, r = np.array([x for x, _ in best]), np.array([x for _, x in best])
-    rows = texts.mapInArrow(_matrix(buckets), "label int, at array<int>").collect()     # at most 2 x per_class rows
+    rows = texts.mapInArrow(_matrix(buckets), "label int, weight double, at array<int>").collect()     # at most 2 x per_class rows
     y = np.array([x["label"] for x in rows], float)
-    w, intercept = _train([x["at"] for x in rows], y, r, np.ones(len(y)))
+    w, intercept = _train([x["at"] for x in rows], y, r, np.array([x["weight"] for x in rows]))
     return Model(buckets, w * r, intercept)
 
 
