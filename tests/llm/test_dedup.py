@@ -180,6 +180,20 @@ def test_passages_match_brute_force(frame):
     assert all(r["n_words"] >= 50 for r in got)
 
 
+def test_passages_behind_a_frequent_line(frame):
+    rng = random.Random(6)
+    words = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    texts, lines = [], [words(n) for n in (20, 30, 34, 40)]
+    for i in range(40):                                 # pairs that share words before the line, and nothing after it
+        own = words(51 - len(lines[i % 4]))
+        texts += [" ".join(words(40) + own + lines[i % 4] + words(40)) for _ in range(2)]
+    texts += [" ".join(words(40) + lines[i % 4] + words(40)) for i in range(400)]
+    rng.shuffle(texts)
+    got = passages.repeated_passages(frame(texts, parts=6)).collect()
+    assert {(r["doc_id"], k) for r in got for k in range(r["first_word"], r["end_word"])} == plain_repeats(texts)
+    assert all(r["across"] for r in got)
+
+
 def test_passages_odd_rows(odd, none):
     got = passages.repeated_passages(odd).collect()
     assert {(r["doc_id"], r["first_word"], r["end_word"], r["across"]) for r in got} == {(6, 0, 40_000, True), (7, 0, 40_000, True)}

@@ -11,6 +11,15 @@ sorted by their words, neighbours are compared, and each match is extended to
 the right and, from the words before the suffix, to the left. Matches of
 ``LEAST`` words or more are marked in both places and merged per document.
 
+Two suffixes that share a passage by the words before them need not be
+neighbours where more than two have their key. Rows of such keys, and of the
+first and last key of a part of the sort, also give a hash of each window of
+``LEAST`` words around the suffix; windows that occur again are marked. No row
+of a key shares more words from the suffix on than one of the two neighbours
+does, so longer windows are spared, as are those of rows that follow two
+documents in a run of neighbours that share the window. Windows that a row
+shares with a neighbour of another document are counted, but marked already.
+
 The sort is a range sort on key and words, so the suffixes of one passage that
 very many documents share are spread over tasks; the two rows on either side
 of a border are compared in a last small step.
@@ -129,51 +138,99 @@ def _common(a, b):
     return int((x != y).argmax())
 
 
-MARK = "edge boolean, part long, doc_id long, row long, first long, last long, across boolean, key long, right binary, left binary, pos long"
+MARK = ("edge boolean, part long, doc_id long, row long, first long, last long, across boolean, key long, right binary, left binary, "
+        "pos long, windows array<long>, known long")
+
+
+def _windows(row, done):
+    """Hashes of the passages of ``LEAST`` words with PREFIX, PREFIX + 1, .. words from the suffix on; null where ``done`` or too short."""
+    import xxhash
+
+    words, at = b"".join(row[2][i:i + 4] for i in range(len(row[2]) - 4, -1, -4)) + row[1], len(row[2]) - 4 * LEAST
+    out = []
+    for r, d in zip(range(PREFIX, LEAST + 1), done):
+        w = words[at + 4 * r:at + 4 * (r + LEAST)] if not d and at + 4 * r >= 0 else b""
+        out.append(xxhash.xxh3_64_intdigest(w) >> 1 if len(w) == 4 * LEAST else None)
+    return out
 
 
 def _neighbours(edges):
-    """Sorted suffixes -> marks (doc, first, last, across), and, with ``edges``, the first and last row of each part."""
+    """Sorted suffixes -> marks (doc, first, last, across), and, with ``edges``, the first and last row of each part
+    and the windows (null ``edge``) of keys of more than two rows."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() if edges else 0
-        kinds = [pa.bool_(), *[pa.int64()] * 5, pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
-        names = ["edge", "part", "doc_id", "row", "first", "last", "across", "key", "right", "left", "pos"]
+        kinds = [pa.bool_(), *[pa.int64()] * 5, pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
+        names = ["edge", "part", "doc_id", "row", "first", "last", "across", "key", "right", "left", "pos", "windows", "known"]
         out, prev, other, n = [], None, None, 0    # the row before, and the last one of another document
+        two = [False] * (LEAST - PREFIX + 1)       # windows that two documents of the run of neighbours have given
+        wait, in_key, first_key = [], 0, True      # rows of a key that may still have two rows only
 
         def compare(a, b):
             if a[0] != b[0]:
-                return
+                return 0, 0
             right, left = _common(a[1], b[1]), _common(a[2], b[2])
             if left + right >= LEAST:
                 across = a[3:5] != b[3:5]
                 for x in (a, b):
-                    out.append((False, part, x[3], x[4], x[5] - left, x[5] + right, across, x[0], None, None, x[5]))
+                    out.append((False, part, x[3], x[4], x[5] - left, x[5] + right, across, x[0], None, None, x[5], None, None))
+            return right, left
 
         def border(x):
-            return (True, part, x[3], x[4], None, None, None, x[0], x[1], x[2], x[5])
+            return (True, part, x[3], x[4], None, None, None, x[0], x[1], x[2], x[5], None, None)
+
+        def give(keep=0):
+            for x, done, reach, known in wait[:len(wait) - keep]:
+                found = _windows(x, [d or PREFIX + i > reach for i, d in enumerate(done)])
+                if any(h is not None for h in found):
+                    out.append((None, part, x[3], x[4], None, None, None, x[0], None, None, x[5], found, known))
+            del wait[:len(wait) - keep]
 
         def batch(rows):
             return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
 
         for rb in batches:
             for row in zip(*[c.to_pylist() for c in rb.columns]):
+                right = left = 0
                 if prev is None:
                     if edges:
                         out.append(border(row))
                 else:
-                    compare(prev, row)
+                    right, left = compare(prev, row)
                     if prev[3:5] != row[3:5]:
                         other = prev
                     elif other is not None and other[3:5] != row[3:5]:
                         compare(other, row)
+                if edges:
+                    if prev is not None and prev[0] != row[0]:
+                        if first_key or in_key > 2:
+                            give()
+                        wait.clear()
+                        in_key, first_key = 0, False
+                    apart, done, known = prev is not None and prev[3:5] != row[3:5], [], 0
+                    for i in range(len(two)):
+                        shared = LEAST - left <= PREFIX + i <= right
+                        known |= (shared and apart) << i
+                        done.append(shared and apart and two[i])
+                        two[i] = shared and (apart or two[i])
+                    if wait:
+                        wait[-1][2] = max(wait[-1][2], right)
+                        wait[-1][3] |= known
+                    # how many words the row shares with a neighbour; the one before a part's first row is not known
+                    wait.append([row, done, right if prev is not None else LEAST, known])
+                    in_key += 1
+                    if in_key > 2:
+                        give(keep=1)               # the next row may share more words with this one
                 prev, n = row, n + 1
             if len(out) >= 4096:
                 yield batch(out)
                 out.clear()
+        if wait:                                   # the last key may go on in the next part
+            wait[-1][2] = LEAST
+            give()
         if edges and n > 1:                        # a single row is its part's first already
             out.append(border(prev))
         if out:
@@ -211,6 +268,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     border = marked.where("edge").repartition(1).sortWithinPartitions(*order, "part")
     joined = border.select("key", "right", "left", "doc_id", "row", "pos").mapInArrow(_neighbours(False), MARK)
     marks = marked.where("not edge").union(joined).select("doc_id", "row", "first", "last", "across", "key")
+    held = marked.where("edge IS NULL").select(
+        "doc_id", "row", "pos", "key", "known", F.posexplode("windows").alias("n", "window")).where("window IS NOT NULL")
+    one_of = F.xxhash64("doc_id", "row")
+    again = held.groupBy("n", "window").agg(F.count("*").alias("n_held"), F.min(one_of).alias("a"), F.max(one_of).alias("b"))
+    again = again.where("n_held > 1").select("n", "window", (F.col("a") != F.col("b")).alias("across"))
+    last = F.col("pos") + F.col("n") + PREFIX
+    marks = marks.union(held.where("shiftright(known, n) & 1 = 0").join(again, ["n", "window"]).select("doc_id", "row", (last - LEAST).alias("first"), last.alias("last"), "across", "key"))
     # a mark is at most two contexts long, so a document has about as many as it has suffixes
     one = marks.groupBy("doc_id", "row", "first", "last").agg(F.max("across").alias("across"), F.min("key").alias("key"))
     w = Window.partitionBy("doc_id", "row").orderBy("first", "last")
