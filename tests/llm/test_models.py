@@ -309,6 +309,32 @@ def test_mixing_meets_its_targets_without_python(spark):
     assert all(abs(r["copies"] - r["rate"]) <= 1 for r in rows)
 
 
+def test_mixing_is_exact_for_a_thinly_spread_domain(spark, monkeypatch):
+    # no document has half a percent of the last domain, but together they hold a third of a percent of the tokens
+    rng = np.random.default_rng(3)
+    thin = rng.uniform(0.002, 0.0045, 2000)
+    first = rng.uniform(0.1, 0.9, 2000)
+    p = np.c_[first * (1 - thin), (1 - first) * (1 - thin), thin]
+    rows = spark.createDataFrame([(i, 100, *map(float, x)) for i, x in enumerate(p)], "doc_id long, tokens long, p0 double, p1 double, p2 double")
+    monkeypatch.setattr(mixing, "fit", lambda *a: None)
+    monkeypatch.setattr(mixing, "posteriors", lambda *a: rows)
+    wanted = {"a": 0.6, "b": 0.397, "c": 0.003}
+    out = mixing.mix(rows, rows, wanted).collect()
+    assert len(out) == 2000 and all(abs(r["p_c"] - thin[r["doc_id"]]) < 1e-12 for r in out)
+    for k, want in wanted.items():
+        got = sum(r["rate"] * r[f"p_{k}"] for r in out) / len(out)
+        assert abs(got - want) < 0.1 * want, (k, got)
+    with pytest.warns(UserWarning, match="c 0"):                        # out of reach: said, not passed over
+        mixing.mix(rows, rows, {"a": 0.5, "b": 0.3, "c": 0.2})
+
+
+def test_mixing_meets_each_target_by_its_size(spark):
+    rows = registry.op10_mixing(spark, SF).collect()
+    total = sum(r["tokens"] for r in rows)
+    for k, want in registry.TARGETS.items():
+        assert abs(sum(r["tokens"] * r[f"p_{k}"] * r["rate"] for r in rows) / total - want) < 0.02 * want, k
+
+
 def test_mixing_odd_rows(odd, none, spark):
     labels = spark.createDataFrame([(4, "a"), (6, "b"), (None, "a"), (8, None), (8, "c")], "doc_id long, domain string")
     for labelled in (labels, labels.limit(0)):
