@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact, langid, mixing, packing, passages, pii, quality, simhash, toxicity, weighted
+from . import exact, langid, mixing, packing, passages, pii, quality, simhash, spelling, toxicity, weighted
 from .common import crc_mod, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -80,6 +80,10 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), TARGETS)
 
 
+def op13_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"), one_in=97)
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE = {
@@ -94,7 +98,7 @@ ORACLE = {
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_quality, op3_passages, op4_langid, op5_packing, op6_weighted, op7_toxicity, op8_exact_dedup, op9_pii,
-    op10_mixing)}
+    op10_mixing, op13_spelling)}
 
 
 def queries():
