@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact, langid, mixing, packing, passages, pii, quality, simhash, spelling, toxicity, weighted
+from . import exact, langid, mixing, packing, passages, pii, quality, setjoin, simhash, spelling, toxicity, weighted
 from .common import crc_mod, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -80,6 +80,10 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), TARGETS)
 
 
+def op12_set_join(spark, sf_dir):
+    return setjoin.similar_groups(table(spark, sf_dir, "documents"), shingle=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op13_spelling(spark, sf_dir):
     return spelling.variants(table(spark, sf_dir, "documents"), one_in=97)
 
@@ -94,11 +98,26 @@ ORACLE = {
                doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept,
                sha256(norm) AS text_sha256
         FROM d""",
+    "op12_set_join": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS t
+            FROM d),
+        e AS (SELECT doc_id, len(t) AS n, unnest(t) AS t FROM s),
+        p AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, p.y FROM reach r JOIN p ON r.y = p.x),
+        least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+        SELECT s.doc_id, len(s.t) AS n_shingles, component_id FROM s JOIN least ON s.doc_id = least.x""",
 }
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_quality, op3_passages, op4_langid, op5_packing, op6_weighted, op7_toxicity, op8_exact_dedup, op9_pii,
-    op10_mixing, op13_spelling)}
+    op10_mixing, op12_set_join, op13_spelling)}
 
 
 def queries():
