@@ -95,6 +95,16 @@ def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(sample), "doc_id")        # at most the sample's bounded number of ids
 
 
+def kept(key, make):
+    """``make()``, once for a worker process: tasks get this package's code by value, so its module variables do not last."""
+    import sys
+
+    state = sys.__dict__.setdefault("_vireo_kept", {})
+    if key not in state:
+        state[key] = make()
+    return state[key]
+
+
 def small(batches, rows: int = 512):
     """The batches in slices of at most ``rows`` rows: bounds the texts that a task has unpacked at once."""
     for rb in batches:

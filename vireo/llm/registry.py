@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact, langid, mixing, packing, passages, pii, quality, setjoin, simhash, spelling, toxicity, weighted
+from . import alignment, exact, langid, mixing, packing, passages, pii, quality, setjoin, simhash, spelling, toxicity, weighted
 from .common import crc_mod, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -80,6 +80,13 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), TARGETS)
 
 
+def op11_alignment(spark, sf_dir):
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    out = alignment.align(table(spark, sf_dir, "documents"), a, b)
+    said = F.coalesce(F.lower(F.hex("groups_sha")), F.lit("")).alias("groups_sha256")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", said)
+
+
 def op12_set_join(spark, sf_dir):
     return setjoin.similar_groups(table(spark, sf_dir, "documents"), shingle=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
@@ -117,7 +124,7 @@ ORACLE = {
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_quality, op3_passages, op4_langid, op5_packing, op6_weighted, op7_toxicity, op8_exact_dedup, op9_pii,
-    op10_mixing, op12_set_join, op13_spelling)}
+    op10_mixing, op11_alignment, op12_set_join, op13_spelling)}
 
 
 def queries():
