@@ -36,7 +36,7 @@ from .common import cut, pick, small
 from .components import components
 
 WIDTH = 1.5             # end of a band over its start
-SAME = 0.35             # chance, for the cost, that one token of a segment is shared by sets that are not similar
+SAME = 0.1              # for the cost: chance that a token of a set is one of an unrelated set too
 FIRST_WINDOW = 16
 CELLS = 1 << 22         # segments that a task holds at once
 SEED = 0x5851F42D
@@ -312,19 +312,21 @@ def _in_blocks(left: DataFrame, end: int) -> DataFrame:
 
 def links(docs: DataFrame, own: DataFrame, reps: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
     """(a, b, shared, total): verified links between different sets that connect all similar ones (see the module)."""
-    marks = own.where("size(marks) > 0").select("sid", "n", F.explode("marks").alias("mark"))
-    often = marks.groupBy("mark").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).where("least <> most")
+    marks = own.where("size(marks) > 0").select("sid", F.explode("marks").alias("mark"))
+    often = marks.groupBy("mark").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).where("least <> most").select("mark", "least")
     # a mark that only one set has needs no more
-    shared = cut(marks.join(often, "mark").select("mark", "sid", "n", "least").distinct())
+    shared = cut(marks.join(often, "mark").select("mark", "sid", "least").distinct())
     sets = _whole(docs, reps, shared.select("sid"), shingle)
-    size = reps.select(F.col("sid").alias("least"), F.col("size").alias("least_n"))
-    star = shared.where("sid <> least").groupBy("sid", "least").agg(F.first("n").alias("n")).join(size, "least")
+    size = reps.select("sid", F.col("size").alias("n"))
+    star = shared.where("sid <> least").select("sid", "least").distinct().join(size, "sid")
+    star = star.join(size.select(F.col("sid").alias("least"), F.col("n").alias("least_n")), "least")
     like = F.least("n", "least_n") * 100 >= F.greatest("n", "least_n") * percent
     done = cut(star.where(like).select(F.col("least").alias("a"), F.col("sid").alias("b")))
     found, begin, end = cut(_similar(done, sets, percent)), 1, FIRST_WINDOW
     while True:
         roots = components(found.select("a", "b"))
-        named = shared.join(roots, F.col("sid") == F.col("node"), "left").select("mark", "sid", "n", F.coalesce("root", "sid").alias("root"))
+        roots = size.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", F.coalesce("root", "sid").alias("root"))
+        named = shared.join(roots, "sid").select("mark", "sid", "n", "root")
         apart = named.groupBy("mark").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("held"))
         left = cut(named.join(apart.where((F.col("x") != F.col("y")) & (F.col("held") > begin)).select("mark"), "mark"))
         if not left.limit(1).count():
@@ -333,7 +335,7 @@ def links(docs: DataFrame, own: DataFrame, reps: DataFrame, shingle: int = 3, pe
         pairs = cut(pairs.join(done, ["a", "b"], "left_anti"))
         done = done.union(pairs)
         found = cut(found.union(_similar(pairs, sets, percent)))
-        shared, begin, end = left.select("mark", "sid", "n"), end, 2 * end
+        shared, begin, end = left.select("mark", "sid"), end, 2 * end
 
 
 def similar_groups(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
