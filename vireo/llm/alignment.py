@@ -45,11 +45,13 @@ SHOWN = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *rang
 class Pairing:
     """Aligns texts with two tokenizers: ``a``, a byte-level BPE file, and ``b``, a sentencepiece model."""
 
-    def __init__(self, a, b):
+    def __init__(self, a, b, with_groups=True):
         import json
         import os
         import re
 
+        import numpy as np
+        import pyarrow as pa
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -63,6 +65,12 @@ class Pairing:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.wide = len(self.b_bytes)                  # key of a pair: a * wide + b
+        self.with_groups = with_groups                 # the groups as text are wanted
+        self.a_size = np.zeros(max(self.a_bytes) + 1, np.int64)
+        for i, x in self.a_bytes.items():
+            self.a_size[i] = len(x)
+        self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.numbers = pa.array([str(i) for i in range(max(len(self.a_size), self.wide))])
         spec = json.loads(self.a.to_str())
         split = spec["pre_tokenizer"] or {}
         # no token of either crosses from a character that is no space to a space
@@ -72,41 +80,75 @@ class Pairing:
         self.clear()
 
     def clear(self):
-        self.index, self.rows, self.said, self.links = {}, [], [], []
-
-    def encode(self, pieces):
-        """Ids of space + piece by either tokenizer."""
-        out_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
-        return out_a, self.b.encode(list(pieces), num_threads=1)
-
-    def align(self, piece, a, b):
-        """(groups as text, number of them, linked keys) of one piece, or None where its bytes are not those of the tokens."""
-        left, right = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        whole = b" " + piece.encode()
-        if b"".join(left) != whole or b"".join(right) != whole:
-            return None
-        ends_a, ends_b = list(itertools.accumulate(map(len, left))), list(itertools.accumulate(map(len, right)))
-        groups, keys, i, j, at_i, at_j = [], [], 0, 0, 0, 0
-        while i < len(a) and j < len(b):
-            keys.append(a[i] * self.wide + b[j])
-            x, y = ends_a[i], ends_b[j]
-            i, j = i + (x <= y), j + (y <= x)
-            if x == y:
-                groups.append(f"{','.join(map(str, a[at_i:i]))}|{','.join(map(str, b[at_j:j]))}")
-                at_i, at_j = i, j
-        return ";".join(groups), len(groups), keys
+        import numpy as np
+
+        self.index, self.said = {}, []
+        self.facts, self.keys, self.start = np.zeros((0, 5), np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def learn(self, pieces):
-        new = [p for p in pieces if p not in self.index]
-        for at in range(0, len(new), 2048):
-            part = new[at:at + 2048]
-            for p, a, b in zip(part, *self.encode(part)):
-                got = self.align(p, a, b)
-                said, groups, keys = got or ("", 0, [])
-                self.index[p] = len(self.rows)
-                self.rows.append((len(a), len(b), groups, len(keys), got is not None))
-                self.said.append(said)
-                self.links.append(keys)
+        """Align the pieces that are new, many in one string: their cuts are token ends of both tokenizers."""
+        new = [p for p in dict.fromkeys(pieces) if p not in self.index]
+        whole = [p for p in new if not self.cuts or not p or p[0].isspace() or p[-1].isspace()]
+        if whole:
+            apart = set(whole)
+            new = [p for p in new if p not in apart]
+        groups = [new[i:i + 256] for i in range(0, len(new), 256)]
+        for i in range(0, len(groups), 64):
+            self.align(groups[i:i + 64])
+        for i in range(0, len(whole), 1024):
+            self.align([[p] for p in whole[i:i + 1024]])
+
+    def align(self, groups):
+        """Append the alignment of the groups' pieces; a group whose bytes the tokens do not give back is taken piece by piece."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = [" ".join(g) for g in groups]
+        side_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        side_b = self.b.encode(texts, num_threads=1)
+        good, bad = [], []
+        for n, t in enumerate(texts):
+            raw = b" " + t.encode()
+            same = b"".join(map(self.a_bytes.__getitem__, side_a[n])) == raw and b"".join(map(self.b_bytes.__getitem__, side_b[n])) == raw
+            (good if same else bad).append(n)
+        if good:
+            words = [p for n in good for p in groups[n]]
+            a = np.fromiter(itertools.chain.from_iterable(side_a[n] for n in good), np.int64)
+            b = np.fromiter(itertools.chain.from_iterable(side_b[n] for n in good), np.int64)
+            end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+            end_p = np.cumsum([1 + len(p.encode()) for p in words])
+            ends = np.union1d(end_a, end_b)                    # a link for every end: of the tokens that reach or pass it
+            i, j = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+            both = (end_a[i] == ends) & (end_b[j] == ends)
+            if not np.isin(end_p, ends[both]).all():
+                raise ValueError("a token crosses from a character that is no space to a space")
+            per_piece = lambda e: np.bincount(np.searchsorted(end_p, e), minlength=len(words))
+            facts = np.stack([per_piece(end_a), per_piece(end_b), per_piece(ends[both]), per_piece(ends), np.ones(len(words), np.int64)], 1)
+            said = [None] * len(words)
+            if self.with_groups:
+                def lists(ids, where, n):
+                    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], where]).astype(np.int32)), n.take(pa.array(ids)))
+
+                sides = [pc.binary_join(lists(x, np.flatnonzero(np.isin(e, ends[both])) + 1, self.numbers), ",") for x, e in ((a, end_a), (b, end_b))]
+                each = pc.binary_join_element_wise(*sides, "|")
+                said = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(facts[:, 2])]).astype(np.int32)), each), ";").to_pylist()
+            self.add(words, facts, a[i] * self.wide + b[j], said)
+        words = [p for n in bad for p in groups[n]]
+        if words and len(words) > len(bad):
+            self.align([[p] for p in words])
+        elif words:
+            n = [[len(side_a[i]), len(side_b[i]), 0, 0, 0] for i in bad]
+            self.add(words, np.array(n, np.int64), np.zeros(0, np.int64), [""] * len(words))
+
+    def add(self, words, facts, keys, said):
+        import numpy as np
+
+        self.index.update(zip(words, range(len(self.said), len(self.said) + len(words))))
+        self.said.extend(said)
+        self.facts = np.concatenate([self.facts, facts])
+        self.keys = np.concatenate([self.keys, keys])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(facts[:, 3])])
 
     def pieces(self, column):
         """Texts -> (row, piece number) of all pieces in order, and the numbers' pieces."""
@@ -147,18 +189,17 @@ class Pairing:
             self.clear()
         row, code, known = self.pieces(column)
         self.learn(known)
-        at = [self.index[p] for p in known]
-        facts = np.array([self.rows[i] for i in at], np.int64).reshape(-1, 5)
-        keys = [self.links[i] for i in at]
+        at = np.fromiter(map(self.index.__getitem__, known), np.int64, len(known))
+        facts = self.facts[at]
         start = np.concatenate([[0], np.cumsum(facts[:, 3])])
         bad = np.zeros(len(column), bool)
         bad[row[facts[code, 4] == 0]] = True            # bytes of the text that tokens do not give back: no tokens
         ok = ~bad[row]
-        return row[ok], code[ok], facts, [self.said[i] for i in at], start, np.fromiter(itertools.chain.from_iterable(keys), np.int64, int(start[-1]))
+        return row[ok], code[ok], facts, [self.said[i] for i in at.tolist()], start, self.keys[_spread(at, self.start)[0]]
 
 
-def _pairing(a, b):
-    return kept(("pairing", a, b), lambda: Pairing(a, b))
+def _pairing(a, b, with_groups):
+    return kept(("pairing", a, b, with_groups), lambda: Pairing(a, b, with_groups))
 
 
 def _spread(code, start):
@@ -178,7 +219,7 @@ def _count(a, b, at):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, pairing = TaskContext.get().partitionId(), _pairing(a, b)
+        part, pairing = TaskContext.get().partitionId(), _pairing(a, b, False)
         keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for rb in small(batches):
             row, code, _, _, start, linked = pairing.batch(rb.column(at))
@@ -402,7 +443,7 @@ def _score(a, b, at, shared, first, with_groups):
         import numpy as np
         import pyarrow as pa
 
-        pairing, counts = _pairing(a, b), shared.value
+        pairing, counts = _pairing(a, b, True), shared.value
         for rb in small(batches):
             row, code, facts, said, start, linked = pairing.batch(rb.column(at))
             # per piece, then per document; pieces of documents without tokens alone are not counted
