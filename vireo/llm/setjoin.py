@@ -21,8 +21,8 @@ of its band is indexed in the band below too.
 Sets that meet under a key are linked as stars first: all with the least of
 them. Candidates are verified exactly on all tokens, verified links contracted, and
 only keys whose sets are still in several components are compared further,
-in windows that double, until every pair of sets under the key either is in one
-component or was verified. So a large group of near copies costs rows in proportion
+in windows that grow fourfold, until every pair of sets under the key either is in one
+component, or differs too much by its size or by the parities of 256 classes of tokens, or was verified. So a large group of near copies costs rows in proportion
 to its size, and no link is lost.
 """
 
@@ -37,7 +37,8 @@ from .components import components
 
 WIDTH = 1.5             # end of a band over its start
 SAME = 0.1              # for the cost: chance that a token of a set is one of an unrelated set too
-FIRST_WINDOW = 16
+FIRST_WINDOW = 64
+SKETCH = ["z0", "z1", "z2", "z3"]       # 256 parities: they differ in no more places than the sets do
 CELLS = 1 << 22         # segments that a task holds at once
 SEED = 0x5851F42D
 
@@ -181,8 +182,8 @@ def _signatures(who, tokens, size, band, m, d, limit, seed):
 
 
 def _index(bands, shingle, percent, at):
-    """Arrow mapper: (keys.., text) -> (keys.., n, sid, check, marks): size, hash and second hash of the set,
-    and its keys in the index, those for the first of equal sets in a task."""
+    """Arrow mapper: (keys.., text) -> (keys.., n, sid, check, marks, sketch): size, hash and second hash of the set,
+    its keys in the index, those for the first of equal sets in a task, and its sketch."""
     begin = [b[0] for b in bands]
 
     def all_keys(rows, tokens, size, fresh):
@@ -225,6 +226,12 @@ def _index(bands, shingle, percent, at):
             np.add.at(sid, rows, _mix(tokens))
             np.add.at(check, rows, _mix(tokens ^ np.uint64(0xD6E8FEB86659FD93)))
             sid = _mix(sid + size.astype(np.uint64))
+            sketch, some = np.zeros((4, n), np.uint64), np.flatnonzero(size)
+            if len(some):
+                begin_at, place = np.searchsorted(rows, some), tokens >> np.uint64(56)
+                bit = np.uint64(1) << (place & np.uint64(63))
+                for w in range(4):
+                    sketch[w, some] = np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == w, bit, np.uint64(0)), begin_at)
             first = np.zeros(n, bool)
             first[np.unique(sid, return_index=True)[1]] = True
             fresh = first & (size > 0) & ~np.isin(sid, seen)
@@ -234,7 +241,8 @@ def _index(bands, shingle, percent, at):
             ends = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=n))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(k[order].view(np.int64)))
             yield pa.record_batch([*rb.columns[:at], pa.array(size.astype(np.int64)), pa.array(sid.view(np.int64)), pa.array(check.view(np.int64)),
-                                   lists], names=[*rb.schema.names[:at], "n", "sid", "check", "marks"])
+                                   lists, *(pa.array(z.view(np.int64)) for z in sketch)],
+                                  names=[*rb.schema.names[:at], "n", "sid", "check", "marks", *SKETCH])
 
     return run
 
@@ -271,8 +279,8 @@ def _whole(docs: DataFrame, reps: DataFrame, wanted: DataFrame, shingle: int) ->
 
 
 def _windows(begin, end, percent):
-    """Arrow mapper over (mark, block, own, sid, n, root), sorted by mark, block and place -> (a, b): sets of one block, of
-    different roots and of like sizes, that stand ``begin`` to ``end - 1`` places apart, the later one at home in the block."""
+    """Arrow mapper over (mark, block, own, sid, n, root, sketch), sorted by mark, block and place -> (a, b): sets of one block,
+    of different roots and of like sizes and sketches, ``begin`` to ``end - 1`` places apart, the later one at home in the block."""
 
     def run(batches):
         import numpy as np
@@ -282,18 +290,24 @@ def _windows(begin, end, percent):
         for rb in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in rb.columns]
             old = 0 if held is None else len(held[0])
-            mark, block, own, sid, n, root = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            every = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            mark, block, own, sid, n, root, *sketch = every
             a, b = [], []
             for gap in range(begin, min(end, len(mark))):
                 x, y = slice(0, len(mark) - gap), slice(gap, len(mark))
                 ok = own[y] & (mark[x] == mark[y]) & (block[x] == block[y]) & (root[x] != root[y])
                 ok &= np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
                 ok[:max(0, old - gap)] = False                  # both were there before
-                a.append(sid[x][ok])
-                b.append(sid[y][ok])
+                i = np.flatnonzero(ok)
+                if not len(i):
+                    continue
+                apart = sum(np.bitwise_count((z[i] ^ z[i + gap]).view(np.uint64)).astype(np.int64) for z in sketch)
+                i = i[apart <= (n[i] + n[i + gap]) * (100 - percent) // (100 + percent)]
+                a.append(sid[i])
+                b.append(sid[i + gap])
             if a:
                 yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-            held = [c[-end:] for c in (mark, block, own, sid, n, root)]
+            held = [c[-end:] for c in every]
 
     return run
 
@@ -306,7 +320,8 @@ def _in_blocks(left: DataFrame, end: int) -> DataFrame:
     home = F.struct(block.alias("block"), F.lit(True).alias("own"))
     later = F.struct((block + 1).alias("block"), F.lit(False).alias("own"))
     both = F.when(rest > size - end, F.array(home, later)).otherwise(F.array(home))
-    rows = placed.select("mark", "sid", "n", "root", "place", F.explode(both).alias("b")).select("mark", "b.block", "b.own", "sid", "n", "root", "place")
+    rows = placed.select("mark", "sid", "n", "root", "place", *SKETCH, F.explode(both).alias("b"))
+    rows = rows.select("mark", "b.block", "b.own", "sid", "n", "root", *SKETCH, "place")
     return rows.repartition("mark", "block").sortWithinPartitions("mark", "block", "place").drop("place")
 
 
@@ -325,17 +340,18 @@ def links(docs: DataFrame, own: DataFrame, reps: DataFrame, shingle: int = 3, pe
     found, begin, end = cut(_similar(done, sets, percent)), 1, FIRST_WINDOW
     while True:
         roots = components(found.select("a", "b"))
-        roots = size.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", F.coalesce("root", "sid").alias("root"))
-        named = shared.join(roots, "sid").select("mark", "sid", "n", "root")
+        roots = size.join(roots, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("root"))
+        named = shared.select("mark", "sid").join(roots, "sid")
         apart = named.groupBy("mark").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("held"))
-        left = cut(named.join(apart.where((F.col("x") != F.col("y")) & (F.col("held") > begin)).select("mark"), "mark"))
+        left = named.join(apart.where((F.col("x") != F.col("y")) & (F.col("held") > begin)).select("mark"), "mark")
+        left = cut(left.join(reps.select("sid", F.col("size").alias("n"), *SKETCH), "sid"))
         if not left.limit(1).count():
             return found
         pairs = _in_blocks(left, end).mapInArrow(_windows(begin, end, percent), "a long, b long").distinct()
         pairs = cut(pairs.join(done, ["a", "b"], "left_anti"))
         done = done.union(pairs)
         found = cut(found.union(_similar(pairs, sets, percent)))
-        shared, begin, end = left.select("mark", "sid"), end, 2 * end
+        shared, begin, end = left.select("mark", "sid"), end, 4 * end
 
 
 def similar_groups(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
@@ -350,12 +366,13 @@ def similar_groups(docs: DataFrame, shingle: int = 3, percent: int = 90) -> Data
     docs = pick(docs, "doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
     rows = docs.select("doc_id", "key", "text")
     bands = plan(docs, shingle, percent)
-    own = cut(rows.mapInArrow(_index(bands, shingle, percent, 2), "doc_id long, key long, n long, sid long, check long, marks array<long>"))
+    own = cut(rows.mapInArrow(_index(bands, shingle, percent, 2), "doc_id long, key long, n long, sid long, check long, marks array<long>, "
+                                                                          + ", ".join(f"{z} long" for z in SKETCH)))
     some = own.where("n > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     same = F.when(F.min("check") != F.max("check"), F.raise_error(F.lit("two sets share a 64-bit hash"))).otherwise(F.first("n"))
-    reps = some.groupBy("sid").agg(first, F.min("doc_id").alias("least"), same.alias("size"))
-    reps = cut(reps.select("sid", "first.doc_id", "first.key", "least", "size"))
+    reps = some.groupBy("sid").agg(first, F.min("doc_id").alias("least"), same.alias("size"), *(F.first(z).alias(z) for z in SKETCH))
+    reps = cut(reps.select("sid", "first.doc_id", "first.key", "least", "size", *SKETCH))
     roots = components(links(docs, own, reps, shingle, percent).select("a", "b"))
     rooted = reps.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
