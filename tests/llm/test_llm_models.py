@@ -348,3 +348,19 @@ def test_held_out_rows_are_those_of_the_contract(spark):
     rows = read(spark, "documents").select("doc_id", crc_mod(3).alias("m")).collect()
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 3 == r["m"] for r in rows)
     assert F is not None
+
+
+def test_digits_of_other_scripts_and_long_runs_are_no_address():
+    for text in ("see 1.2.3.² there", "0" * 5000 + ".1.1.1", "1.2.3.٣", "9" * 200_000, "1.2.3." + "4" * 5000, "1.2.3.4.5.6.7.8", "1.2..3.4.5.6"):
+        got = [s for s in pii.base_spans(text)[0] if s[0] == "ip"]
+        want = [("ip", *m.span()) for m in (re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if "." in text else ())
+                if all(int(p.lstrip("0")[:4] or 0) <= 255 for p in m[0].split("."))]
+        assert got == want, text[:20]
+        pii.Field({}).spans(text[:3000])
+
+
+def test_numerals_are_no_letters(frame):
+    texts = ["½ ² ①", "Ⅷ", "", None, "12_3", "这是"] + ["eins zwei drei vier und so weiter"] * 30
+    model = langid.fit(frame(texts))
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.predict(frame(texts), model).collect()}
+    assert [out[i] for i in range(5)] == ["und"] * 5 and out[5] != "und" and out[6] != "und"

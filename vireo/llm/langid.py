@@ -158,17 +158,14 @@ def predict(docs: DataFrame, model: Model | None, keys=("doc_id",)) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(model)      # bounded: NODES x 257 symbols x languages
 
     def run(batches):
-        import re
-
         import numpy as np
         import pyarrow as pa
 
-        letter = re.compile(r"[^\W\d_]")
         model = shared.value
         for rb in small(batches):
             at = rb.num_columns - 1
             texts = rb.column(at).to_pylist()
-            ok = [i for i, t in enumerate(texts) if t and model is not None and letter.search(t)]
+            ok = [i for i, t in enumerate(texts) if t and model is not None and any(map(str.isalpha, t))]
             lang, score, bits = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
             if ok:
                 length = _bits(model, [texts[i] for i in ok])

@@ -43,6 +43,8 @@ SEED = re.compile(r"[0-9@]+|[(\[]at[)\]]")
 TOKEN = re.compile(r"[0-9]+|[^\W0-9_]+|\s+|[\s\S]")
 AT = re.compile(r"@|[(\[]at[)\]]")
 NOT_DIGIT = re.compile("[^0-9]+")
+DIGITS = re.compile("[0-9]+")
+FIRST_DOT = re.compile(r"(?<=[0-9])\.(?=[0-9])")
 
 
 def luhn(digits):
@@ -69,12 +71,32 @@ def _mails(text):
         at = text.find("@", max(at + 1, end))
 
 
+def _is_quad(parts):
+    """Four parts of the digits 0-9, each 255 at most; any number of leading zeros."""
+    short = [p.lstrip("0") for p in parts]
+    return len(parts) == 4 and all(DIGITS.fullmatch(p) and len(s) <= 3 and int(s or 0) <= 255 for p, s in zip(parts, short))
+
+
+def _quads(text):
+    """Leftmost matches of IP, found from their dots: a long run of digits without one is passed over."""
+    end, dot = 0, FIRST_DOT.search(text)
+    while dot:
+        start = dot.start()
+        while start > end and text[start - 1] in "0123456789":
+            start -= 1
+        m = IP.match(text, start)
+        end = m.end() if m else dot.start() + 1
+        if m:
+            yield m
+        dot = FIRST_DOT.search(text, end)
+
+
 def base_spans(text):
     """(kind, start, end) in the order of KINDS and start; and whether a match was too long for its kind."""
     out, long = [("email", a, b) for a, b in _mails(text)] if "@" in text else [], False
     if re.search("[0-9]", text):
-        for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        for m in _quads(text):
+            if _is_quad(m[0].split(".")):
                 out.append(("ip", *m.span()))
         for m in CARD.finditer(text):
             d = NOT_DIGIT.sub("", m[0])
@@ -126,7 +148,7 @@ def features(s, before, after):
     shape = _shape(s)
     seps = "".join(sorted({c for c in s if not c.isalnum()}))
     quad = s.split(".")
-    is_quad = len(quad) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in quad)
+    is_quad = max(map(len, quad)) <= 3 and _is_quad(quad)
     at = len(AT.findall(s))
     right = AT.split(s, maxsplit=1)[1] if at == 1 else ""
     letters = any(c.isalpha() for c in s)
@@ -140,7 +162,7 @@ def _key(s, before, after):
     digits = NOT_DIGIT.sub("", s)
     quad = s.split(".")
     return (_shape(s), _side(before), _side(after), 13 <= len(digits) <= 19 and luhn(digits),
-            len(quad) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in quad))
+            max(map(len, quad)) <= 3 and _is_quad(quad))
 
 
 def candidates(text, start, end):
