@@ -109,7 +109,34 @@ def test_label_without_a_string_does_not_shift_the_others(spark):
     text = ('  target_class: 5\n}\nentry {\n  target_class: 6\n  other: 1\n  target_class_string: "x"\n}\n'
             'entry {\n  target_class: 7\n  target_class_string: "y"\n')
     got = LK.parse_label_map(spark.createDataFrame([(text,)], "value string")).collect()
-    assert [tuple(r) for r in got] == [(6, "x"), (7, "y")]
+    assert sorted(tuple(r) for r in got) == [(6, "x"), (7, "y")]
+
+
+def test_label_map_of_many_lines(spark, tmp_path):
+    """A file of a million lines in many splits, long gaps between a class and its string, classes without one."""
+    want = []
+    with open(tmp_path / "map.pbtxt", "w") as f:
+        for n in range(160_000):
+            f.write(f"entry {{\n  target_class: {n}\n")
+            if n == 40_000:
+                f.writelines(f"  other: {i}\n" for i in range(200_000))
+            if n % 7:
+                f.write(f'  target_class_string: "u{n}"\n  target_class_string: "second"\n')
+                want.append((n, f"u{n}"))
+            f.write("  other: 1\n}\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400k")
+    try:
+        got = LK.read_label_map(spark, str(tmp_path / "map.pbtxt")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert sorted(map(tuple, got)) == want
+
+
+def test_label_map_with_a_far_string(spark):
+    text = "  target_class: 1\n" + "x\n" * 20_000 + '  target_class_string: "a"\n  target_class: 2\n'
+    got = LK.parse_label_map(spark.createDataFrame([(text,), ('  target_class_string: "b"',)], "value string")).collect()
+    assert [tuple(r) for r in got] == [(1, "a")]
 
 
 def separable(spark):

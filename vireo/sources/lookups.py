@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..session import ensure_checkpoint_dir
 
 
 def parse_url_index(lines: DataFrame, value_col: str = "value") -> DataFrame:
@@ -24,22 +27,50 @@ def read_url_index(spark: SparkSession, path: str) -> DataFrame:
     return parse_url_index(spark.read.text(path))
 
 
+_CLASS, _STRING = r"^  target_class: (\d+)", r'^  target_class_string: "(.*)"'
+
+
+def parse_label_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
+    """Numbered lines (file, line, ``value_col``) of label maps -> (node, uid).
+
+    A string belongs to the class line before it, unless a string stands between: a class
+    without a string has no row, and does not shift those that follow. No file is
+    gathered: class and string lines are range-partitioned by file and line, each looks at
+    the one before it, and the first of a file in a partition at the last line of the partition before, from a
+    table with one row per file and partition.
+    """
+    ensure_checkpoint_dir(lines.sparkSession)
+    v = F.col(value_col)
+    rows = lines.select("file", "line", F.nullif(F.regexp_extract(v, _CLASS, 1), F.lit("")).cast("int").alias("node"),
+                        F.when(v.rlike(_STRING), F.regexp_extract(v, _STRING, 1)).alias("uid"))
+    rows = rows.where("node IS NOT NULL OR uid IS NOT NULL").repartitionByRange("file", "line")
+    rows = rows.withColumn("part", F.spark_partition_id()).checkpoint()
+    here = Window.partitionBy("part", "file").orderBy("line")
+    named = rows.withColumn("before", F.lag("node").over(here)).withColumn("first", F.row_number().over(here) == 1)
+    ends = rows.groupBy("part", "file").agg(F.max_by("node", "line").alias("last"))
+    carried = ends.select("part", "file", F.lag("last").over(Window.partitionBy("file").orderBy("part")).alias("carried"))
+    out = named.where("uid IS NOT NULL").join(carried, ["part", "file"])
+    return out.select(F.when(F.col("first"), F.col("carried")).otherwise(F.col("before")).alias("node"), "uid").where("node IS NOT NULL")
+
+
 def parse_label_map(texts: DataFrame, value_col: str = "value") -> DataFrame:
     """Whole-file texts with ``  target_class: N`` followed by
     ``  target_class_string: "uid"`` -> (node, uid), quotes removed.
 
-    A string belongs to the last class before it: a class without a string has
-    no row, and does not shift those that follow. One expression matches a class line and
-    what lies between it and its string, so the pair stays together.
+    Each text is cut into lines, which :func:`parse_label_lines` reads.
     """
-    entry = r'(?m)^  target_class: (\d+)(?:\R(?!  target_class: ).*)*?\R  target_class_string: "(.*)"'
-    found = F.explode(F.regexp_extract_all(F.col(value_col), F.lit(entry), 0)).alias("entry")
-    return texts.select(found).select(F.regexp_extract("entry", r"(\d+)", 1).cast("int").alias("node"),
-                                      F.regexp_extract("entry", r'target_class_string: "(.*)"$', 1).alias("uid"))
+    lines = texts.select(F.monotonically_increasing_id().alias("file"), F.split(F.col(value_col), r"\R").alias("v"))
+    return parse_label_lines(lines.select("file", F.posexplode("v").alias("line", "value")))
 
 
 def read_label_map(spark: SparkSession, path: str) -> DataFrame:
-    return parse_label_map(spark.read.text(path, wholetext=True))
+    """Label maps of any size: the files are read line by line, in splits.
+
+    A line's place is the start of its split and, inside it, a number that counts up.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
+                                         F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    return parse_label_lines(lines.withColumn("line", F.struct("start", "id")))
 
 
 def parse_uid_names(lines: DataFrame, value_col: str = "value") -> DataFrame:
