@@ -361,6 +361,21 @@ def recommend_all_unseen(model, rated: DataFrame, n: int = 10, first_k: int | No
     return out
 
 
+def recommend_by_norm(model, users: DataFrame, rated: DataFrame, n: int = 10, block_size: int = 2048) -> DataFrame:
+    """Exact top-``n`` unseen items (user, rank, item, score) of the ``users`` (column ``user``) that the model knows.
+
+    Items come in blocks of falling factor norm, and a user leaves as soon as no later item can be
+    among its best (:func:`search.best_products`): nobody is asked again for a longer list.
+    """
+    from .search import best_products
+
+    wanted = users.select(F.col("user").cast("int").alias("user")).distinct()
+    u = model.userFactors.select(F.col("id").alias("user"), F.col("features").alias("v")).join(wanted, "user")
+    i = model.itemFactors.select(F.col("id").alias("item"), F.col("features").alias("v"))
+    seen = rated.select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item")).join(wanted, "user")
+    return best_products(u, i, seen, n, block_size)
+
+
 def save_and_load(model):
     """Save the model below the shared checkpoint folder and load it back."""
     from pyspark.ml.recommendation import ALSModel
