@@ -118,19 +118,21 @@ class Pairing:
             b = np.fromiter(itertools.chain.from_iterable(side_b[n] for n in good), np.int64)
             end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
             end_p = np.cumsum([1 + len(p.encode()) for p in words])
-            ends = np.union1d(end_a, end_b)                    # a link for every end: of the tokens that reach or pass it
+            ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+            ends = ends[np.concatenate([[True], ends[1:] != ends[:-1]])]       # a link for every end: of the tokens that reach or pass it
             i, j = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
             both = (end_a[i] == ends) & (end_b[j] == ends)
-            if not np.isin(end_p, ends[both]).all():
+            common = ends[both]
+            if (common[np.searchsorted(common, end_p)] != end_p).any():
                 raise ValueError("a token crosses from a character that is no space to a space")
             per_piece = lambda e: np.bincount(np.searchsorted(end_p, e), minlength=len(words))
-            facts = np.stack([per_piece(end_a), per_piece(end_b), per_piece(ends[both]), per_piece(ends), np.ones(len(words), np.int64)], 1)
+            facts = np.stack([per_piece(end_a), per_piece(end_b), per_piece(common), per_piece(ends), np.ones(len(words), np.int64)], 1)
             said = [None] * len(words)
             if self.with_groups:
                 def lists(ids, where, n):
                     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], where]).astype(np.int32)), n.take(pa.array(ids)))
 
-                sides = [pc.binary_join(lists(x, np.flatnonzero(np.isin(e, ends[both])) + 1, self.numbers), ",") for x, e in ((a, end_a), (b, end_b))]
+                sides = [pc.binary_join(lists(x, e[both] + 1, self.numbers), ",") for x, e in ((a, i), (b, j))]
                 each = pc.binary_join_element_wise(*sides, "|")
                 said = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(facts[:, 2])]).astype(np.int32)), each), ";").to_pylist()
             self.add(words, facts, a[i] * self.wide + b[j], said)
@@ -453,22 +455,23 @@ def _score(a, b, at, shared, first, with_groups):
             of, linked = of[used[of]], linked[used[of]]
             n = counts.look_up(linked)
             top = (n > 0) & (n == counts.best[linked // pairing.wide])
-            per_sum = np.zeros(len(facts), np.int64)
-            np.add.at(per_sum, of, n)
+            so_far = np.concatenate([[0], np.cumsum(n)])
+            edge = np.searchsorted(of, np.arange(len(facts) + 1))
+            per_sum = so_far[edge[1:]] - so_far[edge[:-1]]
             per_top = np.bincount(of[top], minlength=len(facts))
 
+            ends = np.searchsorted(row, np.arange(rb.num_rows + 1))
+
             def total(values):
-                out = np.zeros(rb.num_rows, np.int64)
-                np.add.at(out, row, values[code])
-                return out
+                so_far = np.concatenate([[0], np.cumsum(values[code])])
+                return so_far[ends[1:]] - so_far[ends[:-1]]
 
             sums = [total(per_top) + rb.column(at + 1).to_numpy(), total(per_sum) + rb.column(at + 2).to_numpy()]
             cols, names = [*rb.columns[:at + 1]], rb.schema.names[:at + 3]
             cols += [pa.array(x) for x in sums]
             if first:
-                ends = np.searchsorted(row, np.arange(rb.num_rows + 1)).tolist()
-                codes = code.tolist()
-                groups = [";".join([said[c] for c in codes[x:y]]) for x, y in zip(ends, ends[1:])]
+                codes, cuts = code.tolist(), ends.tolist()
+                groups = [";".join(map(said.__getitem__, codes[x:y])) for x, y in zip(cuts, cuts[1:])]
                 cols += [pa.array(total(facts[:, i])) for i in range(4)]
                 cols.append(pa.array([hashlib.sha256(g.encode()).digest() if g else None for g in groups], pa.binary()))
                 names = [*names, "n_a", "n_b", "n_groups", "n_links", "groups_sha"]
