@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,6 +169,35 @@ def explode_rois(projected: DataFrame, url: str = "url", roi: str = "roi",
         .select("key", "pos", (F.col("pos") == 0).alias("is_first"), roi_text(F.col("r")).alias("roi_text"))
 
 
+def upsert_rois(catalogue: DataFrame, rois: DataFrame, key: str, roi: str = "roi") -> DataFrame:
+    """The whole new catalogue after a merge with region rows (``key``, pos, is_first, roi_text), with an ``action``:
+
+    ``updated``: the row of the key takes the text of its first region; ``inserted``: a copy of that row for
+    every other region; ``unchanged``: no region has the key. Regions without a catalogue row add nothing.
+    Two regions with the same key and position raise, as an ambiguous merge source does. A NULL key matches nothing.
+    One join: the positions of a key are counted with map-side partial sums, the catalogue is shuffled once.
+    """
+    src = rois.where(F.col("key").isNotNull()).groupBy(F.col("key").alias("_key"), "pos").agg(
+        F.count(F.lit(1)).alias("_n"), F.first("is_first").alias("_first"), F.first("roi_text").alias("_text"))
+    twice = F.raise_error(F.concat(F.lit("two regions with the same key and position: "), F.col("_key"))).cast("boolean")
+    src = src.withColumn("_first", F.when(F.col("_n") > 1, twice).otherwise(F.col("_first"))).select("_key", "_first", "_text")
+    met = catalogue.join(src, F.col(key) == F.col("_key"), "left")
+    action = F.when(F.col("_first").isNull(), "unchanged").when(F.col("_first"), "updated").otherwise("inserted")
+    text = F.when(F.col("_first").isNull(), F.col(roi)).otherwise(F.col("_text"))
+    return met.select(*[text.alias(roi) if c == roi else F.col(c) for c in catalogue.columns], action.alias("action"))
+
+
+def observe_outcomes(validated: DataFrame, name: str = "outcomes") -> tuple[DataFrame, Observation]:
+    """``validated`` with counters that fill while a sink consumes it: ``seen``, ``ok`` and one per reason.
+
+    Read ``observation.get`` after the action; the data is not scanned for the counts.
+    """
+    seen = Observation(name)
+    why = F.coalesce(F.col("reason"), F.lit("ok"))
+    counts = [F.count(F.when(why == r, 1)).alias(r) for r in ("ok", "bad_json", *REASONS)]
+    return validated.observe(seen, F.count(F.lit(1)).alias("seen"), *counts), seen
+
+
 def enrich_by_url(catalogue: DataFrame, content: DataFrame, url: str = "url",
                   payload: str = "payload") -> DataFrame:
     """Attach fetched content by URL (left join) with a status column:
@@ -183,9 +212,34 @@ def enrich_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], sc
                    setup: Callable[[], object] | None = None) -> DataFrame:
     """Plug-in enrichment: ``fn(batch, client)`` on every Arrow batch of every
     partition; ``setup()`` builds one client per partition (e.g. an HTTP session).
-    Rows ``fn`` does not return are dropped (the reference's failed requests)."""
+    Rows ``fn`` does not return are dropped (the reference's failed requests);
+    :func:`enrich_batches_with_status` keeps them."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = setup() if setup else None
         for b in batches:
             yield fn(b, client)
     return df.mapInPandas(run, schema)
+
+
+def enrich_batches_with_status(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], key: str, adds: str,
+                               setup: Callable[[], object] | None = None) -> DataFrame:
+    """Plug-in enrichment that loses no row: all columns of ``df``, the columns ``adds`` (a DDL string) and ``status``.
+
+    ``fn(batch, client)`` returns ``key`` and the added columns for the rows it could serve. ``ok``: one answer;
+    ``missing``: none (added columns NULL); ``ambiguous``: several, of which the first counts. ``key`` must be unique in a
+    batch. Errors of ``fn`` are raised.
+    """
+    cols, added = df.columns, [f.name for f in T._parse_datatype_string(adds).fields]
+    form = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", {adds}, status string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = setup() if setup else None
+        for b in batches:
+            answers = fn(b, client)
+            often = answers[key].value_counts()
+            one = answers.drop_duplicates(key)[[key, *added]]
+            out = b.merge(one, on=key, how="left", suffixes=("", "_y"))
+            n = out[key].map(often).fillna(0)
+            yield out.assign(status=n.map(lambda x: "missing" if x == 0 else "ok" if x == 1 else "ambiguous"))[[*cols, *added, "status"]]
+
+    return df.mapInPandas(run, form)

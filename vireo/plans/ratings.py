@@ -55,6 +55,30 @@ def q_positive_ratings(spark, sf_dir):
     return out.select("user", "item", "rating", "fold")
 
 
+def rating_lines(spark, sf_dir) -> DataFrame:
+    """Rating lines of all events; by ``event_id`` modulo 11 some lack a field or hold one that is no number."""
+    ev = load_table(spark, sf_dir, "events", ["event_id", "user_id", "props", "value", "ts"])
+    r = ev.select("event_id", F.col("user_id").cast("string").alias("u"), F.get_json_object("props", "$.k").alias("i"),
+                  F.col("value").cast("string").alias("r"), RS.epoch_seconds(F.col("ts")).cast("string").alias("t"))
+    m = F.pmod("event_id", F.lit(11))
+    line = F.when(m == 3, F.concat_ws(",", "u", "i", "r")).when(m == 5, F.concat_ws(",", F.lit("x"), "i", "r", "t")) \
+        .when(m == 7, F.concat_ws(",", "u", "i", F.lit("n/a"), "t")).when(m == 9, F.concat_ws(",", "u", "i", "r", F.lit("now"))) \
+        .otherwise(F.concat_ws(",", "u", "i", "r", "t"))
+    return r.select(line.alias("value"))
+
+
+def q_quarantine_good(spark, sf_dir):
+    lines = rating_lines(spark, sf_dir)
+    good, _ = RS.quarantine(lines, RS.rating_reason(F.col("value")))
+    return RS.parse_ratings(good, mode="FAILFAST").groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("user").alias("users"), F.sum("item").alias("items"))
+
+
+def q_quarantine_rejected(spark, sf_dir):
+    _, bad = RS.quarantine(rating_lines(spark, sf_dir), RS.rating_reason(F.col("value")))
+    return bad.select("reason", F.size(F.split("value", ",")).alias("fields")).groupBy("reason", "fields").agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_train_union_personal(spark, sf_dir):
     return RC.with_personal(RC.split(others(spark, sf_dir), "train"), personal(spark, sf_dir))
 
@@ -366,8 +390,21 @@ SELECT CAST({u} AS INTEGER) AS "user", {_recommended(u, 'fitted')} AS n, CAST(0
        true AS scores_match""" for u in IMPLICIT_USERS),
 })
 
+ORACLE.update({
+    "quarantine_good": """
+SELECT CAST(extract(second FROM ts) AS INTEGER) % 10 AS fold, count(*) AS n, count(DISTINCT user_id) AS users,
+       CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS items
+FROM events WHERE event_id % 11 NOT IN (3, 5, 7, 9) GROUP BY 1""",
+    "quarantine_rejected": """
+SELECT CASE event_id % 11 WHEN 3 THEN 'fields' WHEN 5 THEN 'user' WHEN 7 THEN 'rating' ELSE 'timestamp' END AS reason,
+       CAST(CASE event_id % 11 WHEN 3 THEN 3 ELSE 4 END AS INTEGER) AS fields, count(*) AS n
+FROM events WHERE event_id % 11 IN (3, 5, 7, 9) GROUP BY ALL""",
+})
+
 QUERIES = {
     "fold_split_counts": q_fold_split_counts,
+    "quarantine_good": q_quarantine_good,
+    "quarantine_rejected": q_quarantine_rejected,
     "dataset_profile": q_dataset_profile,
     "positive_ratings": q_positive_ratings,
     "train_union_personal": q_train_union_personal,

@@ -17,7 +17,9 @@ from ..functions.text import endpoint, request_url, url_suffix_key
 from ..functions.vectors import array_sum
 from ..operators import neighbors as NB
 from ..operators import responses as RP
+from ..session import shared_path
 from ..sources import load_table
+from ..sources.jsonl import write_jsonl
 
 DIM = 64
 MARKER = "store/"
@@ -122,6 +124,53 @@ def q_roi_explode(spark, sf_dir):
     return RP.explode_rois(RP.project_roi(validated(spark, sf_dir, rules="detector")), marker=MARKER)
 
 
+def q_catalogue_upsert(spark, sf_dir):
+    """The catalogue (a row per image, every fourth with a text of its own) after the merge with the regions."""
+    e = load_table(spark, sf_dir, "embeddings", ["vec_id", "label"])
+    cat = e.select(F.concat(F.col("vec_id").cast("string"), F.lit(".jpg")).alias("key"), F.col("vec_id").alias("prd_no"),
+                   F.concat(F.lit("L"), F.col("label").cast("string")).alias("lctgr_nm"), F.when(F.col("vec_id") % 4 == 0, F.lit("0 0 1 1")).alias("roi"))
+    rois = RP.explode_rois(RP.project_roi(validated(spark, sf_dir, rules="detector")), marker=MARKER)
+    return RP.upsert_rois(cat, rois, "key")
+
+
+def q_response_counters(spark, sf_dir):
+    """Counters of accepted and rejected responses, filled while the accepted ones are written as JSON lines."""
+    seen, counters = RP.observe_outcomes(validated(spark, sf_dir))
+    write_jsonl(RP.project_full(seen), shared_path(spark, "features-full"))
+    return spark.createDataFrame(sorted((k, n) for k, n in counters.get.items() if n), "outcome string, n long")
+
+
+def q_jsonl_variant(spark, sf_dir):
+    """Customers written as JSON-lines files whose fields change type and place, read back dynamically.
+
+    The balance is a number, a text or missing, the segment a text or an object, by ``c_custkey`` modulo 3.
+    """
+    c = load_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"])
+    m = F.col("c_custkey") % 3
+    as_is = F.to_json(F.struct("c_custkey", "c_name", "c_acctbal", F.col("c_mktsegment").alias("segment")))
+    as_text = F.to_json(F.struct("c_custkey", "c_name", F.col("c_acctbal").cast("string").alias("c_acctbal"), F.struct(F.col("c_mktsegment").alias("name")).alias("segment")))
+    without = F.to_json(F.struct("c_custkey", "c_name"))
+    path = shared_path(spark, "customers-jsonl")
+    c.select(F.when(m == 0, as_is).when(m == 1, as_text).otherwise(without).alias("value")).write.text(path)
+    v = spark.read.text(path).select(F.try_parse_json("value").alias("v"))
+    get = lambda p, t: F.try_variant_get("v", p, t)
+    said = F.schema_of_variant(F.variant_get("v", "$.c_acctbal", "variant"))
+    kind = F.when(said == "STRING", said).when(said.isNotNull(), "number")      # the decimals of a number vary
+    return v.select(get("$.c_custkey", "long").alias("c_custkey"), get("$.c_name", "string").alias("c_name"),
+                    get("$.c_acctbal", "double").alias("c_acctbal"), kind.alias("kind"),
+                    F.coalesce(get("$.segment.name", "string"), get("$.segment", "string")).alias("segment"))
+
+
+def q_enrich_with_status(spark, sf_dir):
+    """Every page with its title and a status: pages without a title, or with two, are kept and told apart."""
+    pg = load_table(spark, sf_dir, "pages", ["page_id", "html"])
+
+    def fetch(batch, client):
+        found = batch.assign(title=batch["html"].str.findall(r"(?s)<title>(.+?)</title>")).explode("title")
+        return found[found["title"].notna()][["page_id", "title"]]
+    return RP.enrich_batches_with_status(pg, fetch, "page_id", "title string").select("page_id", "title", "status")
+
+
 def q_url_suffix_key(spark, sf_dir):
     pg = load_table(spark, sf_dir, "pages", ["page_id", "url"])
     return pg.select("page_id", url_suffix_key(F.col("url"), ".example.").alias("key"))
@@ -244,6 +293,24 @@ UNION ALL
 SELECT CAST(vec_id AS VARCHAR) || '.jpg' AS key, 1 AS pos, false AS is_first,
        concat_ws(' ', {_tr('s[5]')}, {_tr('s[6]')}, {_tr('s[7]')}, {_tr('s[8]')}) AS roi_text
 FROM y WHERE roi_reason IS NULL""",
+    "catalogue_upsert": _P + f"""
+, r AS (
+  SELECT vec_id, 0 AS pos, concat_ws(' ', {_tr('s[1]')}, {_tr('s[2]')}, {_tr('s[3]')}, {_tr('s[4]')}) AS txt FROM y WHERE roi_reason IS NULL
+  UNION ALL
+  SELECT vec_id, 1 AS pos, concat_ws(' ', {_tr('s[5]')}, {_tr('s[6]')}, {_tr('s[7]')}, {_tr('s[8]')}) AS txt FROM y WHERE roi_reason IS NULL)
+SELECT CAST(e.vec_id AS VARCHAR) || '.jpg' AS key, e.vec_id AS prd_no, 'L' || CAST(e.label AS VARCHAR) AS lctgr_nm,
+       CASE WHEN r.pos IS NULL THEN CASE WHEN e.vec_id % 4 = 0 THEN '0 0 1 1' END ELSE r.txt END AS roi,
+       CASE WHEN r.pos IS NULL THEN 'unchanged' WHEN r.pos = 0 THEN 'updated' ELSE 'inserted' END AS action
+FROM embeddings e LEFT JOIN r ON e.vec_id = r.vec_id""",
+    "response_counters": _P + """
+SELECT coalesce(reason, 'ok') AS outcome, count(*) AS n FROM y GROUP BY 1 UNION ALL SELECT 'seen' AS outcome, count(*) AS n FROM y""",
+    "jsonl_variant": """
+SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 < 2 THEN c_acctbal END AS c_acctbal,
+       CASE c_custkey % 3 WHEN 0 THEN 'number' WHEN 1 THEN 'STRING' END AS kind,
+       CASE WHEN c_custkey % 3 < 2 THEN c_mktsegment END AS segment FROM customer""",
+    "enrich_with_status": """
+WITH t AS (SELECT page_id, regexp_extract_all(html, '(?s)<title>(.+?)</title>', 1) AS t FROM pages)
+SELECT page_id, t[1] AS title, CASE len(t) WHEN 0 THEN 'missing' WHEN 1 THEN 'ok' ELSE 'ambiguous' END AS status FROM t""",
     "url_suffix_key": """
 SELECT page_id, CASE WHEN strpos(url, '.example.') > 0 THEN substr(url, strpos(url, '.example.') + 9) END AS key
 FROM pages""",
@@ -287,6 +354,10 @@ QUERIES = {
     "response_project_roi": q_response_project_roi,
     "response_project_first": q_response_project_first,
     "roi_explode": q_roi_explode,
+    "catalogue_upsert": q_catalogue_upsert,
+    "response_counters": q_response_counters,
+    "jsonl_variant": q_jsonl_variant,
+    "enrich_with_status": q_enrich_with_status,
     "url_suffix_key": q_url_suffix_key,
     "feature_neighbors": q_feature_neighbors,
     "request_url": q_request_url,

@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_path
+
 RATING_COLS = ("user", "item", "rating", "fold")
 
 
@@ -53,6 +55,32 @@ def parse_ratings(lines: DataFrame, sep: str = ",", mode: str = "DROPMALFORMED",
     return out.drop("_ok")
 
 
+def rating_reason(value: Column, sep: str = ",") -> Column:
+    """Why a line is no rating, NULL where it is one; in the order fields, user, item, rating, timestamp."""
+    parts = F.split(F.trim(value), re.escape(sep))
+    bad = lambda i, kind: F.try_element_at(parts, F.lit(i)).try_cast(kind).isNull()
+    return F.when(value.isNull() | (F.size(parts) != 4), "fields").when(bad(1, "long"), "user").when(bad(2, "long"), "item") \
+        .when(bad(3, "double"), "rating").when(bad(4, "long"), "timestamp")
+
+
+def title_reason(value: Column) -> Column:
+    """Why a line is no title (id,title[,...]), NULL where it is one."""
+    p = F.from_csv(value, "item STRING, title STRING, rest STRING", {"mode": "PERMISSIVE"})
+    return F.when(value.isNull() | p["item"].try_cast("long").isNull(), "item").when(p["title"].isNull() | (F.trim(p["title"]) == ""), "title")
+
+
+def quarantine(lines: DataFrame, reason: Column, value_col: str = "value", name: str = "quarantine") -> tuple[DataFrame, DataFrame]:
+    """(good lines, rejected lines with their reason), both read back from one written table.
+
+    The input is scanned once: every line goes with its reason to a folder by that reason, below the shared
+    checkpoint folder; the good ones are then read without touching the rejected.
+    """
+    path = shared_path(lines.sparkSession, name)
+    lines.select(F.col(value_col).alias("value"), F.coalesce(reason, F.lit("ok")).alias("reason")).write.partitionBy("reason").parquet(path)
+    back = lines.sparkSession.read.schema("value string, reason string").parquet(path)
+    return back.where("reason = 'ok'").select("value"), back.where("reason <> 'ok'").select("value", "reason")
+
+
 def read_ratings(spark: SparkSession, path: str, sep: str = ",", mode: str = "DROPMALFORMED") -> DataFrame:
     return parse_ratings(spark.read.text(path), sep=sep, mode=mode)
 
