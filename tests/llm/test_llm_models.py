@@ -178,6 +178,29 @@ def test_packing_round_trip(frame, monkeypatch, parts, group, windows):
     check_pieces(rows, texts, 128)
 
 
+def test_packing_words_are_those_of_whole_texts():
+    """Pieces cut at spaces, letters and marks give the ids of whole texts, also beside composing characters."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    chars = [*"abIJKsrevmld\'\'\'  ..,<|>=-19\n\t\x0b\x1c", *"éÉ×÷ªßΣσİſ\u0301\u030c\u0338\u0307—…中\x85\xa0\u2003ﬁ½Å\u0345ŉ각", "<|endoftext|>"]
+    texts = [None, "", *("".join(rng.choices(chars, k=rng.choice([1, 3, 8, 30, 80]))) for _ in range(6000))]
+    for path in (registry.TOKENIZER, registry.TOKENIZER.replace("word_bpe_49k", "byte_bpe_50k")):
+        plain, words = Tokenizer.from_file(path), packing._Words(path)
+        found = [x.tolist() for i in range(0, len(texts), 500) for x in words.ids(pa.array(texts, pa.string()).slice(i, 500))]
+        assert found == [[*e.ids, 1] for e in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_packing_forgets_rare_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "CACHE", 40)
+    words, texts = packing._Words(registry.TOKENIZER), [f"the word{i} of {i * 7919}, again" for i in range(90)]
+    for i in range(0, 90, 9):
+        assert [x.tolist() for x in words.ids(pa.array(texts[i:i + 9]))] == [ids_of(t) for t in texts[i:i + 9]]
+
+
 def test_packing_odd_rows(odd, none):
     rows = packing.pack(odd, registry.TOKENIZER).collect()
     assert sorted((r["doc_id"] or 0) for r in rows if r["doc_tokens"] == 1) == [0, 1, 2, 3]

@@ -18,13 +18,14 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, small
+from .common import cut, kept, pick, small
 
 END = 1
 GROUP = 256             # leftovers merged by one task in a round
 CACHE = 500_000         # distinct pieces whose ids a worker keeps, about
 
-_STATE: dict = {}
+# fixed values: how a tokenizer whose pieces are known to be independent takes words apart
+WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class _Index(dict):
@@ -36,16 +37,18 @@ class _Index(dict):
 
 
 class _Words:
-    """Ids of a text through a cache of its pieces.
-
-    The tokenizer drops white space and never joins across it, and takes a run
-    of letters for itself unless an apostrophe follows. So for texts of Latin
-    letters (where lower case and composition go letter by letter) the ids are
-    those of the pieces, in order. Other texts, and those that may hold the name of
-    a special token, are encoded whole.
+    """Ids of texts through a cache of their pieces.
+
+    A tokenizer that drops white space, composes, takes lower case and matches
+    ``WORDS`` gives a text the ids of its pieces, in order, where pieces end at
+    spaces, tabs and line ends, and between a letter and an ASCII mark or digit other
+    than the apostrophe. Arrow finds the distinct pieces of a batch; Python sees only
+    those. Texts that may hold the name of a special token, and all texts of other
+    tokenizers, are encoded whole.
     """
 
     def __init__(self, path):
+        import json
         import os
         import re
 
@@ -55,12 +58,34 @@ class _Words:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")       # a task has one core; threads cost memory each
         self.np = np
         self.encoder = Tokenizer.from_file(path)
-        self.piece = re.compile("[a-zß-öø-ÿ]++(?![a-zß-öø-ÿªºµĀ-ſ'])|[^ \n]+").findall
-        self.other = re.compile("[^\x00-\u017f]").search
+        spec = json.loads(self.encoder.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        self.cuts = (bool(suffix) and steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": WORDS}
+                     and split.get("behavior") == "Removed" and split.get("invert") is True)
+        vocab = self.encoder.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)           # ids that end a word
+        if self.cuts:
+            self.closes[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        # lower-case letters need no normalising, and a string of them is taken apart at its spaces
+        self.word = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+        if self.cuts:
+            spec["normalizer"] = None
+            split |= {"pattern": {"String": " "}, "invert": False}
+            self.joined = Tokenizer.from_str(json.dumps(spec))
+        self.kind = np.full(256, 3, np.uint8)                           # 0 space, 1 letter, 2 mark or digit, 3 other
+        self.kind[33:127] = 2
+        self.kind[[ord(c) for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = 1
+        self.kind[ord("'")] = 3
+        self.kind[[ord(c) for c in " \t\n"]] = 0
+        self.breaks = np.zeros(16, bool)                                # 4 * kind + kind of the next byte
+        self.breaks[[1, 2, 3, 4, 8, 12, 6, 9]] = True
+        self.lower = np.frombuffer(bytes(range(256)).lower(), np.uint8)
         self.clear()
 
     def clear(self):
-        self.index = _Index({"\n": 0})            # no piece holds a line end: it stands for the closing id
+        self.index = _Index({b"": 0})              # no piece is empty: it stands for the closing id
         self.flat, self.start, self.size = array("I", [END]), array("q", [0]), array("q", [1])
         self.seen = self.np.zeros(CACHE, self.np.int32)          # how often a piece was looked up
 
@@ -77,34 +102,77 @@ class _Words:
                 self.flat.extend(flat[start[k]:start[k] + size[k]])
 
     def learn(self):
-        """Give the new pieces their ids."""
+        """Give the new pieces their ids: words many in one string, where each ends with an id that closes a word."""
+        np = self.np
         new = list(itertools.islice(self.index, len(self.size), None))
-        for i in range(0, len(new), 4096):
-            for e in self.encoder.encode_batch_fast(new[i:i + 4096], add_special_tokens=False):
-                ids = e.ids
-                self.start.append(len(self.flat))
-                self.size.append(len(ids))
-                self.flat.extend(ids)
+        start, size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        words = [k for k, p in enumerate(new) if self.word(p)]
+        joined = set(words)
+        apart = [k for k in range(len(new)) if k not in joined]
+        groups = [words[i:i + 64] for i in range(0, len(words), 64)]
+        for i in range(0, len(groups), 64):
+            texts = [b" ".join([new[k] for k in g]).decode() for g in groups[i:i + 64]]
+            for g, e in zip(groups[i:i + 64], self.joined.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) != len(g) or ends[-1] != len(ids):
+                    apart.extend(g)
+                    continue
+                size[g] = np.diff(ends, prepend=0)
+                start[g] = len(self.flat) + ends - size[g]
+                self.flat.frombytes(ids.tobytes())
+        for i in range(0, len(apart), 4096):
+            some = apart[i:i + 4096]
+            for k, e in zip(some, self.encoder.encode_batch_fast([new[k].decode() for k in some], add_special_tokens=False)):
+                start[k], size[k] = len(self.flat), len(e.ids)
+                self.flat.extend(e.ids)
+        self.start.frombytes(start.tobytes())
+        self.size.frombytes(size.tobytes())
 
     def whole(self, text):
-        return [*self.encoder.encode(text, add_special_tokens=False).ids, END]
+        return self.np.array([*self.encoder.encode(text, add_special_tokens=False).ids, END], self.np.uint32)
+
+    def numbers(self, texts):
+        """Numbers of the pieces of all texts in order, 0 after each text."""
+        import pyarrow as pa
 
-    def ids(self, texts):
-        """One uint32 array per text, with the closing id."""
         np = self.np
+        _, where, data = texts.buffers()
+        ends = np.frombuffer(where, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        raw = np.frombuffer(data or b"", np.uint8)[ends[0]:ends[-1]]
+        ends = ends[1:] - ends[0]
+        if not len(raw):
+            return np.zeros(len(texts), np.int64)
+        lower, kind = self.lower[raw], self.kind[raw]
+        lead = np.flatnonzero(raw >= 0xC3)
+        before = lead[(raw[lead] > 0xC3) & (lead > 0)] - 1
+        lower[before] = raw[before]                                     # a combining mark may follow this letter
+        lead = lead[raw[lead] == 0xC3]
+        lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = 1                                 # letters U+00C0 to U+00FF
+        breaks = self.breaks[(kind[:-1] << 2) | kind[1:]]
+        breaks[ends[(ends > 0) & (ends < len(raw))] - 1] = True
+        cuts = np.concatenate([[0], np.flatnonzero(breaks) + 1, [len(raw)]])
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(lower)])
+        coded = pieces.dictionary_encode()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.index.__getitem__, known), np.int64, len(known))
+        return np.insert(at[coded.indices.to_numpy()], np.searchsorted(cuts[:-1], ends), 0)
+
+    def ids(self, column):
+        """One uint32 array per text of an Arrow column, with the closing id."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        np = self.np
+        texts = pc.fill_null(column.cast(pa.large_string()), "")
+        if not self.cuts:
+            return [self.whole(t) for t in texts.to_pylist()]
         if len(self.index) > CACHE * 3 // 4:
             self.shrink()
-        lists, plain = [], []
-        for i, t in enumerate(texts):
-            t = t or ""
-            if "<|" in t or not t.isascii() and self.other(t):
-                continue
-            pieces = self.piece(t.lower())
-            pieces.append("\n")
-            lists.append(pieces)
-            plain.append(i)
-        total = sum(map(len, lists))
-        at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(lists)), np.int64, total)
+        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        plain, rest = np.flatnonzero(~special), np.flatnonzero(special)
+        at = self.numbers(texts.take(pa.array(plain)) if len(rest) else texts)
         if len(self.index) > len(self.size):
             self.learn()
         flat, start, size = (np.frombuffer(x, k) for x, k in ((self.flat, np.uint32), (self.start, np.int64), (self.size, np.int64)))
@@ -114,16 +182,27 @@ class _Words:
         self.seen[:len(often)] += often.astype(np.int32)
         n = size[at]
         ends = np.cumsum(n)
-        out = flat[np.repeat(start[at] - (ends - n), n) + np.arange(int(ends[-1]) if total else 0)]
-        cuts = ends[np.flatnonzero(at == 0)]
-        parts = dict(zip(plain, np.split(out, cuts[:-1]))) if plain else {}
-        return [parts[i] if i in parts else np.array(self.whole(t), np.uint32) for i, t in enumerate(texts)]
+        out = flat[np.repeat(start[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        parts = [None] * len(texts)
+        for i, part in zip(plain.tolist(), np.split(out, ends[np.flatnonzero(at == 0)])):
+            parts[i] = part
+        for i in rest.tolist():
+            parts[i] = self.whole(texts[i].as_py())
+        return parts
+
 
+def _slices(batches, rows=4096, most=1 << 23):
+    """The batches in slices of at most ``rows`` rows and about ``most`` bytes of text; a longer text is alone."""
+    import numpy as np
+    import pyarrow.compute as pc
 
-def _words(path):
-    if path not in _STATE:
-        _STATE[path] = _Words(path)
-    return _STATE[path]
+    for rb in small(batches, rows):
+        ends = np.cumsum(pc.fill_null(pc.binary_length(rb.column(1)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < rb.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield rb.slice(at, to - at)
+            at = to
 
 
 class _Windows:
@@ -211,9 +290,9 @@ def _pack(path, capacity, most, with_ids):
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 33
-        words, windows, full = _words(path), _Windows(capacity, most), []
-        for rb in small(batches, 128):
-            for key, ids in zip(rb.column(0).to_pylist(), words.ids(rb.column(1).to_pylist())):
+        words, windows, full = kept(("words", path), lambda: _Words(path)), _Windows(capacity, most), []
+        for rb in _slices(batches):
+            for key, ids in zip(rb.column(0).to_pylist(), words.ids(rb.column(1))):
                 full.extend(windows.add(key, ids, len(ids)))
             if len(full) >= 64:
                 yield _rows(full, first, with_ids, capacity)
@@ -265,7 +344,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, open_windows: in
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, as
     little-endian unsigned 32-bit numbers, with ``with_ids``).
 
-    Every document ends with id 1, so an empty or null text is one id. Repeated
+    ``tokenizer`` is the path of any ``tokenizers`` file. Every document ends with id 1, so an empty or null text is one id. Repeated
     rows are packed as often as they occur; a null doc_id stays null. All
     sequences hold ``capacity`` ids but for the last few, whose lengths are
     powers of two. An empty table gives an empty result.
