@@ -152,6 +152,38 @@ def test_sweep_learns_and_uses_its_axes(spark):
     assert out[0].minibatch_loss != out[1].minibatch_loss          # the decay matters
 
 
+def test_sweep_gradient_is_the_slope_of_the_loss():
+    rng = np.random.default_rng(1)
+    net = SW._start(rng, 3, 4, 3)
+    x, y = rng.normal(size=(7, 3)), rng.integers(0, 3, 7)
+    found = SW._gradient(net, x, y)[1:]
+    for w, g in zip(net, found):
+        for at in np.ndindex(w.shape):
+            kept, both = w[at], []
+            for step in (1e-6, -1e-6):
+                w[at] = kept + step
+                both.append(SW._gradient(net, x, y)[0])
+            w[at] = kept
+            assert abs((both[0] - both[1]) / 2e-6 - g[at]) < 1e-5
+
+
+def test_sweep_in_blocks_is_plain_descent(spark, monkeypatch):
+    """Many blocks and partitions give the weights of one matrix; a fit that diverges keeps the sentinel."""
+    monkeypatch.setattr(SW, "BLOCK", 5)
+    df = separable(spark)
+    rows = df.collect()
+    x, y = np.array([r.v for r in rows], float), np.array([r.label for r in rows])
+    out = SW.sweep(df, df, df.limit(0), "v", "label", 3, rates=(0.05, float("inf")), sizes=(6,), max_iter=3).orderBy("grid_pos").collect()
+    net = SW._start(np.random.default_rng([7, 6]), x.shape[1], 6, 3)
+    for epoch in range(2):
+        for _ in range(3):
+            loss, *grads = SW._gradient(net, x, y)
+            net = [w - SW.STEP * 0.05 * 0.95 ** epoch / len(y) * g for w, g in zip(net, grads)]
+    assert abs(out[0].minibatch_loss - loss / len(y)) < 1e-9
+    assert abs(out[0].validation_error - 100 * SW._wrong(net, x, y)[0] / len(y)) < 1e-9 and out[0].test_error == SW.SENTINEL
+    assert (out[1].minibatch_loss, out[1].validation_error, out[1].test_error) == (SW.SENTINEL,) * 3
+
+
 def test_sweep_raises_what_is_no_divergence(spark):
     df = separable(spark)
     with pytest.raises(Exception):

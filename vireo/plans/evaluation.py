@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ranking as R
+from ..operators import resampling as RS
 from ..sources import load_table
 
 QUERY = "o_custkey"
 ORDER = ["o_orderdate", "o_orderkey"]
+REPLICATES = 200
 
 
 def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +103,21 @@ def q_eval_sweep(spark, sf_dir):
     return out.select("metric", "k", F.round("score", 6).alias("score"))
 
 
+def _bootstrap(spark, sf_dir):
+    """Means of nDCG@5 and AP@5 in 200 samples of the customers, drawn with replacement."""
+    per = R.per_query_sweep(ranked(spark, sf_dir, 5), QUERY, ks=(5,), source=source(spark, sf_dir))
+    return RS.bootstrap_means(per.select(QUERY, "ndcg", "ap"), QUERY, ["ndcg", "ap"], REPLICATES)
+
+
+def q_bootstrap_means(spark, sf_dir):
+    return _bootstrap(spark, sf_dir).select("replicate", "n", F.round("ndcg", 6).alias("ndcg"), F.round("ap", 6).alias("ap"))
+
+
+def q_bootstrap_intervals(spark, sf_dir):
+    out = RS.bootstrap_intervals(_bootstrap(spark, sf_dir), ["ndcg", "ap"])
+    return out.select("metric", *[F.round(c, 6).alias(c) for c in ("low", "median", "high")])
+
+
 # Shared SQL for the oracle: same mapping in DuckDB.
 _RANKED_SQL = """
 WITH ev AS (
@@ -191,6 +208,24 @@ UNION ALL
 SELECT 'map' AS metric, CAST(k AS INTEGER) AS k, round(avg(ap), 6) AS score FROM q GROUP BY k
 """,
 }
+_BOOTSTRAP_SQL = _RANKED_SQL + f"""
+, ideal AS (
+  SELECT o_custkey, rel, row_number() OVER (PARTITION BY o_custkey ORDER BY rel DESC, pos) AS ipos FROM ranked),
+d AS (SELECT o_custkey, sum(rel * {_disc('pos', 0)}) AS dcg, avg(cum_bin / pos) AS ap FROM ranked WHERE pos <= 5 GROUP BY o_custkey),
+i AS (SELECT o_custkey, sum(rel * {_disc('ipos', 0)}) AS idcg FROM ideal WHERE ipos <= 5 GROUP BY o_custkey),
+per AS (SELECT o_custkey, CASE WHEN idcg = 0 THEN 0.0 ELSE dcg / idcg END AS ndcg, ap FROM d JOIN i USING (o_custkey)),
+hashed AS (
+  SELECT replicate, ndcg, ap, CAST('0x' || substr(md5(replicate || ':' || o_custkey), 1, 8) AS BIGINT) AS h
+  FROM per, (SELECT unnest(range(0, {REPLICATES})) AS replicate)),
+drawn AS (SELECT *, {" + ".join(f"CAST(h >= {x} AS BIGINT)" for x in RS.poisson_steps())} AS w FROM hashed),
+means AS (
+  SELECT CAST(replicate AS INTEGER) AS replicate, CAST(sum(w) AS BIGINT) AS n, sum(w * ndcg) / sum(w) AS ndcg, sum(w * ap) / sum(w) AS ap
+  FROM drawn GROUP BY replicate HAVING sum(w) > 0)
+"""
+ORACLE["bootstrap_means"] = _BOOTSTRAP_SQL + "SELECT replicate, n, round(ndcg, 6) AS ndcg, round(ap, 6) AS ap FROM means"
+ORACLE["bootstrap_intervals"] = _BOOTSTRAP_SQL + " UNION ALL ".join(f"""
+SELECT '{m}' AS metric, round(quantile_cont({m}, 0.025), 6) AS low, round(quantile_cont({m}, 0.5), 6) AS median,
+       round(quantile_cont({m}, 0.975), 6) AS high FROM means""" for m in ("ndcg", "ap"))
 
 QUERIES = {
     "rank_lists": q_rank_lists,
@@ -207,4 +242,6 @@ QUERIES = {
     "mean_average_precision": q_mean_average_precision,
     "prefix_precision": q_prefix_precision,
     "eval_sweep": q_eval_sweep,
+    "bootstrap_means": q_bootstrap_means,
+    "bootstrap_intervals": q_bootstrap_intervals,
 }

@@ -156,7 +156,7 @@ def q_sweep_mlp(spark, sf_dir):
     """The whole grid of 50 configurations: its axes, and whether each fit gave figures that make sense."""
     rows = classifier_rows(spark, sf_dir)
     out = SW.sweep(rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "validation"),
-                   rows.filter(F.col("split") == "test"), "embedding", "label", n_classes=10, parallelism=8)
+                   rows.filter(F.col("split") == "test"), "embedding", "label", n_classes=10)
     error = lambda c: F.col(c).between(0.0, 100.0)
     return out.select("grid_pos", F.round("base_learning_rate", 6).alias("base_learning_rate"), "decay_rate", "fc1_size",
                       (F.col("minibatch_loss") < SW.SENTINEL).alias("trained"),
