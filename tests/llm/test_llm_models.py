@@ -211,18 +211,53 @@ def test_packing_odd_rows(odd, none):
 # fingerprints by weighted sampling
 
 def jaccard(a, b):
-    x, y = (Counter(weighted._terms(t).tolist()) for t in (a, b))
+    """Generalised Jaccard similarity of the counts of neighbouring words, from the words themselves."""
+    def pairs(text):
+        words = [None, *text.split(), None]
+        return Counter(zip(words, words[1:]))
+
+    x, y = pairs(a), pairs(b)
     return sum((x & y).values()) / sum((x | y).values())
 
 
 def test_likeness_estimates_generalised_jaccard():
     rng = random.Random(3)
-    errors = []
-    for _ in range(60):
-        words = [f"w{rng.randrange(50)}" for _ in range(120)]
-        a, b = " ".join(words), " ".join(words[:rng.randrange(120)] + [f"w{rng.randrange(50)}" for _ in range(60)])
-        errors.append(weighted.likeness(weighted.signature(a), weighted.signature(b)) - jaccard(a, b))
-    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.07
+    for kinds in (5, 50, 2000):               # many, some and hardly any repeated pairs
+        errors = []
+        for _ in range(80):
+            words = [f"w{rng.randrange(kinds)}" for _ in range(120)]
+            a, b = " ".join(words), " ".join(words[:rng.randrange(120)] + [f"w{rng.randrange(kinds)}" for _ in range(60)])
+            errors.append(weighted.likeness(weighted.signature(a), weighted.signature(b)) - jaccard(a, b))
+        assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.07
+
+
+def test_likeness_of_equal_words_in_other_numbers():
+    for n in (2, 3, 7):
+        got = []
+        for i in range(60):
+            a = " ".join([f"x{i} y{i}"] * 20)
+            b = " ".join([f"x{i} y{i}"] * (20 * n))
+            got.append(weighted.likeness(weighted.signature(a), weighted.signature(b)) - jaccard(a, b))
+        assert abs(np.mean(got)) < 0.03
+
+
+def test_long_texts_without_a_common_word_are_unlike():
+    for n in (20_000, 100_000, 400_000):
+        a, b = (" ".join(f"{c}{i}" for i in range(n)) for c in "ab")
+        sig = weighted.signature(a)
+        assert weighted.likeness(sig, weighted.signature(b)) < 0.02
+        assert abs(weighted.likeness(sig, weighted.signature(a + " " + a)) - 0.5) < 0.2
+
+
+def test_draws_have_the_stated_distributions():
+    term = weighted._terms(" ".join(f"t{i}" for i in range(4000)))
+    a, s, e = (weighted._exponential(weighted._numbers(term, draw)) for draw in "asz")
+    lnz = np.log1p(e / a)
+    r, c = s + lnz, a * np.exp(lnz)
+    for x, mean, var in ((r, 2, 2), (c, 2, 2), (s / r, 1 / 2, 1 / 12), (a, 1, 1)):
+        assert abs(x.mean() - mean) < 0.03 * mean and abs(x.var() - var) < 0.05 * var
+    for x, y in ((r, c), (r, s / r), (c, s / r)):
+        assert abs(np.corrcoef(x.ravel(), y.ravel())[0, 1]) < 0.02
 
 
 def test_neighbours_match_brute_force(frame):

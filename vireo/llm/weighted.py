@@ -1,14 +1,22 @@
 """Document fingerprints by consistent weighted sampling.
 
 Terms are pairs of neighbouring words (white-space separated, with a mark at
-either end of the text), weighted by their count and hashed into ``TERMS``
-buckets. For each of ``SAMPLES`` samples and each bucket three numbers are
-drawn once: r, c ~ Gamma(2, 1) and b ~ U(0, 1). A term of weight w has
-t = floor(ln w / r + b), and ln a = ln c - r (t + 1 - b); the term of least a
-is the sample. Two texts agree in a sample with a probability that is the
-generalised Jaccard similarity of their weights. As a is continuous, the least
-a stands for the pair (term, t); its low bits are the signature byte, and the
+either end of the text), weighted by their count and told apart by 64-bit
+hashes. For each of ``SAMPLES`` samples a term has r, c ~ Gamma(2, 1) and
+b ~ U(0, 1). A term of weight w has t = floor(ln w / r + b), and
+ln a = ln c - r (t + 1 - b); the term of least a is the sample. Two texts agree
+in a sample with a probability that is the generalised Jaccard similarity of
+their weights. The signature byte is a hash of the winning (term, t), and the
 likeness is the share of equal bytes, less what chance adds.
+
+The draws of a term come from its hash alone, whatever other terms there are.
+At weight 1, a follows Exp(1) and is independent of y = exp(-r b), which is
+uniform, and z = c / a follows 1 + Exp(1) / a. So a is drawn first, as
+-ln(1 - u), with u from tabulation hashing: three parts of the hash choose rows
+of random 32-bit numbers, which are added. A term of weight 1 needs no more than
+u, as the least a has the least u. For a greater weight s = -ln y and the
+Exp(1) of z are drawn likewise from tables of their own, and r = s + ln z,
+c = a z, b = s / r have the stated distributions.
 """
 
 from __future__ import annotations
@@ -20,29 +28,26 @@ from pyspark.sql import functions as F
 
 from .common import pick, small
 
-TERMS = 1 << 17
 SAMPLES = 128
 SEED = 20_16
+PART = 12            # bits of a term's hash that choose a row of one table
 
 _DRAWN: dict = {}
 
 
 def _draws():
-    """Per bucket and sample: ln c, r, b, and ln a for weight 1 (the same in every worker)."""
+    """Three tables of random 32-bit numbers for each draw, a row of SAMPLES for each part (the same in every worker; 19 MB)."""
     import numpy as np
 
     if not _DRAWN:
         rng = np.random.Generator(np.random.Philox(SEED))
-        shape = (TERMS, SAMPLES)
-        r = rng.standard_gamma(2.0, shape, dtype=np.float32)
-        c = np.log(rng.standard_gamma(2.0, shape, dtype=np.float32))
-        b = rng.random(shape, dtype=np.float32)
-        _DRAWN.update(r=r, c=c, b=b, one=c - r * (1 - b))
+        for draw in ("a", "s", "z"):
+            _DRAWN[draw] = [rng.integers(0, 1 << 32, (1 << PART, SAMPLES), dtype=np.uint32) for _ in range(3)]
     return _DRAWN
 
 
 def _terms(text):
-    """Buckets of the pairs of neighbouring words."""
+    """64-bit hashes of the pairs of neighbouring words."""
     import numpy as np
     import xxhash
 
@@ -53,29 +58,61 @@ def _terms(text):
     h[1:-1] = [h64(w) for w in words]
     pair = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
     pair ^= pair >> np.uint64(29)
-    return (pair * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - (TERMS.bit_length() - 1))
+    pair *= np.uint64(0xBF58476D1CE4E5B9)
+    return pair ^ (pair >> np.uint64(32))
+
+
+def _numbers(term, draw):
+    """The numbers u of a draw, (terms, SAMPLES)."""
+    import numpy as np
+
+    made = None
+    for i, rows in enumerate(_draws()[draw]):
+        part = rows[((term >> np.uint64(i * PART)) & np.uint64((1 << PART) - 1)).astype(np.int64)]
+        made = part if made is None else np.add(made, part, out=made)
+    return made
+
+
+def _exponential(u):
+    """a ~ Exp(1) for 32-bit numbers u, rising with u."""
+    import numpy as np
+
+    return -np.log1p((u + 0.5) * -(2.0 ** -32))
+
+
+def _weighted(term, weight):
+    """a and an integer for (term, t), each (terms, SAMPLES), of terms of the given weights; at t = 0 the integer is u."""
+    import numpy as np
+
+    u = _numbers(term, "a")
+    a, s = _exponential(u), _exponential(_numbers(term, "s"))
+    lnz = np.log1p(_exponential(_numbers(term, "z")) / a)
+    r = s + lnz
+    t = np.floor((np.log(weight)[:, None] + s) / r)
+    t[weight == 1] = 0
+    a = np.where(t > 0, a * np.exp(lnz + s - r * (t + 1)), a)
+    return a, u + t.astype(np.uint32) * np.uint32(0x9E3779B1)
 
 
 def signature(text):
     """SAMPLES bytes; the text is split in words as it stands."""
     import numpy as np
 
-    d = _draws()
-    bucket, weight = np.unique(_terms(text), return_counts=True)
-    bucket = bucket.astype(np.int64)
-    least = np.full(SAMPLES, np.inf, np.float32)
-    one = bucket[weight == 1]
-    for i in range(0, len(one), 4096):
-        np.minimum(least, d["one"][one[i:i + 4096]].min(axis=0), out=least)
-    more, w = bucket[weight > 1], np.log(weight[weight > 1].astype(np.float32))
-    for i in range(0, len(more), 4096):
-        at = more[i:i + 4096]
-        r, b = d["r"][at], d["b"][at]
-        t = np.floor(w[i:i + 4096, None] / r + b)
-        np.minimum(least, (d["c"][at] - r * (t + 1 - b)).min(axis=0), out=least)
-    bits = least.view(np.uint32)
-    bits = (bits ^ (bits >> np.uint32(13))) * np.uint32(0x85EBCA6B)
-    return (bits >> np.uint32(24)).astype(np.uint8)
+    term, weight = np.unique(_terms(text), return_counts=True)
+    one, heavy, weight = term[weight == 1], term[weight > 1], weight[weight > 1].astype(np.float64)
+    found = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(one), 256):
+        np.minimum(found, _numbers(one[i:i + 256], "a").min(axis=0), out=found)
+    least = _exponential(found) if len(one) else np.full(SAMPLES, np.inf)
+    every = np.arange(SAMPLES)
+    for i in range(0, len(heavy), 256):
+        a, kind = _weighted(heavy[i:i + 256], weight[i:i + 256])
+        at = a.argmin(axis=0)
+        less = a[at, every] < least
+        least, found = np.where(less, a[at, every], least), np.where(less, kind[at, every], found)
+    found = (found ^ (found >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    found = (found ^ (found >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (found >> np.uint32(24)).astype(np.uint8)
 
 
 def likeness(a, b):
