@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_only
 from ..functions.vectors import dot
+from ..operators import als_path as AP
 from ..operators import recommend as RC
 from ..sources import load_table
 from ..sources import ratings as RS
@@ -219,6 +220,22 @@ def q_als_grid_search(spark, sf_dir):
                        (F.col("is_best") == (F.col("grid_pos") == least)).alias("best_is_argmin"))
 
 
+PATH_RANKS, PATH_LAMBDAS, PATH_ITERATIONS = (2, 4, 8, 16), (0.01, 0.5, 0.1, 0.2, 0.4), 12       # fixed values: the grid
+
+
+def q_als_validation_path(spark, sf_dir):
+    """The whole grid of 240 points: rows scored, whether errors are finite, the objective never rises and the best is the argmin."""
+    r, train = _als_data(spark, sf_dir)
+    points, _, _ = AP.validation_path(train, RC.split(r, "validation"), PATH_RANKS, PATH_LAMBDAS, PATH_ITERATIONS)
+    mean = train.select(F.stddev_pop("rating")).scalar()
+    least = points.select(F.min("val_rmse")).scalar()
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) > 0)
+    return AP.with_descent(points).select(
+        "grid_pos", "lam", "rank", "iters", "n_scored", (finite("train_rmse") & finite("val_rmse")).alias("finite"), "descends",
+        F.when(F.col("lam") < 0.05, F.col("train_rmse") < mean).alias("beats_mean"),
+        (F.col("is_best") == (F.col("val_rmse") == least)).alias("best_is_argmin"))
+
+
 def _checked(recs, model, items, rated, user):
     """One row: how many items were recommended, and whether they are unseen, in order and scored by the factors."""
     seen = rated.filter(F.col("user") == user).select("item").distinct().withColumn("_seen", F.lit(True))
@@ -376,6 +393,15 @@ SELECT split, count(*) AS n,
     "als_grid_search": """
 SELECT CAST(grid_pos AS INTEGER) AS grid_pos, CAST(0.1 AS DOUBLE) AS lam, CAST(rank AS INTEGER) AS rank, CAST(7 AS INTEGER) AS iters,
        true AS finite, true AS best_is_argmin FROM (VALUES (0, 8), (1, 16)) g(grid_pos, rank)""",
+    "als_validation_path": _ALS + f"""
+, grid AS (
+    SELECT l.i, l.lam, k.j, k.rank, t.iters
+    FROM (SELECT unnest(range(5)) AS i, unnest([0.01, 0.5, 0.1, 0.2, 0.4]::DOUBLE[]) AS lam) l,
+         (SELECT unnest(range(4)) AS j, unnest([2, 4, 8, 16]) AS rank) k, (SELECT unnest(range(1, 13)) AS iters) t)
+SELECT CAST((i * 4 + j) * 12 + iters - 1 AS INTEGER) AS grid_pos, lam, CAST(rank AS INTEGER) AS rank, CAST(iters AS INTEGER) AS iters,
+       (SELECT count(*) FROM o WHERE fold >= 6 AND fold < 8 AND "user" IN (SELECT "user" FROM known) AND item IN (SELECT item FROM things)) AS n_scored,
+       true AS finite, true AS descends, CASE WHEN lam < 0.05 THEN true END AS beats_mean, true AS best_is_argmin
+FROM grid""",
     "als_recommend_unseen": _ALS + f"""
 SELECT {_recommended(PERSONAL_USER, 'personal')} AS n, CAST(0 AS BIGINT) AS n_seen, true AS ordered, true AS scores_match,
        {_recommended(PERSONAL_USER, 'personal')} AS n_titles""",
@@ -422,6 +448,7 @@ QUERIES = {
     "best_config": q_best_config,
     "als_explicit_holdout": q_als_explicit_holdout,
     "als_grid_search": q_als_grid_search,
+    "als_validation_path": q_als_validation_path,
     "als_recommend_unseen": q_als_recommend_unseen,
     "als_factors": q_als_factors,
     "als_save_load": q_als_save_load,
