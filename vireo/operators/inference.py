@@ -2,7 +2,7 @@
 
 The model is a weight matrix (classes x features). It is fitted with a
 distributed aggregate, collected as one row per class, then shipped to the
-executors (as a literal for the expression path, as a broadcast variable for
+executors (as one array constant for the expression path, as a broadcast variable for
 the Arrow path), like the reference shipped its model bytes with
 ``sc.broadcast``: a model has to fit a worker, whatever the data's size.
 
@@ -14,6 +14,8 @@ the Arrow path), like the reference shipped its model bytes with
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,15 +38,17 @@ def collect_model(weights: DataFrame) -> tuple[list[int], np.ndarray]:
 
 
 def logits_expr(vec: str | Column, w: np.ndarray, temperature: float = 1.0) -> Column:
-    """Array of per-class logits ``temperature * x . w_c`` as Spark expressions."""
-    cols = [dot(vec, F.array(*[F.lit(float(x)) for x in row])) * F.lit(float(temperature)) for row in w]
-    return F.array(*cols)
+    """Array of per-class logits ``temperature * x . w_c`` as Spark expressions. The finite
+    weights are one constant that the optimizer folds, not an expression per weight."""
+    model = F.from_json(F.lit(json.dumps(np.asarray(w, dtype=np.float64).tolist(), allow_nan=False)), "array<array<double>>")
+    return F.transform(model, lambda row: dot(vec, row) * F.lit(float(temperature)))
 
 
 def predict_class(vec: str | Column, classes: list[int], w: np.ndarray) -> Column:
     """Class id with the highest logit (first on ties)."""
-    lg = logits_expr(vec, w)
-    pos = F.array_position(lg, F.array_max(lg))
+    # a one-element array binds the logits, so that they are computed once per row
+    first = lambda lg: F.array_position(lg, F.array_max(lg))
+    pos = F.element_at(F.transform(F.array(logits_expr(vec, w)), first), 1)
     return F.element_at(F.array(*[F.lit(c) for c in classes]), pos.cast("int"))
 
 
