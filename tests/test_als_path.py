@@ -60,6 +60,25 @@ def test_path_matches_plain_least_squares(spark):
     assert users.count() == 3 * 2 * 2 * len({r[0] for r in rows})
 
 
+@pytest.mark.parametrize("users,items", [(40, 6), (6, 40)])
+def test_factors_travel_once_per_id_and_block(spark, monkeypatch, users, items):
+    """Of either side: what leaves a block or comes to it is one row per id, not one per rating and grid point."""
+    monkeypatch.setattr(AP, "BLOCK", 50)                    # hot ids lie in several blocks
+    rows, train = data(spark, 500, users, items)
+    blocks = AP._Blocks(train, train.limit(0), AP.Layout((2,), (0.1, 0.5)))
+    many = blocks.train.select("block").distinct().count()
+    assert many >= 8 and blocks.home == ("user" if users > items else "item")
+    start = AP.starting_factors(train.selectExpr("item AS id").distinct(), [2], [0.1], 42)
+    v = {r["id"]: np.array(r["v"]) for r in start.collect()}
+    first = start.selectExpr("CAST(null AS INT) AS block", "id", "concat(v, v) AS v")
+    made = blocks.half_step("user", first)
+    got = {r["id"]: r["v"] for r in made.collect()}
+    assert made.count() == len(got) == len({r[0] for r in rows})
+    x, _ = plain(rows, v, 0.1, 2, 1)[0]
+    assert all(np.allclose(got[u][:2], w) for u, w in x.items())
+    assert blocks.brought(made, "user").count() == blocks.route["user"].count() <= len(rows)
+
+
 def test_path_of_empty_tables_and_bad_arguments(spark):
     _, train = data(spark, 30)
     none = train.limit(0)

@@ -3,10 +3,15 @@
 A fit of ``n`` iterations passes through the factors of all shorter fits, so a grid of
 (lambda, rank, iterations) needs no fit of its own for each number of iterations. A half
 step solves, for every id, its regularised least squares given the factors of the other
-side. The normal equations are plain sums, added up in Arrow batches before the shuffle, so an
-id with a third of all ratings is one row per task; all lambdas and ranks take the step in
-one job, and the small dense systems are solved where their sums meet. The error on the training rows and the
-penalised objective follow from the same sums; only the validation rows are scored again.
+side, for all lambdas and ranks at once: an id is one row with the factors of the whole grid.
+
+The ratings are dealt once into blocks, by ranges of the side with more ids, and stay there. A half
+step brings to each block the factors it needs, once for each id, and adds up the normal equations
+inside. Ids of one block alone are solved in it; of ids in several blocks (a hot one, and all of the
+side with fewer ids) each block passes on one row of sums. Validation rows lie in the same blocks and
+are scored after every iteration. So what travels grows with the ids of a block, not with
+ratings times grid points. The error on the training rows and the penalised objective follow from the
+same sums; only the validation rows are scored again.
 """
 
 from __future__ import annotations
@@ -19,113 +24,244 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-FACTORS = "rank int, lam double, id long, v array<double>, gain double, penalty double"
+FACTORS = "block int, id long, v array<double>, gain array<double>, penalty array<double>, sums array<double>"
+BLOCK = 1 << 20      # ratings of a block, about
+CHUNK = 1 << 14      # ratings whose products are held at once
 
 
-SUMS = "rank int, lam double, id long, sums array<double>"
-HELD = 8192          # keys that a map task adds up before it passes them on
+class Layout:
+    """Places of (rank, lambda) in the factors and in the sums (count, sum r v, upper triangle of sum v v') of an id."""
 
-
-def _added(parts):
-    """[(id, lam, sums)] blocks -> one block, sorted, with one row per (id, lam)."""
-    import numpy as np
-
-    ids, lam, sums = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((lam, ids))
-    ids, lam, sums = ids[order], lam[order], sums[order]
-    first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (lam[1:] != lam[:-1])])
-    return ids[first], lam[first], np.add.reduceat(sums, first, axis=0)
-
-
-def _blocks(rb):
-    """(rank, rows of that rank) of a batch, by rising rank."""
-    import numpy as np
-
-    rank = rb.column(0).to_numpy()
-    for k in np.unique(rank).tolist():
-        yield k, rb.filter(rank == k) if (rank != k).any() else rb
+    def __init__(self, ranks, lambdas):
+        self.parts, self.width, self.held = [], 0, 0
+        for k in ranks:
+            for lam in lambdas:
+                size = 1 + k + k * (k + 1) // 2
+                self.parts.append((k, float(lam), slice(self.width, self.width + k), slice(self.held, self.held + size)))
+                self.width, self.held = self.width + k, self.held + size
 
 
 def _matrix(column, n):
+    import pyarrow as pa
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 
 
-def _equations(batches):
-    """(rank, lam, id, rating, v) rows -> normal equations (count, sum r v, upper triangle of sum v v'), added up while few enough to hold."""
-    import numpy as np
+def _lists(m):
     import pyarrow as pa
 
-    held = {}
+    return pa.FixedSizeListArray.from_arrays(m.ravel(), m.shape[1]).cast(pa.list_(pa.float64()))
 
-    def out(k):
-        ids, lam, sums = held.pop(k)[0]
-        return pa.record_batch([pa.array(np.full(len(ids), k, np.int32)), pa.array(lam), pa.array(ids),
-                                pa.FixedSizeListArray.from_arrays(sums.ravel(), sums.shape[1]).cast(pa.list_(pa.float64()))],
-                               names=["rank", "lam", "id", "sums"])
 
-    for rb in batches:
-        for k, rows in _blocks(rb):
-            lam, ids, rating = (rows.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3))
-            v = _matrix(rows.column(4), rows.num_rows)
-            i, j = np.triu_indices(k)
-            block = ids, lam, np.concatenate([np.ones((len(v), 1)), rating[:, None] * v, v[:, i] * v[:, j]], axis=1)
-            held[k] = [_added([*held.get(k, []), block])]
-            if len(held[k][0][0]) > HELD:
-                yield out(k)
-    for k in list(held):
-        yield out(k)
+def _added(at, n, rating, v):
+    """Normal equations of ``n`` ids: row i belongs to id ``at[i]`` (rising), has ``rating[i]`` and the factors ``v[i]``."""
+    import numpy as np
+
+    k = v(slice(0, 0)).shape[1]
+    i, j = np.triu_indices(k)
+    out = np.zeros((n, 1 + k + len(i)))
+    for begin in range(0, len(at), CHUNK):
+        rows = slice(begin, begin + CHUNK)
+        x, ids = v(rows), at[rows]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        products = np.concatenate([np.ones((len(x), 1)), rating[rows, None] * x, x[:, i] * x[:, j]], axis=1)
+        out[ids[first]] += np.add.reduceat(products, first, axis=0)
+    return out
 
 
-def _solved(k, ids, lam, sums):
+def _solved(k, lam, sums):
     """Factors, with b.v (gain) and n |v|^2 (penalty)."""
     import numpy as np
-    import pyarrow as pa
 
-    n, b, a = sums[:, 0], sums[:, 1:k + 1], np.empty((len(ids), k, k))
+    n, b, a = sums[:, 0], sums[:, 1:k + 1], np.empty((len(sums), k, k))
     i, j = np.triu_indices(k)
     a[:, i, j] = a[:, j, i] = sums[:, k + 1:]
     a[:, range(k), range(k)] += (lam * n)[:, None]
     v = np.linalg.solve(a, b[:, :, None])[:, :, 0]
-    return pa.record_batch([pa.array(np.full(len(ids), k, np.int32)), pa.array(lam), pa.array(ids),
-                            pa.FixedSizeListArray.from_arrays(v.ravel(), k).cast(pa.list_(pa.float64())),
-                            pa.array((b * v).sum(axis=1)), pa.array(n * (v * v).sum(axis=1))],
-                           names=["rank", "lam", "id", "v", "gain", "penalty"])
-
-
-def _solve(batches):
-    """Normal equations sorted by (rank, id, lam) -> factors; the last key of a batch waits for the next batch."""
-    wait = None
-    for rb in batches:
-        for k, rows in _blocks(rb):
-            lam, ids = (rows.column(c).to_numpy() for c in (1, 2))
-            parts = [(ids, lam, _matrix(rows.column(3), rows.num_rows))]
-            if wait and wait[0] == k:
-                parts.append(wait[1:])
-            elif wait:
-                yield _solved(*wait)
-            ids, lam, sums = _added(parts)
-            wait = k, ids[-1:], lam[-1:], sums[-1:]
-            if len(ids) > 1:
-                yield _solved(k, ids[:-1], lam[:-1], sums[:-1])
-    if wait:
-        yield _solved(*wait)
-
-
-def _half_step(rows: DataFrame, factors: DataFrame) -> DataFrame:
-    """(id, other, rating) rows and the factors of ``other`` -> the factors of ``id``, for all ranks and lambdas."""
-    given = rows.join(factors.select("rank", "lam", F.col("id").alias("other"), "v"), "other").select("rank", "lam", "id", "rating", "v")
-    sums = given.mapInArrow(_equations, SUMS).repartition("rank", "id").sortWithinPartitions("rank", "id", "lam")
-    return sums.mapInArrow(_solve, FACTORS).checkpoint()
+    return v, (b * v).sum(axis=1), n * (v * v).sum(axis=1)
+
+
+def _factors(layout, block, ids, sums_of):
+    """Rows of FACTORS for ids whose sums are whole; ``sums_of`` gives the sums of a place of the grid."""
+    import numpy as np
+    import pyarrow as pa
+
+    v, gain, penalty = np.empty((len(ids), layout.width)), *np.empty((2, len(ids), len(layout.parts)))
+    for g, (k, lam, place, _) in enumerate(layout.parts):
+        v[:, place], gain[:, g], penalty[:, g] = _solved(k, lam, sums_of(g))
+    return [pa.array(np.full(len(ids), block, np.int32), mask=np.full(len(ids), block < 0)), pa.array(ids, pa.int64()),
+            _lists(v), _lists(gain), _lists(penalty), pa.nulls(len(ids), pa.list_(pa.float64()))]
+
+
+NAMES = ["block", "id", "v", "gain", "penalty", "sums"]
+
+
+def _in_block(layout, solve, given, spread):
+    """Cogroup of a block's ratings and the factors of the ids in column ``given``: factors of the ids in column ``solve``, or
+    sums of those in ``spread`` (None: of all)."""
+
+    def run(rows, factors):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, others, rating = (rows.column(c).to_numpy() for c in (solve, given, "rating"))
+        known = factors.column("id").to_numpy()
+        if not len(ids) or not len(known):
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), *[pa.list_(pa.float64())] * 4)], names=NAMES)
+        order = np.argsort(known, kind="stable")
+        known, v = known[order], _matrix(factors.column("v"), len(known))[order]
+        at = np.minimum(np.searchsorted(known, others), len(known) - 1)
+        use = np.flatnonzero(known[at] == others)
+        use = use[np.argsort(ids[use], kind="stable")]
+        at, rating = at[use], rating[use]
+        found, of = np.unique(ids[use], return_inverse=True)
+        part = np.ones(len(found), bool) if spread is None else np.isin(found, spread)
+        whole, held = np.flatnonzero(~part), np.empty((part.sum(), layout.held))
+
+        def sums_of(g):
+            _, _, place, sums = layout.parts[g]
+            out = _added(of, len(found), rating, lambda r: v[at[r], place])
+            held[:, sums] = out[part]
+            return out[whole]
+
+        done = _factors(layout, rows.column("block")[0].as_py(), found[whole], sums_of)
+        none = pa.nulls(len(held), pa.list_(pa.float64()))
+        more = [pa.nulls(len(held), pa.int32()), pa.array(found[part], pa.int64()), none, none, none, _lists(held)]
+        return pa.table([pa.chunked_array([a, b]) for a, b in zip(done, more)], names=NAMES)
+
+    return run
+
+
+def _solve(layout):
+    """Sums sorted by id -> factors; the last id of a batch waits for the next batch."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def out(ids, sums):
+            return pa.record_batch(_factors(layout, -1, ids, lambda g: sums[:, layout.parts[g][3]]), names=NAMES)
+
+        ids, sums = np.zeros(0, np.int64), np.zeros((0, layout.held))
+        for rb in batches:
+            for begin in range(0, rb.num_rows, 1024):
+                rows = rb.slice(begin, 1024)
+                ids = np.r_[ids, rows.column("id").to_numpy()]
+                sums = np.r_[sums, _matrix(rows.column("sums"), rows.num_rows)]
+                first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+                ids, sums = ids[first], np.add.reduceat(sums, first, axis=0)
+                if len(ids) > 1:
+                    yield out(ids[:-1], sums[:-1])
+                    ids, sums = ids[-1:], sums[-1:]
+        if len(ids):
+            yield out(ids, sums)
+
+    return run
+
+
+def _merged(layout, sums):
+    return sums.select("id", "sums").repartition("id").sortWithinPartitions("id").mapInArrow(_solve(layout), FACTORS)
 
 
 def starting_factors(ids: DataFrame, ranks: Sequence[int], lambdas: Sequence[float], seed: int) -> DataFrame:
     """Positive numbers below 1 / sqrt(rank) from a hash of id, place and seed: the same for every lambda and every run."""
-    number = lambda k, j: (F.pmod(F.xxhash64("id", F.lit(j), F.lit(seed)), F.lit(1 << 30)) + 1) / float(1 << 30) / k ** 0.5
     made = [ids.select(F.lit(k).alias("rank"), F.explode(F.array(*[F.lit(float(x)) for x in lambdas])).alias("lam"), "id",
-                       F.array(*[number(k, j) for j in range(k)]).alias("v")) for k in ranks]
+                       _start(k, seed).alias("v")) for k in ranks]
     return reduce(DataFrame.unionByName, made)
 
 
+def _start(k, seed):
+    number = lambda j: (F.pmod(F.xxhash64("id", F.lit(j), F.lit(seed)), F.lit(1 << 30)) + 1) / float(1 << 30) / k ** 0.5
+    return F.array(*[number(j) for j in range(k)])
+
+
+class _Blocks:
+    """The ratings in their blocks. ``home``: the side whose ids are dealt by ranges; ``away``: the other."""
+
+    def __init__(self, rows, valid, layout):
+        spark = rows.sparkSession
+        n, users, items = rows.agg(F.count(F.lit(1)), F.approx_count_distinct("user"), F.approx_count_distinct("item")).first()
+        home, away = ("user", "item") if users >= items else ("item", "user")
+        n += valid.count()
+        blocks = max(1, min(n, spark.sparkContext.defaultParallelism), -(-n // BLOCK))
+        both = rows.withColumn("held", F.lit(False)).unionByName(valid.withColumn("held", F.lit(True)))
+        # repeated rows of one pair are numbered, so that they need not meet in one block either
+        dealt = both.withColumn("_n", F.monotonically_increasing_id()).repartitionByRange(blocks, home, away, "_n").drop("_n")
+        dealt = dealt.withColumn("block", F.spark_partition_id()).checkpoint()
+        # more partitions than blocks, so that few blocks share one; the stored rows are not dealt again
+        place = lambda held: dealt.where(F.col("held") == held).select("block", "user", "item", "rating") \
+            .repartition(4 * blocks, "block").sortWithinPartitions("block").checkpoint()
+        self.layout, self.home, self.away, self.train, self.held = layout, home, away, place(False), place(True)
+        # every block that has the id, in a training or validation row
+        self.route = {s: dealt.select("block", F.col(s).alias("id")).distinct().checkpoint() for s in (home, away)}
+        per_id = self.route[home].groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+        self.spread = [r["id"] for r in per_id.collect()]            # they lie across borders: fewer than blocks
+
+    def brought(self, factors, side):
+        """(block, side, id, v): the factors of a side in every block that has the id."""
+        # fresh aliases: with shared attribute ids the cogroup could not tell its sides apart
+        take = lambda d: d.select(F.col("block").alias("block"), F.lit(side).alias("side"), F.col("id").alias("id"), F.col("v").alias("v"))
+        far = take(factors.where("block IS NULL").drop("block").join(self.route[side], "id"))
+        return far if side == self.away else take(factors.where("block IS NOT NULL")).unionByName(far)
+
+    def half_step(self, side, factors):
+        """The factors of a side from those of the other one."""
+        other = self.away if side == self.home else self.home
+        spread = self.spread if side == self.home else None
+        got = self.train.groupBy("block").cogroup(self.brought(factors, other).groupBy("block")) \
+            .applyInArrow(_in_block(self.layout, side, other, spread), FACTORS)
+        if spread is None:
+            return _merged(self.layout, got).checkpoint()
+        got = got.checkpoint()
+        return got.where("sums IS NULL").unionByName(_merged(self.layout, got.where("sums IS NOT NULL")).checkpoint()) if spread else got
+
+    def errors(self, users, items):
+        """{place of the grid: (sum of squared errors, rows)} of the validation rows whose user and item are known."""
+        layout = self.layout
+
+        def run(rows, factors):
+            import numpy as np
+            import pyarrow as pa
+
+            ss, at, use = np.zeros(len(layout.parts)), {}, np.ones(rows.num_rows, bool)
+            v = _matrix(factors.column("v"), factors.num_rows) if factors.num_rows else np.zeros((0, layout.width))
+            for side in ("user", "item"):
+                mine = np.flatnonzero(factors.column("side").to_numpy(zero_copy_only=False) == side)
+                known = factors.column("id").to_numpy()[mine]
+                order = np.argsort(known, kind="stable")
+                wanted = rows.column(side).to_numpy()
+                place = np.searchsorted(known[order], wanted)
+                use &= place < len(known)
+                at[side] = mine[order][np.minimum(place, len(known) - 1)] if len(known) else np.zeros(len(wanted), int)
+                use &= (factors.column("id").to_numpy()[at[side]] == wanted) if len(known) else False
+            rating, x, y = rows.column("rating").to_numpy()[use], at["user"][use], at["item"][use]
+            for begin in range(0, len(x), CHUNK):
+                r = slice(begin, begin + CHUNK)
+                products = v[x[r]] * v[y[r]]
+                for g, (_, _, place, _) in enumerate(layout.parts):
+                    ss[g] += np.square(products[:, place].sum(axis=1) - rating[r]).sum()
+            return pa.table({"place": pa.array(np.arange(len(ss), dtype=np.int32)), "ss": pa.array(ss), "n": pa.array(np.full(len(ss), len(x)))})
+
+        given = self.brought(users, "user").unionByName(self.brought(items, "item"))
+        got = self.held.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, "place int, ss double, n long")
+        return {r["place"]: (r["ss"], r["n"]) for r in got.groupBy("place").agg(F.sum("ss").alias("ss"), F.sum("n").alias("n")).collect()}
+
+    def unpacked(self, factors, it):
+        """One row for every place of the grid: iters, rank, lam, id, v."""
+        cells = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(lam).alias("lam"), F.slice("v", p.start + 1, k).alias("v")) for k, lam, p, _ in self.layout.parts])
+        return factors.select("id", F.explode(cells).alias("c")).select(F.lit(it).alias("iters"), "c.rank", "c.lam", "id", "c.v")
+
+    def totals(self, factors):
+        """(gain, penalty) of every place of the grid, over all ids."""
+        many = range(len(self.layout.parts))
+        r = factors.agg(*[F.sum(F.col(c)[g]).alias(f"{c}{g}") for c in ("gain", "penalty") for g in many]).first()
+        return [(r[f"gain{g}"], r[f"penalty{g}"]) for g in many]
+
+
+POINTS = "grid_pos int, lam double, rank int, iters int, train_rmse double, val_rmse double, n_scored long, objective double, is_best boolean"
+
+
 def validation_path(train: DataFrame, valid: DataFrame, ranks: Sequence[int], lambdas: Sequence[float], iterations: int, seed: int = 42):
     """(points, users, items) of the whole grid, from one run of ``iterations`` iterations.
 
@@ -137,57 +273,40 @@ def validation_path(train: DataFrame, valid: DataFrame, ranks: Sequence[int], la
     they occur. Penalties are weighted by the number of ratings (lambda x n), which must be positive. The objective
     is the sum of squared errors and penalties that each half step makes least; it never rises.
 
-    Each half step reads the stored ratings once, sorted by the side that is solved, and is kept in the shared
-    checkpoint folder. Where the other side's factors are too many to broadcast, the planner joins by their id,
-    and sums of ids that a task meets once travel at the size of their equations.
+    Each half step reads the stored blocks of ratings once, and its factors are kept in the shared checkpoint folder.
     """
     if iterations < 1 or not ranks or min(ranks) < 1 or not lambdas or min(lambdas) <= 0:
         raise ValueError("iterations, ranks and lambdas must be positive")
     if len(set(ranks)) < len(ranks) or len(set(lambdas)) < len(lambdas):
         raise ValueError("ranks and lambdas must differ")
-    ensure_checkpoint_dir(train.sparkSession)
+    spark = train.sparkSession
+    ensure_checkpoint_dir(spark)
     take = lambda df: df.select(F.col("user").cast("long").alias("user"), F.col("item").cast("long").alias("item"),
                                 F.col("rating").cast("double").alias("rating")).dropna()
-    rows, valid = take(train), take(valid)
-    by_user, by_item = (rows.select(F.col(a).alias("id"), F.col(b).alias("other"), "rating").repartitionByRange("id", "other")
-                        .sortWithinPartitions("id", "other").checkpoint() for a, b in (("user", "item"), ("item", "user")))
-    rows = by_user
-    items = starting_factors(by_item.select("id").distinct(), ranks, lambdas, seed)
-    steps = []
+    layout = Layout(ranks, lambdas)
+    blocks = _Blocks(take(train), take(valid), layout)
+    n, squares = blocks.train.agg(F.count(F.lit(1)), F.sum(F.col("rating") * F.col("rating"))).first()
+    n_valid = blocks.held.count()
+    start = F.concat(*[_start(k, seed) for k, _, _, _ in layout.parts])
+    none = F.lit(None)
+    items = blocks.train.select(F.col("item").alias("id")).distinct().select(none.cast("int").alias("block"), "id", start.alias("v"))
+    found, steps = [], []
     for it in range(1, iterations + 1):
-        users = _half_step(by_user, items)
-        items = _half_step(by_item, users)
-        steps.append((users.withColumn("iters", F.lit(it)), items.withColumn("iters", F.lit(it))))
-    users, items = (reduce(DataFrame.unionByName, side) for side in zip(*steps))
-
-    key = ["iters", "rank", "lam"]
-    scored = [_validation_errors(valid, users, items, k) for k in ranks]
-    errors = reduce(DataFrame.unionByName, scored)
-    # after the item step: squared errors + item penalties = sum r^2 - sum b.v
-    fits = items.groupBy(*key).agg(F.sum("gain").alias("gain"), F.sum("penalty").alias("ip")) \
-        .join(users.groupBy(*key).agg(F.sum("penalty").alias("up")), key)
-    squares, n = rows.select(F.sum(F.col("rating") * F.col("rating"))).scalar(), rows.select(F.count(F.lit(1))).scalar()
-    n_valid = valid.select(F.count(F.lit(1))).scalar()
-    place = lambda values, c: F.array_position(F.array(*[F.lit(x) for x in values]), F.col(c)) - 1
-    pos = (place([float(x) for x in lambdas], "lam") * len(ranks) + place(list(ranks), "rank")) * iterations + F.col("iters") - 1
-    points = fits.join(errors, key, "left").select(
-        pos.cast("int").alias("grid_pos"), "lam", "rank", "iters",
-        F.sqrt(F.greatest(squares - F.col("gain") - F.col("lam") * F.col("ip"), F.lit(0.0)) / n).alias("train_rmse"),
-        F.sqrt(F.try_divide(F.coalesce("ss", F.lit(0.0)), n_valid)).alias("val_rmse"),
-        F.coalesce("n_scored", F.lit(0)).alias("n_scored"), (squares - F.col("gain") + F.col("lam") * F.col("up")).alias("objective"))
-    points = points.checkpoint()                     # one row per grid point
-    best = points.select(F.min_by("grid_pos", F.struct("val_rmse", "grid_pos"))).scalar()
-    factors = [x.select("iters", "rank", "lam", "id", "v") for x in (users, items)]
-    return points.withColumn("is_best", F.col("grid_pos") == best), *factors
-
-
-def _validation_errors(valid: DataFrame, users: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    key = ["iters", "rank", "lam"]
-    x = users.where(F.col("rank") == k).select(*key, F.col("id").alias("user"), F.col("v").alias("x"))
-    y = items.where(F.col("rank") == k).select(*key, F.col("id").alias("item"), F.col("v").alias("y"))
-    score = sum((F.element_at("x", j) * F.element_at("y", j) for j in range(1, k + 1)), F.lit(0.0))
-    return valid.join(x, "user").join(y, [*key, "item"]).groupBy(*key).agg(
-        F.sum(F.pow(score - F.col("rating"), 2)).alias("ss"), F.count(F.lit(1)).alias("n_scored"))
+        users = blocks.half_step("user", items)
+        items = blocks.half_step("item", users)
+        steps.append((blocks.unpacked(users, it), blocks.unpacked(items, it)))
+        if n:
+            errors = blocks.errors(users, items)
+            for g, ((_, up), (gain, ip)) in enumerate(zip(blocks.totals(users), blocks.totals(items))):
+                k, lam = layout.parts[g][:2]
+                ss, scored = errors.get(g, (0.0, 0))
+                pos = ([float(x) for x in lambdas].index(lam) * len(ranks) + list(ranks).index(k)) * iterations + it - 1
+                # after the item step: squared errors + item penalties = sum r^2 - sum b.v
+                found.append((pos, lam, k, it, (max(squares - gain - lam * ip, 0.0) / n) ** 0.5, (ss / n_valid) ** 0.5 if n_valid else None,
+                              scored, squares - gain + lam * up))
+    best = min(found, key=lambda p: (p[5] is not None, p[5] or 0.0, p[0]))[0] if found else None
+    points = spark.createDataFrame([(*p, p[0] == best) for p in sorted(found)], POINTS)      # one row per grid point
+    return points, *(reduce(DataFrame.unionByName, side) for side in zip(*steps))
 
 
 def with_descent(points: DataFrame) -> DataFrame:
