@@ -1,11 +1,10 @@
 """Exact per-query k nearest neighbours by cosine distance.
 
-Rows are hashed into B blocks of about ``block_size`` vectors; each unordered
-block pair (i <= j) is one cogroup whose two sides are the vectors of block i
-and block j, so every vector is shipped B + 1 times and no task ever holds
-more than two blocks. Inside a group numpy computes the distance matrix with
-one matrix product and keeps only k candidates per query before the shuffle; a
-final partial top-k merges them. No list of all pairs is ever made.
+Exact copies (same key and vector) collapse to one row with a multiplicity. Queries
+are hashed into groups; all vectors pass by each group in slices (``search.full_top_k``),
+so every vector is shipped once per group and no task holds more than a group and a
+slice. Each group keeps k candidates per query; pairs are repeated for their copies
+afterwards. No list of all pairs is ever made.
 
 Rows sharing a key never pair. Distance is ``1 - u.v/(|u||v|)``; a zero vector
 has no neighbours.
@@ -13,110 +12,11 @@ has no neighbours.
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance
-from ..session import ensure_checkpoint_dir
-from .relational import top_k_per_group
-
-
-def _blocks(df: DataFrame, key: str, vec: str, block_size: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides of the cogroup: rows (key, vector, copies) with their block pairs.
-
-    Exact copies (same key and vector) collapse to one row with a multiplicity
-    ``m`` (pairs are expanded again afterwards), so a group of copies cannot
-    fill one block. The collapsed rows are kept once in the shared checkpoint
-    folder: the input is planned once, not once per side and for the count.
-    Blocks hash the content (key and vector), so both sides place every row
-    alike. Vectors travel in their stored element type (float stays 4 bytes);
-    numpy widens to float64 inside the group. There are at most ``block_size``
-    vectors to a block, and block pairs enough to keep every core busy.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = df.groupBy(F.col(key).alias("k"), F.col(vec).alias("v")).agg(F.count(F.lit(1)).alias("m")).checkpoint()
-    n, blocks = base.count(), 1
-    while blocks * (blocks + 1) // 2 < spark.sparkContext.defaultParallelism and blocks < n:
-        blocks += 1
-    blocks = max(blocks, math.ceil(n / max(1, block_size)))
-    base = base.withColumn("b", F.pmod(F.xxhash64("k", "v"), F.lit(blocks)).cast("int"))
-    left = base.select("k", "v", "m", F.col("b").alias("bi"),
-                       F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("bj"))
-    # fresh aliases: with shared attribute ids the cogroup would drop these columns
-    right = base.select(F.col("k").alias("rk"), F.col("v").alias("rv"), F.col("m").alias("rm"),
-                        F.explode(F.sequence(F.lit(0), F.col("b"))).alias("bi"), F.col("b").alias("bj"))
-    return left, right
-
-
-def _expand(df: DataFrame, k: int) -> DataFrame:
-    """Repeat each pair for its copies, ``k`` times at most: more cannot be among k rows."""
-    reps = F.least(F.least("mq", F.lit(k)) * F.least("mr", F.lit(k)), F.lit(k))
-    return df.withColumn("_rep", F.explode(F.sequence(F.lit(1), reps.cast("int")))).drop("_rep", "mq", "mr")
-
-
-def _unit(vs) -> tuple[np.ndarray, np.ndarray]:
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vs]) if len(vs) else np.zeros((0, 0))
-    norms = np.linalg.norm(m, axis=1) if len(vs) else np.zeros(0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        u = m / norms[:, None]
-    return u, norms
-
-
-def _distances(lv, rv):
-    lu, ln = _unit(lv)
-    ru, rn = _unit(rv)
-    d = 1.0 - lu @ ru.T
-    bad = (ln == 0)[:, None] | (rn == 0)[None, :]
-    d[bad] = np.nan
-    return d
-
-
-_EMPTY = {"query": [], "ref": [], "distance": [], "mq": [], "mr": []}
-
-
-def _topk_udf(k: int):
-    def best(keys_q, m_q, keys_r, m_r, d):
-        """For every query row, its k best distinct ref rows in (distance, ref)
-        order (a superset of what the copies can fill)."""
-        valid = (keys_q[:, None] != keys_r[None, :]) & ~np.isnan(d)
-        dd = np.where(valid, d, np.inf)
-        kk = min(k, dd.shape[1])
-        if kk == 0 or dd.shape[0] == 0:
-            return []
-        col_order = np.argsort(keys_r, kind="stable")      # ties -> smaller ref first
-        idx = np.argsort(dd[:, col_order], axis=1, kind="stable")[:, :kk]
-        sel = col_order[idx]
-        vals = np.take_along_axis(dd, sel, axis=1)
-        ok = np.isfinite(vals)
-        rows = np.nonzero(ok)[0]
-        return [(keys_q[rows], keys_r[sel[ok]], vals[ok], m_q[rows], m_r[sel[ok]])]
-
-    def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if lp.empty or rp.empty:
-            return pd.DataFrame(_EMPTY)
-        same_block = int(lp["bi"].iloc[0]) == int(lp["bj"].iloc[0])
-        d = _distances(list(lp["v"]), list(rp["rv"]))
-        lk, lm = lp["k"].to_numpy(), lp["m"].to_numpy()
-        rk, rm = rp["rk"].to_numpy(), rp["rm"].to_numpy()
-        parts = best(lk, lm, rk, rm, d)
-        if not same_block:
-            parts += best(rk, rm, lk, lm, d.T)
-        if not parts:
-            return pd.DataFrame(_EMPTY)
-        cols = list(zip(*parts))
-        return pd.DataFrame({"query": np.concatenate(cols[0]), "ref": np.concatenate(cols[1]),
-                             "distance": np.concatenate(cols[2]), "mq": np.concatenate(cols[3]),
-                             "mr": np.concatenate(cols[4])})
-    return fn
-
-
-def _key_type(df: DataFrame, key: str) -> str:
-    return df.schema[key].dataType.simpleString()
+from .search import full_top_k
 
 
 def usable(df: DataFrame, vec: str, dim: int | None = None) -> Column:
@@ -133,7 +33,7 @@ def rejected(df: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
     return df.where(~usable(df, vec, dim)).select(key, reason.alias("reason"))
 
 
-def cosine_top_k(df: DataFrame, key: str, vec: str, k: int, block_size: int = 2048, dim: int | None = None) -> DataFrame:
+def cosine_top_k(df: DataFrame, key: str, vec: str, k: int, block_size: int | None = None, dim: int | None = None) -> DataFrame:
     """The ``k`` nearest other vectors of every vector (query, rank, ref, distance),
     ordered by (distance, ref); zero vectors have no neighbours.
 
@@ -141,16 +41,11 @@ def cosine_top_k(df: DataFrame, key: str, vec: str, k: int, block_size: int = 20
     ``dim`` defaults to the most frequent length. The search is exact, so its
     work grows with the square of the rows.
     """
-    kt = _key_type(df, key)
     if dim is None:
         sizes = df.groupBy(F.size(vec).alias("n")).count().where("n >= 0").orderBy(F.desc("count"), "n").first()
         dim = sizes["n"] if sizes else 0
     df = df.where(usable(df, vec, dim))
-    left, right = _blocks(df, key, vec, block_size)
-    schema = f"query {kt}, ref {kt}, distance double, mq long, mr long"
-    cand = _expand(left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(_topk_udf(k), schema), k)
-    return top_k_per_group(cand, ["query"], [F.col("distance"), F.col("ref")], k, rank_col="rank") \
-        .select("query", "rank", "ref", "distance")
+    return full_top_k(df, key, vec, k, block_size)
 
 
 def neighbor_list(df: DataFrame, key: str, vec: str, query: DataFrame) -> DataFrame:
