@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
@@ -194,6 +195,66 @@ def test_passages_behind_a_frequent_line(frame):
     assert all(r["across"] for r in got)
 
 
+def near_copies(rng, n=300):
+    """Copies of a few texts with edits, which share most of their words with many others."""
+    words = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    bases, texts = [words(k) for k in (49, 50, 90, 300, 700)], []
+    for i in range(n):
+        w = list(rng.choice(bases))
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(w))
+            w[at:at + rng.randrange(3)] = words(rng.randrange(3))
+        texts.append(" ".join(w * rng.choice((1, 1, 1, 2))))
+    return texts
+
+
+def test_passages_of_near_copies_write_little(spark, frame):
+    texts = near_copies(random.Random(8))
+    docs = frame(texts, parts=6)
+    passages.repeated_passages(docs.limit(3)).collect()             # sets the folder
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    written = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs)
+    before = written()
+    got = passages.repeated_passages(docs).collect()
+    assert {(r["doc_id"], k) for r in got for k in range(r["first_word"], r["end_word"])} == plain_repeats(texts)
+    assert written() - before < sum(map(len, texts)) / 10
+
+
+def test_passages_of_hot_keys_are_the_same(frame, monkeypatch):
+    texts = near_copies(random.Random(9))
+    texts += texts[:20]
+    docs = frame(texts, [*range(310), None, None, *range(8)], parts=6)
+    found = sorted(map(repr, passages.repeated_passages(docs).collect()))
+    for hot in (0, 60):                                 # all keys, some keys
+        monkeypatch.setattr(passages, "HOT", hot)
+        assert sorted(map(repr, passages.repeated_passages(docs).collect())) == found
+    assert len(found) > 200
+
+
+def test_recurring_windows_match_brute_force():
+    rng = np.random.default_rng(3)
+    n, width = 60, passages.AROUND
+    key = rng.integers(0, 4, n)
+    words = rng.integers(0, 1 << 32, (4, 5, width)).astype(np.uint32)[key, rng.integers(0, 5, n)]
+    words[:, passages.BEFORE:passages.BEFORE + passages.PREFIX] = key[:, None]
+    like = rng.integers(0, width, n)                    # words of another row of the key from some place on
+    words = np.where(np.arange(width) < like[:, None], words, words[[rng.choice(np.flatnonzero(key == k)) for k in key]])
+    row, pos, behind = rng.integers(0, 9, n), rng.integers(0, 60, n), rng.integers(16, 51, n)
+    seen = defaultdict(list)
+    for i in range(n):
+        for r in range(passages.PREFIX, behind[i] + 1):
+            if passages.LEAST - r <= pos[i]:
+                seen[r, key[i], words[i, r - 16:r + 34].tobytes()].append(i)
+    wanted = [[51, 0, False] for _ in range(n)]
+    for (r, _, _), held in seen.items():
+        for i in held if len(held) > 1 else ():
+            w = wanted[i]
+            w[:] = min(w[0], r), max(w[1], r), w[2] or len({row[j] for j in held}) > 1
+    got = passages._recurring(key, row, pos, behind, words)
+    assert [list(map(int, x)) for x in zip(*got)] == [list(map(int, w)) for w in wanted]
+    assert 5 < sum(w[1] > 0 for w in wanted) < n
+
+
 def test_passages_odd_rows(odd, none):
     got = passages.repeated_passages(odd).collect()
     assert {(r["doc_id"], r["first_word"], r["end_word"], r["across"]) for r in got} == {(6, 0, 40_000, True), (7, 0, 40_000, True)}
